@@ -68,10 +68,8 @@ def decode_user(spark, folder):
 def route_logs(spark, folder):
     sent = fixtures.log_json(spark, folder, stamped=False)
     routed = logs.route_logs(logs.stamp_receive_time(sent, F.col("sent_at")))
-    field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
-    return routed.select(
-        "topic", field("mid"), field("uid"), field("evid"), field("itemid"), field("ts").cast("bigint").alias("ts")
-    )
+    fields = F.from_json("value", "mid STRING, uid STRING, evid STRING, itemid STRING, ts BIGINT")
+    return routed.select("topic", F.inline(F.array(fields)))
 
 
 def raw_archive(spark, folder):
@@ -89,7 +87,8 @@ def route_cdc(spark, folder):
 def flatten_cdc(spark, folder):
     flat = cdc.flatten_cdc(cdc.route_cdc(fixtures.cdc(spark, folder)))
     names = ("id", "order_id", "sku_id", "order_price", "user_id", "total_amount", "create_time", "user_level")
-    return flat.select("topic", *[F.get_json_object("value", f"$.{n}").alias(n) for n in names])
+    fields = F.from_json("value", ", ".join(f"{n} STRING" for n in names))
+    return flat.select("topic", F.inline(F.array(fields)))
 
 
 # -- devices ----------------------------------------------------------------
@@ -207,10 +206,10 @@ def order_detail_interval(spark, folder):
     )
 
 
-def _sales(spark, folder, day=None):
+def _sales(spark, folder, day=None, sku=True):
     return sales.sale_detail(
         fixtures.order_info(spark, folder, day),
-        fixtures.detail_wire(spark, folder),
+        fixtures.detail_wire(spark, folder, sku),
         fixtures.user_info(spark, folder),
         _as_of(),
     )
@@ -245,19 +244,19 @@ def sale_total(spark, folder):
 
 
 def sale_by_age(spark, folder):
-    return sales.by_age(_sales(spark, folder))
+    return sales.by_age(_sales(spark, folder, sku=False))
 
 
 def sale_by_age_top(spark, folder):
-    return sales.by_age(_sales(spark, folder), top=100)
+    return sales.by_age(_sales(spark, folder, sku=False), top=100)
 
 
 def sale_by_gender(spark, folder):
-    return sales.by_gender(_sales(spark, folder), top=3)
+    return sales.by_gender(_sales(spark, folder, sku=False), top=3)
 
 
 def sale_by_band(spark, folder):
-    bands = _sales(spark, folder).groupBy(age_band("user_age").alias("band"))
+    bands = _sales(spark, folder, sku=False).groupBy(age_band("user_age").alias("band"))
     return bands.agg(F.count("*").alias("hits"))
 
 
@@ -270,15 +269,15 @@ def gender_share(spark, folder):
 
 
 def sale_stats(spark, folder):
-    return sales.stats(_sales(spark, folder))
+    return sales.stats(_sales(spark, folder, sku=False))
 
 
 def share_counts(spark, folder):
-    return sales.stats(_sales(spark, folder), normalize=False)
+    return sales.stats(_sales(spark, folder, sku=False), normalize=False)
 
 
 def share_unknown(spark, folder):
-    return sales.share_counts(_sales(spark, folder))
+    return sales.share_counts(_sales(spark, folder, sku=False))
 
 
 # -- coupons ----------------------------------------------------------------

@@ -19,15 +19,16 @@ def with_log_time(logs):
     return logs.withColumns({"logDate": day_of("ts"), "logHour": hour_of("ts")})
 
 
-def text_day(text) -> Column:
+def text_day(text: Column) -> Column:
     """The part of a ``yyyy-MM-dd HH:mm:ss`` text before the space."""
-    return F.split_part(text, F.lit(" "), F.lit(1))
+    return F.substring_index(text, " ", 1)
 
 
-def text_hour(text) -> Column:
+def text_hour(text: Column) -> Column:
     """The hour part of a ``yyyy-MM-dd HH:mm:ss`` text; NULL when there is none."""
-    clock = F.split_part(text, F.lit(" "), F.lit(2))
-    return F.nullif(F.split_part(clock, F.lit(":"), F.lit(1)), F.lit(""))
+    space = F.instr(text, " ")
+    clock = F.when(space > 0, F.substring(text, space + 1, F.length(text)))
+    return F.nullif(F.substring_index(F.substring_index(clock, " ", 1), ":", 1), F.lit(""))
 
 
 def minute_of(ms) -> Column:

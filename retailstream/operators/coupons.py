@@ -15,7 +15,7 @@ Windows are half open, [start, end), and aligned to the epoch.
 
 from math import gcd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import day_of, minute_of
@@ -32,14 +32,6 @@ def _floor_div(value: Column, by: int) -> Column:
     return F.floor((value - F.pmod(value, F.lit(by))) / F.lit(by)).cast("bigint")
 
 
-def _window_starts(pane_ms: Column, window_ms: int, slide_ms: int) -> Column:
-    """Starts of all windows that hold the pane, as an array."""
-    last = pane_ms - F.pmod(pane_ms, F.lit(slide_ms))
-    count = -(-window_ms // slide_ms)
-    starts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: last - i * F.lit(slide_ms))
-    return F.filter(starts, lambda s: s + F.lit(window_ms) > pane_ms)
-
-
 def static_rule(rows: DataFrame, device: str, event: str, account: str, click: str = "click",
                 min_accounts: int = MIN_ACCOUNTS) -> DataFrame:
     """Devices that trip the rule over the whole input, without windows."""
@@ -75,42 +67,72 @@ def alert_windows(
     slide_seconds: int = SLIDE_SECONDS,
     min_accounts: int = MIN_ACCOUNTS,
     click: str = CLICK,
-    prune: bool | None = None,
 ) -> DataFrame:
     """``(mid, window_start, window_end, accounts)`` of every alerting window, in epoch ms.
 
-    Each mark belongs to window/slide windows. Where that is many (or with
-    ``prune``), devices that cannot reach ``min_accounts`` are dropped before
-    marks are repeated: any window lies within two neighbouring stretches of
-    window length, so a device that falls short over such a pair falls short
-    in every window inside it.
+    No mark is copied into each of its windows. Cut the time line into
+    stretches of window length. Of the windows that start in a stretch, a mark
+    in the same stretch is in the first ones, up to its own time, and a mark in
+    the next stretch is in the last ones. So the latest mark here and the
+    earliest mark there say which windows an account (or a click) is in, and
+    a running sum over the few points where that changes gives the accounts of
+    every window.
     """
+    if window_seconds % slide_seconds:
+        raise ValueError("the window length must be a multiple of the slide")
     window_ms, slide_ms = window_seconds * 1000, slide_seconds * 1000
-    pane_ms = gcd(window_ms, slide_ms)
-    pane = (F.col("ts") - F.pmod("ts", F.lit(pane_ms))).alias("pane")
-    marks = _marks(events, F.col("mid"), F.col("evid"), F.col("uid"), click, pane)
-
-    if prune is None:
-        prune = window_ms // slide_ms > 8
-    if prune:
-        marks = marks.distinct()
-        stretch = _floor_div(F.col("pane"), window_ms)
-        pairs = marks.filter(F.col("account").isNotNull()).select(
-            "mid", "account", F.explode(F.array(stretch - 1, stretch)).alias("pair")
+    slide = F.lit(slide_ms)
+
+    marks = _marks(events, F.col("mid"), F.col("evid"), F.col("uid"), click, F.col("ts"))
+    last_start = F.col("ts") - F.pmod("ts", slide)
+    stretch = last_start - F.pmod("ts", F.lit(window_ms)) + F.pmod("ts", slide)
+    nothing = F.lit(None).cast("bigint")
+    here = F.struct(stretch.alias("stretch"), last_start.alias("upto"), nothing.alias("since"))
+    before = F.struct(
+        (stretch - window_ms).alias("stretch"),
+        nothing.alias("upto"),
+        # The first start after ts - window_ms; at the stretch's end it is no start of that stretch.
+        F.when(last_start - window_ms + slide < stretch, last_start - window_ms + slide).alias("since"),
+    )
+    spans = (
+        marks.select("mid", "account", F.inline(F.array(here, before)))
+        .groupBy("mid", "stretch", "account")
+        .agg(F.max("upto").alias("upto"), F.min("since").alias("since"))
+    )
+
+    end = F.col("stretch") + window_ms
+    leaves = F.col("upto") + slide
+    gap = F.col("since").isNull() | (F.col("since") > leaves)
+    point = lambda at, step: F.struct(at.alias("at"), F.lit(step).alias("step"))
+    points = F.array_compact(
+        F.array(
+            F.when(F.col("upto").isNotNull(), point(F.col("stretch"), 1)),
+            F.when(gap & (leaves < end), point(leaves, -1)),
+            F.when(F.col("since").isNotNull() & (gap | F.col("upto").isNull()), point(F.col("since"), 1)),
         )
-        able = (
-            pairs.distinct()
-            .groupBy("mid", "pair")
-            .agg(F.count("*").alias("n"))
-            .filter(F.col("n") >= min_accounts)
-            .select("mid", F.explode(F.array("pair", F.col("pair") + 1)).alias("stretch"))
+    )
+    is_click = F.col("account").isNull()
+    changes = (
+        spans.select("mid", "stretch", "account", F.inline(points))
+        .groupBy("mid", "stretch", "at")
+        .agg(
+            F.sum(F.when(is_click, 0).otherwise(F.col("step"))).alias("accounts"),
+            F.sum(F.when(is_click, F.col("step")).otherwise(0)).alias("clicks"),
         )
-        marks = marks.withColumn("stretch", stretch).join(able, ["mid", "stretch"], "left_semi")
-
-    per_window = marks.select(
-        "mid", "account", F.explode(_window_starts(F.col("pane"), window_ms, slide_ms)).alias("window_start")
     )
-    return _tripped(per_window, ["mid", "window_start"], min_accounts).select(
+    # At most window/slide points per device and stretch.
+    line = Window.partitionBy("mid", "stretch").orderBy("at")
+    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    constant = changes.select(
+        "mid",
+        "at",
+        F.coalesce(F.lead("at").over(line), end).alias("until"),
+        F.sum("accounts").over(so_far).cast("int").alias("accounts"),
+        F.sum("clicks").over(so_far).alias("clicks"),
+    )
+    tripped = constant.filter((F.col("accounts") >= min_accounts) & (F.col("clicks") == 0))
+    starts = F.explode(F.sequence("at", F.col("until") - slide, slide.cast("bigint")))
+    return tripped.select("mid", starts.alias("window_start"), "accounts").select(
         "mid", "window_start", (F.col("window_start") + window_ms).alias("window_end"), "accounts"
     )
 

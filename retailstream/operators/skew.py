@@ -1,6 +1,6 @@
 """Joins that stay even when one key holds a large part of the rows."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Keys looked after one by one. A key with more than a 1/1000 share of the rows
@@ -9,19 +9,14 @@ HOT_KEYS = 1000
 _HOT_ROWS = 100_000
 
 
-def planned_bytes(frame: DataFrame) -> int | None:
-    """Size Spark expects ``frame`` to have, or None where it gives no estimate."""
-    try:
-        return int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except AttributeError:
-        return None
+def splits_skew(spark: SparkSession) -> bool:
+    """Whether Spark itself splits skewed join partitions at run time.
 
-
-def broadcast_limit(frame: DataFrame) -> int:
-    text = frame.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    text = text.strip().lower().removesuffix("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    return int(text[:-1]) * units[text[-1]] if text and text[-1] in units else int(text)
+    It does in batch sessions by default, and does not inside a stream's
+    micro-batches.
+    """
+    names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(spark.conf.get(name).lower() == "true" for name in names)
 
 
 def hot_keys(frame: DataFrame, key: str, least_rows: int = _HOT_ROWS) -> DataFrame:
@@ -34,7 +29,19 @@ def hot_keys(frame: DataFrame, key: str, least_rows: int = _HOT_ROWS) -> DataFra
     return counts.filter(F.col("count") >= least_rows).orderBy(F.desc("count")).limit(HOT_KEYS).select(key)
 
 
-def join_unique(
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` to ``unique`` (one row per ``key``), ``how`` inner or left.
+
+    Left to Spark, which broadcasts ``unique`` when its own size check allows
+    and otherwise splits partitions that turn out skewed. In sessions where it
+    does not split them, ``join_dealt`` takes over.
+    """
+    if splits_skew(rows.sparkSession):
+        return rows.join(unique, key, how)
+    return join_dealt(rows, unique, key, spread_by, how)
+
+
+def join_dealt(
     rows: DataFrame,
     unique: DataFrame,
     key: str,
@@ -43,21 +50,14 @@ def join_unique(
     parts: int | None = None,
     least_rows: int = _HOT_ROWS,
 ) -> DataFrame:
-    """Join ``rows`` to ``unique`` (one row per ``key``), ``how`` inner or left.
+    """The same join with hot keys dealt out over ``parts`` by hand.
 
-    When Spark can broadcast ``unique`` by its own size check there is nothing
-    to shuffle and the plain join is used. Otherwise rows of a hot key, and
-    rows without a key, are dealt out over ``parts`` by the hash of
-    ``spread_by``, and only the few hot rows of ``unique`` are repeated.
-    The hash depends on the row alone, so a task that is run again deals the
-    same way.
+    Rows of a hot key, and rows without a key, go to a part by the hash of
+    ``spread_by``; of ``unique`` only the few hot rows are repeated. The hash
+    depends on the row alone, so a task that is run again deals the same way.
     """
     if how not in ("inner", "left"):
-        raise ValueError(f"join_unique does not do {how!r} joins")
-    size, limit = planned_bytes(unique), broadcast_limit(unique)
-    if size is not None and size <= limit:
-        return rows.join(unique, key, how)
-
+        raise ValueError(f"no {how!r} joins here: only the side with many rows per key can be dealt out")
     if parts is None:
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Bounded by HOT_KEYS, so safe to broadcast at any scale.

@@ -132,27 +132,32 @@ def order_changes(spark: SparkSession, folder: str) -> DataFrame:
     return first.unionByName(again.withColumns({"seq": F.lit(2), "order_status": F.lit("R")}))
 
 
-def detail_wire(spark: SparkSession, folder: str, sku: bool = True) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
-    if sku:
-        names = table(spark, folder, "part").select(
-            F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("sku_name")
-        )
-        lines = lines.join(names, "l_partkey")
-    else:
-        lines = lines.withColumn("sku_name", F.lit(None).cast("string"))
-    ship = F.date_format("l_shipdate", "yyyyMMdd")
-    return lines.select(
-        F.concat_ws(
+def _detail_columns() -> dict[str, Column]:
+    ship = F.replace(F.col("l_shipdate").cast("date").cast("string"), F.lit("-"), F.lit(""))
+    return {
+        "id": F.concat_ws(
             "-", _text("l_orderkey"), _text("l_linenumber"), _text("l_partkey"), _text("l_suppkey"), ship
-        ).alias("id"),
-        _text("l_orderkey").alias("order_id"),
-        "sku_name",
-        _text("l_partkey").alias("sku_id"),
-        F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("order_price"),
-        F.lit("").alias("img_url"),
-        F.col("l_quantity").cast("bigint").cast("string").alias("sku_num"),
-    )
+        ),
+        "order_id": _text("l_orderkey"),
+        "sku_name": F.col("p_name"),
+        "sku_id": _text("l_partkey"),
+        "order_price": F.col("l_extendedprice").cast("decimal(18,2)").cast("string"),
+        "img_url": F.lit(""),
+        "sku_num": F.col("l_quantity").cast("bigint").cast("string"),
+    }
+
+
+def _lines(spark: SparkSession, folder: str, sku: bool) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
+    if not sku:
+        return lines.withColumn("p_name", F.lit(None).cast("string"))
+    names = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    return lines.join(names, "l_partkey")
+
+
+def detail_wire(spark: SparkSession, folder: str, sku: bool = True) -> DataFrame:
+    """Order details, all text; product names only where asked for."""
+    return _lines(spark, folder, sku).select(*[c.alias(n) for n, c in _detail_columns().items()])
 
 
 def timed_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,12 +166,14 @@ def timed_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 def timed_details(spark: SparkSession, folder: str) -> DataFrame:
     """Details with an event time: 25 s per line number after their order."""
-    orders = timed_orders(spark, folder).select(F.col("id").alias("order_id"), "order_ts")
-    line = F.split_part("id", F.lit("-"), F.lit(2)).cast("int")
-    details = detail_wire(spark, folder, sku=False).withColumn("_line", line).join(orders, "order_id")
-    return details.withColumn(
-        "detail_ts", F.timestamp_seconds(F.unix_timestamp("order_ts") + F.col("_line") * 25)
-    ).drop("_line", "order_ts")
+    days = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    lines = _lines(spark, folder, sku=False).join(days, "l_orderkey")
+    seconds = F.pmod("l_orderkey", F.lit(24)) * 3600 + F.col("l_linenumber") * 25
+    midnight = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    return lines.select(
+        *[c.alias(n) for n, c in _detail_columns().items()],
+        F.timestamp_seconds(midnight + seconds).alias("detail_ts"),
+    )
 
 
 def customers_as_users(spark: SparkSession, folder: str) -> DataFrame:
