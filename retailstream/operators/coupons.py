@@ -13,8 +13,6 @@ Two ways to the same alerts:
 Windows are half open, [start, end), and aligned to the epoch.
 """
 
-from math import gcd
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +30,11 @@ def _floor_div(value: Column, by: int) -> Column:
     return F.floor((value - F.pmod(value, F.lit(by))) / F.lit(by)).cast("bigint")
 
 
+def _check(window_seconds: int, slide_seconds: int) -> None:
+    if window_seconds <= 0 or slide_seconds <= 0 or window_seconds % slide_seconds:
+        raise ValueError("the window length must be a multiple of the slide")
+
+
 def static_rule(rows: DataFrame, device: str, event: str, account: str, click: str = "click",
                 min_accounts: int = MIN_ACCOUNTS) -> DataFrame:
     """Devices that trip the rule over the whole input, without windows."""
@@ -78,8 +81,7 @@ def alert_windows(
     a running sum over the few points where that changes gives the accounts of
     every window.
     """
-    if window_seconds % slide_seconds:
-        raise ValueError("the window length must be a multiple of the slide")
+    _check(window_seconds, slide_seconds)
     window_ms, slide_ms = window_seconds * 1000, slide_seconds * 1000
     slide = F.lit(slide_ms)
 
@@ -234,12 +236,12 @@ def pane_alerts(
     """Every alert of every window, from panes; for streams and small batches.
 
     ``events`` has its time in ``event_time``; on a stream with a watermark.
-    A pane is the longest stretch no window edge cuts through. It holds one
+    A pane is one slide long, so that no window edge cuts through it. It holds one
     row per device and event id, so windows merge few rows, not raw events.
     """
-    pane_seconds = gcd(window_seconds, slide_seconds)
+    _check(window_seconds, slide_seconds)
     drawn = F.col("evid") == COUPON
-    panes = events.groupBy("mid", "evid", F.window("event_time", f"{pane_seconds} seconds").alias("pane")).agg(
+    panes = events.groupBy("mid", "evid", F.window("event_time", f"{slide_seconds} seconds").alias("pane")).agg(
         F.collect_set(F.when(drawn, F.col("uid"))).alias("uids"),
         F.collect_set(F.when(drawn, F.col("itemid"))).alias("items"),
         F.count("*").alias("n"),

@@ -12,8 +12,8 @@ _HOT_ROWS = 100_000
 def splits_skew(spark: SparkSession) -> bool:
     """Whether Spark itself splits skewed join partitions at run time.
 
-    It does in batch sessions by default, and does not inside a stream's
-    micro-batches.
+    It does by default in batch jobs and in micro-batches of stateless streams,
+    and does not in those of stateful ones.
     """
     names = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
     return all(spark.conf.get(name).lower() == "true" for name in names)

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.dedup import latest_per_key, new_activity, first_activity
+from ..operators.dedup import first_activity, latest_per_key, new_activity
+from ..operators.skew import splits_skew
 
 BATCH = "batch_id"
 
@@ -49,9 +50,10 @@ def write_batch(
 ) -> None:
     """Write the rows of one micro-batch; writing them again changes nothing."""
     rows = batch.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
-    # Rebalancing merges crumbs into full files and splits a day (or topic)
-    # that holds most of the rows.
-    rows = rows.hint("rebalance", *partitions) if partitions else rows.hint("rebalance")
+    # Rebalancing merges crumbs into full files and splits a day (or topic) that
+    # holds most of the rows. Where it could not split, rows stay spread as they are.
+    if splits_skew(rows.sparkSession):
+        rows = rows.hint("rebalance", *partitions)
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*partitions, BATCH).format(file_format).save(path)
 

@@ -9,13 +9,10 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from retailstream.session import local_session
 
     session = local_session("4", shuffle_partitions=4, memory="4g")
-    # Set here only because no cluster names a shared folder in a test run.
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

@@ -1,0 +1,171 @@
+"""Decoding, routing and scalar expressions on hand-written records."""
+
+import json
+from datetime import datetime, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from retailstream import schemas
+from retailstream.functions import clock, text, values
+from retailstream.sources import cdc, decode, logs, topics
+
+from .conftest import rows
+
+LINES = [
+    '{"type":"startup","mid":"mid_7","uid":"31","os":"ios","appid":"app","area":"beijing","ch":"appstore","vs":"1.2.0","ts":1597645200000}',
+    '{"type":"event","mid":"mid_7","uid":"31","os":"ios","appid":"app","area":"beijing","evid":"coupon","pgid":3,"npgid":9,"itemid":41,"ts":1597645205000}',
+    '{"mid":"mid_8","ts":1}',
+    "{bad json",
+    "[1, 2]",
+    "",
+]
+
+
+def raw(spark, *lines):
+    return spark.createDataFrame([(line,) for line in lines], "value string")
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("v")).first().v
+
+
+def test_startup_logs(spark):
+    decoded = decode.startup_logs(raw(spark, *LINES))
+    assert decoded.columns == [*schemas.STARTUP_LOG.fieldNames(), decode.REJECTED]
+    good = decode.accepted(decoded)
+    assert good.schema == schemas.STARTUP_LOG
+    assert rows(good, "mid", "vs", "logDate", "logHour", "ts")[0] == ("mid_7", "1.2.0", "2020-08-17", "06", 1597645200000)
+    assert rows(decode.rejected(decoded)) == [("",), ("[1, 2]",), ("{bad json",)]
+
+
+def test_event_numbers_become_text(spark):
+    decoded = decode.accepted(decode.event_logs(raw(spark, *LINES)))
+    assert rows(decoded, "evid", "pgid", "npgid", "itemid") == [("coupon", "3", "9", "41")]
+
+
+def test_rejected_count_is_observed(spark):
+    from pyspark.sql import Observation
+
+    seen = Observation("logs")
+    decoded = decode.startup_logs(raw(spark, *LINES))
+    decoded.observe(seen, F.count_if(F.col(decode.REJECTED).isNotNull()).alias("rejected")).collect()
+    assert seen.get == {"rejected": 3}
+
+
+def test_field_names_are_case_sensitive(spark):
+    decoded = decode.startup_logs(raw(spark, '{"mid":"a","appId":"x","ts":1}'))
+    assert rows(decoded, "appid") == [(None,)]
+
+
+def test_orders(spark):
+    lines = [
+        {"id": "10", "province_id": "4", "consignee_tel": "13812345678", "user_id": "31", "total_amount": "129.5",
+         "create_time": "2020-08-17 14:20:01"},
+        {"id": "11", "consignee_tel": "12", "total_amount": "much", "create_time": "2020-08-17 09"},
+        {"id": "12", "create_time": "2020-08-17"},
+        {"create_time": "2020-08-17 14:20:01"},
+    ]
+    decoded = decode.order_infos(raw(spark, *map(json.dumps, lines)))
+    good = decode.accepted(decoded)
+    assert [f.dataType for f in good.schema] == [f.dataType for f in schemas.ORDER_INFO]
+    assert rows(good, "id", "consignee_tel", "total_amount", "create_date", "create_hour") == [
+        ("10", "1381*******", 129.5, "2020-08-17", "14"),
+        ("11", "12*******", None, "2020-08-17", "09"),
+    ]
+    assert decode.rejected(decoded).count() == 2
+
+
+def test_details_and_users(spark):
+    detail = '{"id":"100","order_id":"10","sku_name":"red gear","sku_id":"5","order_price":"64.75","img_url":"","sku_num":"2"}'
+    assert decode.accepted(decode.order_details(raw(spark, detail))).schema == schemas.DETAIL_WIRE
+    user = '{"id":"31","login_name":"u31","user_level":"1","birthday":"1990-05-20","gender":"F"}'
+    assert rows(decode.accepted(decode.user_infos(raw(spark, user)))) == [("31", "u31", "1", "1990-05-20", "F")]
+
+
+def test_text_is_parsed_once(spark):
+    """Filters on decoded fields must not pull a second parse below them."""
+    good = decode.accepted(decode.startup_logs(raw(spark, *LINES)))
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+
+
+def test_receive_time_replaces_sent_time(spark):
+    sent = raw(spark, '{"mid":"a","ts":5,"pgid":3,"x":{"y":[1.5,null]}}', "{bad", "7")
+    at = F.lit(datetime(2024, 1, 15, 10, 0, tzinfo=timezone.utc))
+    stamped = logs.stamp_receive_time(sent, at)
+    good = stamped.filter(F.col(decode.REJECTED).isNull()).collect()
+    assert [json.loads(r.value) for r in good] == [
+        {"mid": "a", "ts": 1705312800000, "pgid": 3, "x": {"y": [1.5, None]}}]
+    assert rows(decode.rejected(stamped)) == [("7",), ("{bad",)]
+    assert rows(logs.raw_archive(stamped, at), "dt") == [("2024-01-15",)]
+
+
+def test_log_topics(spark):
+    at = F.current_timestamp()
+    sent = raw(spark, '{"type":"startup","mid":"a"}', '{"type":"event","mid":"b"}', '{"mid":"c"}', "{bad")
+    routed = logs.route_logs(logs.stamp_receive_time(sent, at))
+    assert rows(routed.select("topic", F.get_json_object("value", "$.mid"))) == [
+        (schemas.EVENT_TOPIC, "b"), (schemas.EVENT_TOPIC, "c"), (schemas.STARTUP_TOPIC, "a")]
+
+
+@pytest.mark.parametrize("table,event,topic", [
+    ("order_info", "INSERT", schemas.ORDER_TOPIC), ("order_info", "UPDATE", None), ("order_info", "DELETE", None),
+    ("order_detail", "INSERT", schemas.DETAIL_TOPIC), ("order_detail", "UPDATE", None),
+    ("user_info", "INSERT", schemas.USER_TOPIC), ("user_info", "UPDATE", schemas.USER_TOPIC),
+    ("user_info", "DELETE", None), ("sku_info", "INSERT", None),
+])
+def test_change_topics(spark, table, event, topic):
+    entries = spark.createDataFrame(
+        [("ROWDATA", table, event, 1, [[("id", "1"), ("n", "x")], [("id", "2"), ("n", "")]]),
+         ("TRANSACTIONBEGIN", table, event, 1, [])], schemas.CDC_ENTRY)
+    flat = cdc.flatten_cdc(cdc.route_cdc(entries))
+    got = sorted((r.topic, tuple(json.loads(r.value).items())) for r in flat.collect())
+    assert got == ([(topic, (("id", "1"), ("n", "x"))), (topic, (("id", "2"), ("n", "")))] if topic else [])
+
+
+def test_kafka_options():
+    options = topics.kafka_options("host:1", "startup_log", max_records=10)
+    assert options["startingOffsets"] == "latest" and options["subscribe"] == "startup_log"
+    assert options["maxOffsetsPerTrigger"] == "10"
+
+
+@pytest.mark.parametrize("birthday,age", [
+    ("2024-06-01", 0), ("2023-06-02", 1), ("2023-06-03", 0), ("2004-06-06", 20), ("2004-06-07", 19), ("1990-5-2", 34),
+    ("soon", None), (None, None),
+])
+def test_age_counts_years_of_365_days(spark, birthday, age):
+    as_of = F.lit("2024-06-01 12:00:00").cast("timestamp")
+    assert value(spark, values.age_in_years(F.lit(birthday).cast("string"), as_of)) == age
+
+
+@pytest.mark.parametrize("part,whole,percent", [(1, 3, 33.3), (2, 3, 66.7), (1, 2000, 0.1), (0, 5, 0.0), (1, 0, None)])
+def test_percent(spark, part, whole, percent):
+    assert value(spark, values.percent_tenths(F.lit(part), F.lit(whole))) == percent
+
+
+def test_bands_and_labels(spark):
+    bands = [value(spark, values.age_band(F.lit(a))) for a in (0, 19, 20, 30, 31)]
+    assert bands == ["under20", "under20", "20to30", "20to30", "over30"]
+    assert [value(spark, values.gender_label(F.lit(g))) for g in ("F", "M")] == ["女", "男"]
+
+
+def test_clock(spark):
+    assert value(spark, clock.day_of(F.lit(1597645200000))) == "2020-08-17"
+    assert value(spark, clock.hour_of(F.lit(1597645200000))) == "06"
+    assert value(spark, clock.minute_of(F.lit(119999))) == 1
+    assert value(spark, clock.previous_day("2024-03-01")) == "2024-02-29"
+    assert value(spark, clock.millis(F.timestamp_millis(F.lit(1234)))) == 1234
+    assert value(spark, clock.text_hour(F.lit("2024-03-01 :20"))) is None
+
+
+@pytest.mark.parametrize("name,keyword,found", [
+    ("Red gear", "GEAR", True), ("red gear", "gear red", True), ("red gears", "gear", False), ("red", "red gear", False),
+    ("steel-gear 5", "gear,5", True), ("小米手机", "手机", True), ("小米手机", "手表", False),
+])
+def test_keyword(spark, name, keyword, found):
+    assert value(spark, text.has_all_words(F.lit(name), keyword)) is found
+
+
+def test_ideographs_may_stay_together(spark):
+    assert value(spark, text.has_all_words(F.lit("小米手机"), "手机", split_ideographs=False)) is False

@@ -255,15 +255,12 @@ def test_rejected_records_are_kept(spark, feed, tmp_path):
     assert rows(spark.read.text(str(tmp_path / "bad")).select("value")) == [('{"uid": "9"}',), ("{bad",)]
 
 
-def test_progress_goes_to_the_shared_folder(spark, feed, tmp_path):
-    from pathlib import Path
-
-    from retailstream.session import shared_folder
-
+def test_progress_goes_to_the_shared_folder(spark, feed, monkeypatch, tmp_path):
     source = feed("in")
     source.add(startup("a", "1", 0))
+    monkeypatch.setattr(jobs, "shared_folder", lambda session: str(tmp_path / "shared"))
     finish(jobs.daily_active_devices(source.stream(), str(tmp_path / "dau"), every=None))
-    assert (Path(shared_folder(spark)) / "streams" / "daily_active_devices" / "offsets").exists()
+    assert (tmp_path / "shared" / "streams" / "daily_active_devices" / "offsets").exists()
 
 
 def test_batch_report_on_streamed_sales(spark, folder, tmp_path):

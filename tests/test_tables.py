@@ -1,0 +1,201 @@
+"""Ranking, joins and reports on small frames; also with one very hot key."""
+
+import random
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import functions as F
+
+from retailstream import schemas
+from retailstream.operators import dedup, joins, skew
+from retailstream.plans import activity, realtime, revenue, sales
+from retailstream.session import shared_folder
+
+from .conftest import rows
+
+
+def logs(spark, *records):
+    return spark.createDataFrame(
+        [(m, u, d, h, t) for m, u, d, h, t in records], "mid string, uid string, logDate string, logHour string, ts bigint")
+
+
+def test_first_activity_breaks_ties_by_account(spark):
+    frame = logs(spark, ("a", "2", "d1", "05", 7), ("a", "1", "d1", "05", 7), ("a", "0", "d1", "06", 9),
+                 ("a", "3", "d2", "01", 50), ("b", "4", "d1", "05", 8))
+    assert rows(dedup.first_activity(frame), "mid", "uid", "logDate") == [
+        ("a", "1", "d1"), ("a", "3", "d2"), ("b", "4", "d1")]
+    times = dedup.first_activity_time(frame)
+    assert rows(times, "mid", "logDate", "ts") == rows(dedup.first_activity(frame), "mid", "logDate", "ts")
+
+
+def test_seen_devices_are_dropped_for_their_day_only(spark):
+    frame = logs(spark, ("a", "1", "d1", "05", 1), ("a", "1", "d2", "05", 2), ("b", "1", "d1", "05", 3), ("b", "1", "d1", "05", 2))
+    seen = logs(spark, ("a", "9", "d1", "00", 0), ("a", "9", "d1", "00", 0))
+    new = dedup.new_activity(frame, seen)
+    assert new.columns == frame.columns
+    assert rows(new, "mid", "logDate", "ts") == [("a", "d2", 2), ("b", "d1", 2)]
+    # Filtering before ranking gives the same.
+    assert rows(dedup.first_activity(dedup.unseen(frame, seen)), "mid", "ts") == rows(new, "mid", "ts")
+
+
+def test_latest_per_key(spark):
+    frame = spark.createDataFrame([(1, 1, "x"), (1, 2, "a"), (1, 2, "b"), (2, None, "n"), (2, 0, "y")], "k int, seq int, v string")
+    assert rows(dedup.latest_per_key(frame, ["k"], ["seq"])) == [(1, 2, "b"), (2, 0, "y")]
+
+
+def test_ranking_runs_before_the_exchange(spark):
+    plan = dedup.first_activity(logs(spark, ("a", "1", "d", "0", 1)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
+@pytest.fixture
+def hot(spark):
+    """Half of the rows on one key, a tenth without a key."""
+    rng = random.Random(7)
+    keys = ["hot" if (x := rng.random()) < 0.5 else None if x < 0.6 else f"k{rng.randint(0, 50)}" for _ in range(2000)]
+    many = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "row int, key string")
+    unique = spark.createDataFrame([(k, f"v-{k}") for k in ["hot", *(f"k{i}" for i in range(40))]], "key string, v string")
+    return many, unique
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_dealt_join_equals_plain_join(hot, how):
+    many, unique = hot
+    want = rows(many.join(unique, "key", how), "row", "key", "v")
+    assert rows(skew.join_unique(many, unique, "key", "row", how), "row", "key", "v") == want
+    for least in (1, 100, 10**9):
+        got = skew.join_dealt(many, unique, "key", "row", how, parts=5, least_rows=least)
+        assert rows(got, "row", "key", "v") == want
+
+
+def test_hot_rows_are_spread(hot):
+    many, unique = hot
+    assert rows(skew.hot_keys(many, "key", 100)) == [("hot",)]
+    joined = skew.join_dealt(many, unique.hint("shuffle_hash"), "key", "row", "left", parts=8, least_rows=100)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in plan
+
+
+def test_join_is_dealt_where_spark_does_not_split(spark, hot):
+    many, unique = hot
+    want = rows(many.join(unique, "key", "left"), "row", "v")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert not skew.splits_skew(spark)
+        joined = skew.join_unique(many, unique, "key", "row", "left")
+        assert "_part" in joined._jdf.queryExecution().analyzed().toString()
+        assert rows(joined, "row", "v") == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_dealt_join_refuses_other_kinds(hot):
+    with pytest.raises(ValueError):
+        skew.join_dealt(*hot, "key", "row", "full_outer")
+
+
+def orders(spark, *records):
+    frame = spark.createDataFrame(list(records), "id string, user_id string, total_amount double, create_date string, create_hour string")
+    return frame.withColumns({"order_status": F.lit("P"), "create_time": F.concat_ws(" ", "create_date", "create_hour"),
+                              "province_id": F.lit("4")})
+
+
+def details(spark, *records):
+    frame = spark.createDataFrame(list(records), "id string, order_id string, order_price string, sku_name string")
+    return frame.withColumns({"sku_id": F.lit("5")})
+
+
+USERS = [("u1", "2000-01-01", "F", "1"), ("u2", "2010-01-01", "M", "2")]
+
+
+def test_sides(spark):
+    o = orders(spark, ("1", "u1", 1.0, "d", "01"), ("2", "u1", 1.0, "d", "01"))
+    d = details(spark, ("a", "1", "1", "x"), ("b", "1", "1", "x"), ("c", "9", "1", "x"), ("e", None, "1", "x"))
+    want = [("1", "a", "both"), ("1", "b", "both"), ("2", None, "order"), ("9", "c", "detail"), (None, "e", "detail")]
+    assert rows(joins.match_sides(o, d)) == sorted(want, key=repr)
+
+
+def wide(spark):
+    o = orders(spark, ("1", "u1", 1.0, "2024-01-01", "01"), ("2", "u2", 1.0, "2024-01-01", "02"), ("3", "u9", 1.0, "2024-01-02", "02"))
+    d = details(spark, ("a", "1", "1.5", "Red Gear"), ("b", "1", "oops", "blue bolt"), ("c", "2", "2", "gear red"),
+                ("d", "3", "3", "red gear"), ("x", "7", "3", "red gear"))
+    u = spark.createDataFrame(USERS, "id string, birthday string, gender string, user_level string")
+    return sales.sale_detail(o, d, u, F.lit("2024-06-01").cast("timestamp"))
+
+
+def test_sale_detail(spark):
+    table = wide(spark)
+    assert [(f.name, f.dataType) for f in table.schema] == [(f.name, f.dataType) for f in schemas.SALE_DETAIL]
+    assert rows(table, "order_detail_id", "user_id", "user_gender", "user_age", "user_level", "sku_price") == [
+        ("a", "u1", "F", 24, "1", 1.5), ("b", "u1", "F", 24, "1", None), ("c", "u2", "M", 14, "2", 2.0),
+        ("d", "u9", None, 0, None, 3.0)]
+
+
+def test_search_and_shares(spark):
+    table = wide(spark)
+    hits = sales.search(table, "2024-01-01", "RED gear")
+    assert rows(hits, "order_detail_id") == [("a",), ("c",)]
+    assert sales.search(table, "2024-01-01").count() == 3
+    assert rows(sales.age_share(hits), "name", "value") == [("20岁以下", 50.0), ("20岁到30岁", 50.0), ("30岁以上", 0.0)]
+    assert rows(sales.gender_share(hits), "name", "value") == [("女", 50.0), ("男", 50.0)]
+    assert rows(sales.gender_share(table, normalize=False), "name", "value") == [("女", 2.0), ("男", 2.0)]
+    assert sales.share_counts(table).first().unknown == 1
+    none = sales.search(table, "1999-01-01")
+    assert {r.value for r in sales.stats(none).collect()} == {None}
+    assert rows(sales.total(none)) == [(0,)]
+
+
+def test_pages(spark):
+    table = wide(spark)
+    assert [r.order_detail_id for r in sales.page(table, 2, 3).collect()] == ["d"]
+    assert [r.order_detail_id for r in sales.page_after(table, "b", 2).collect()] == ["c", "d"]
+    assert [r.order_detail_id for r in sales.page_after(table, None, 2).collect()] == ["a", "b"]
+    report = sales.sale_report(table, "2024-01-01", 1, 2, "")
+    assert report["total"].first().total == 3
+    assert report["stat"].count() == 5 and report["detail"].count() == 2
+
+
+def test_headlines_and_hours(spark):
+    dau = logs(spark, ("a", "1", "2024-01-15", "05", 1705294800000), ("b", "1", "2024-01-15", "05", 1705294800001),
+               ("a", "1", "2024-01-14", "07", 1705215600000))
+    o = orders(spark, ("1", "u", 1.5, "2024-01-15", "05"), ("2", "u", 2.0, "2024-01-15", "23"))
+    assert rows(realtime.realtime_total(dau, o, day="2024-01-15"), "id", "value") == [
+        ("dau", 2.0), ("new_mid", 1.0), ("order_amount", 3.5)]
+    assert realtime.realtime_total(dau, o, day="2024-01-20").filter("id = 'order_amount'").first().value is None
+    hours = realtime.realtime_hours("dau", dau, o, day="2024-01-15")
+    assert rows(hours) == [("05", None, 2), ("07", 1, None)]
+    full = realtime.every_hour(hours).orderBy("hour").collect()
+    assert len(full) == 24 and tuple(full[5]) == ("05", 0, 2) and tuple(full[7]) == ("07", 1, 0)
+    assert realtime.hours_json(hours).first().report == '{"yesterday":{"07":1},"today":{"05":2}}'
+    assert rows(realtime.realtime_hours("order_amount", dau, o, day="2024-01-15")) == [("05", None, 1.5), ("23", None, 2.0)]
+    assert rows(realtime.realtime_hours("new_mid", dau, o, day="2024-01-15")) == [("05", None, 1), ("07", 1, None)]
+    assert realtime.realtime_hours("other", dau, o).count() == 0
+    assert realtime.realtime_hours("dau", dau, o).count() == 0  # today
+
+
+def test_unknown_metric_is_an_empty_report(spark):
+    empty = realtime.realtime_hours("other", logs(spark), logs(spark), day="2024-01-15")
+    assert realtime.hours_json(empty).first().report == '{"yesterday":{},"today":{}}'
+
+
+def test_revenue(spark):
+    o = orders(spark, ("1", "u", 1.5, "d", "05"), ("2", "u", 2.0, "d", "05"), ("3", "u", None, "d", "06"))
+    assert rows(revenue.gmv_total(o, "d")) == [(3.5,)]
+    assert rows(revenue.gmv_total(o, "e")) == [(None,)]
+    assert rows(revenue.gmv_by_hour(o, "d")) == [("05", 3.5), ("06", None)]
+    assert rows(revenue.sales_by_province(o, bin_width=1.0)) == [("4", 3, 3.5, 3)]
+    assert rows(revenue.sales_by_province(o, bin_width=0.1)) == [("4", 3, 3.5, 5)]
+    assert [tuple(r) for r in revenue.sales_by_sku(wide(spark)).collect()] == [
+        ("Red Gear", 1), ("blue bolt", 1), ("gear red", 1), ("red gear", 1)]
+
+
+def test_new_devices_count_once(spark):
+    frame = logs(spark, ("a", "1", "x", "x", 1705294800000), ("a", "1", "x", "x", 1705215600000))
+    assert rows(activity.new_devices(frame)) == [("a", "2024-01-14", "07")]
+
+
+def test_shared_folder_is_named_by_the_session():
+    session = lambda value: SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: value))
+    assert shared_folder(session("hdfs://shared/")) == "hdfs://shared"
+    with pytest.raises(ValueError):
+        shared_folder(session(None))
