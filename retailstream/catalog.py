@@ -150,15 +150,15 @@ def gmv_facts(spark, folder):
 
 
 def gmv_total(spark, folder):
-    return _cents(revenue.gmv_total(fixtures.order_info(spark, folder, ORDER_DAY), ORDER_DAY), "amount")
+    return _cents(revenue.gmv_total(fixtures.order_info(spark, folder, ORDER_DAY, ORDER_DAY), ORDER_DAY), "amount")
 
 
 def gmv_by_hour(spark, folder):
-    return _cents(revenue.gmv_by_hour(fixtures.order_info(spark, folder, ORDER_DAY), ORDER_DAY), "amount")
+    return _cents(revenue.gmv_by_hour(fixtures.order_info(spark, folder, ORDER_DAY, ORDER_DAY), ORDER_DAY), "amount")
 
 
 def hours_gmv(spark, folder):
-    orders = fixtures.order_info(spark, folder)
+    orders = fixtures.order_info(spark, folder, ORDER_DAY_BEFORE, ORDER_DAY)
     hours = realtime.every_hour(realtime.hours_amount(orders, ORDER_DAY))
     return _cents(hours, "yesterday", "today")
 
@@ -176,7 +176,7 @@ def realtime_total(spark, folder):
     history = fixtures.startup_log(spark, folder)
     dau = _dau(spark, folder, LOG_DAY, LOG_DAY)
     # The order table ends years before the logs begin: move its day to theirs.
-    orders = fixtures.order_info(spark, folder, ORDER_DAY).withColumn("create_date", F.lit(LOG_DAY))
+    orders = fixtures.order_info(spark, folder, ORDER_DAY, ORDER_DAY).withColumn("create_date", F.lit(LOG_DAY))
     return _cents(realtime.realtime_total(dau, orders, history, LOG_DAY), "value")
 
 
@@ -208,7 +208,7 @@ def order_detail_interval(spark, folder):
 
 def _sales(spark, folder, day=None, sku=True):
     return sales.sale_detail(
-        fixtures.order_info(spark, folder, day),
+        fixtures.order_info(spark, folder, day, day),
         fixtures.detail_wire(spark, folder, sku),
         fixtures.user_info(spark, folder),
         _as_of(),
@@ -276,6 +276,25 @@ def share_counts(spark, folder):
     return sales.stats(_sales(spark, folder, sku=False), normalize=False)
 
 
+def sale_report_json(spark, folder):
+    """The whole answer to a search as one JSON object, a few fields read back."""
+    report = sales.report_json(sales.sale_report(_sales(spark, folder, ORDER_DAY), ORDER_DAY, 1, 5, KEYWORD))
+    paths = {
+        "total": "$.total", "age_title": "$.stat[0].title", "under20": "$.stat[0].options[0].value",
+        "female_label": "$.stat[1].options[0].name", "female": "$.stat[1].options[0].value",
+        "first_id": "$.detail[0].order_detail_id", "last_id": "$.detail[4].order_detail_id",
+        "last_sku": "$.detail[4].sku_name", "beyond": "$.detail[5]",
+    }
+    return report.select(*[F.get_json_object("report", path).alias(name) for name, path in paths.items()])
+
+
+def realtime_total_json(spark, folder):
+    dau = _dau(spark, folder, LOG_DAY, LOG_DAY)
+    nothing_ordered = fixtures.order_info(spark, folder, LOG_DAY, LOG_DAY)
+    history = fixtures.startup_log(spark, folder)
+    return realtime.total_json(realtime.realtime_total(dau, nothing_ordered, history, LOG_DAY))
+
+
 def share_unknown(spark, folder):
     return sales.share_counts(_sales(spark, folder, sku=False))
 
@@ -364,6 +383,7 @@ _QUERIES: list[Query] = [
     sale_detail, sale_keyword, sale_day, sale_page, sale_page_after, sale_total,
     sale_by_age, sale_by_age_top, sale_by_gender, sale_by_band,
     age_share, gender_share, sale_stats, share_counts, share_unknown,
+    sale_report_json, realtime_total_json,
     coupon_alert, coupon_alert_members, coupon_alert_windows, coupon_alert_per_minute,
     coupon_rule_static, coupon_alert_panes,
     user_dim_latest, order_latest, sale_detail_latest,

@@ -27,7 +27,7 @@ CLICK = "clickItem"
 
 def _floor_div(value: Column, by: int) -> Column:
     """Floor division, also for times before the epoch."""
-    return F.floor((value - F.pmod(value, F.lit(by))) / F.lit(by)).cast("bigint")
+    return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
 
 
 def _check(window_seconds: int, slide_seconds: int) -> None:
@@ -35,13 +35,6 @@ def _check(window_seconds: int, slide_seconds: int) -> None:
         raise ValueError("the window length must be a multiple of the slide")
 
 
-def static_rule(rows: DataFrame, device: str, event: str, account: str, click: str = "click",
-                min_accounts: int = MIN_ACCOUNTS) -> DataFrame:
-    """Devices that trip the rule over the whole input, without windows."""
-    marks = _marks(rows, F.col(device), F.col(event), F.col(account), click).distinct()
-    return _tripped(marks, ["mid"], min_accounts).select(F.col("mid").alias(device), "accounts")
-
-
 def _marks(rows: DataFrame, mid: Column, event: Column, account: Column, click: str, *others: Column) -> DataFrame:
     """The two kinds of events the rule looks at; clicks leave ``account`` NULL."""
     wanted = ((event == COUPON) & account.isNotNull()) | (event == click)
@@ -50,18 +43,15 @@ def _marks(rows: DataFrame, mid: Column, event: Column, account: Column, click:
     )
 
 
-def _tripped(marks: DataFrame, keys: list[str], min_accounts: int) -> DataFrame:
-    """Groups with enough accounts and no click. Marks may repeat."""
-    counted = marks.groupBy(*keys, "account").agg(F.lit(1).alias("_one"))
-    return (
-        counted.groupBy(*keys)
-        .agg(
-            F.count("account").cast("int").alias("accounts"),
-            F.max(F.col("account").isNull()).alias("_clicked"),
-        )
-        .filter((F.col("accounts") >= min_accounts) & ~F.col("_clicked"))
-        .drop("_clicked")
+def static_rule(rows: DataFrame, device: str, event: str, account: str, click: str = "click",
+                min_accounts: int = MIN_ACCOUNTS) -> DataFrame:
+    """``(device, accounts)`` of devices that trip the rule over the whole input."""
+    marks = _marks(rows, F.col(device), F.col(event), F.col(account), click).distinct()
+    counts = marks.groupBy(F.col("mid").alias(device)).agg(
+        F.count("account").cast("int").alias("accounts"),
+        F.max(F.col("account").isNull()).alias("clicked"),
     )
+    return counts.filter((F.col("accounts") >= min_accounts) & ~F.col("clicked")).drop("clicked")
 
 
 def alert_windows(

@@ -277,6 +277,22 @@ ORACLE_SQL: dict[str, str] = {
     "share_unknown": f"""
         WITH {_SALES}, {_counts('sale')}
         SELECT total, low AS under20, mid AS "20to30", female, unknown FROM counts""",
+    "sale_report_json": f"""
+        WITH {_HITS}, {_counts('hits')},
+        paged AS (SELECT *, row_number() OVER (ORDER BY order_detail_id) AS pos FROM hits)
+        SELECT CAST(total AS VARCHAR) AS total, '用户年龄占比' AS age_title, CAST(low_p AS VARCHAR) AS under20,
+               '女' AS female_label, CAST(female_p AS VARCHAR) AS female,
+               (SELECT order_detail_id FROM paged WHERE pos = 1) AS first_id,
+               (SELECT order_detail_id FROM paged WHERE pos = 5) AS last_id,
+               (SELECT sku_name FROM paged WHERE pos = 5) AS last_sku, {_NO} AS beyond
+        FROM pct""",
+    "realtime_total_json": f"""
+        WITH {_STARTUP}
+        SELECT '[{{"id":"dau","name":"新增日活","value":'
+            || CAST((SELECT count(*) FROM dau WHERE day = '{LOG_DAY}') AS DOUBLE)
+            || '}},{{"id":"new_mid","name":"新增设备","value":'
+            || CAST((SELECT count(*) FROM newcomers WHERE day = '{LOG_DAY}') AS DOUBLE)
+            || '}},{{"id":"order_amount","name":"新增交易额"}}]' AS report""",
     "coupon_alert": _ALERT_DOCS,
     "coupon_alert_panes": _ALERT_DOCS,
     "coupon_alert_members": f"""

@@ -45,6 +45,13 @@ def realtime_total(dau: DataFrame, orders: DataFrame, logs: DataFrame | None = N
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+def total_json(figures: DataFrame) -> DataFrame:
+    """The three figures as one JSON list; a figure without a value has none."""
+    position = F.array_position(F.lit(list(METRICS)), F.col("id"))
+    entries = F.array_sort(F.collect_list(F.struct(position.alias("at"), F.struct("id", "name", "value").alias("entry"))))
+    return figures.agg(F.to_json(entries["entry"]).alias("report"))
+
+
 def _compare(facts: DataFrame, day_column: str, hour_column: str, value: Column, day: str) -> DataFrame:
     """``(hour, yesterday, today)`` summed in one pass over both days; a day
     without rows in an hour is NULL there."""

@@ -13,6 +13,7 @@ from ..schemas import SALE_DETAIL
 AGE_TITLE = "用户年龄占比"
 GENDER_TITLE = "用户性别占比"
 AGE_LABELS = {"under20": "20岁以下", "20to30": "20岁到30岁", "over30": "30岁以上"}
+GENDER_LABELS = ["女", "男"]
 DEFAULT_DAY = "2019-03-04"
 
 
@@ -132,3 +133,23 @@ def sale_report(sales: DataFrame, day: str = DEFAULT_DAY, number: int = 1, size:
     """The whole answer to one search: ``total``, ``stat`` and ``detail`` frames."""
     hits = search(sales, day, keyword)
     return {"total": total(hits), "stat": stats(hits), "detail": page(hits, number, size)}
+
+
+def report_json(report: dict[str, DataFrame]) -> DataFrame:
+    """The answer of ``sale_report`` as one JSON object: ``total``, ``stat``, ``detail``.
+
+    What comes together here is one page, five shares and a total.
+    """
+    at = F.array_position(F.lit([*AGE_LABELS.values(), *GENDER_LABELS]), F.col("name"))
+    options = F.array_sort(F.collect_list(F.struct(at.alias("at"), F.struct("name", "value").alias("option"))))
+    stat = report["stat"].groupBy("title").agg(options.alias("o")).select(
+        F.struct(F.col("o")[0]["at"].alias("at"), F.struct(F.col("o.option").alias("options"), "title").alias("stat")).alias("stat")
+    )
+    detail = report["detail"].select(F.struct("order_detail_id", F.struct("*").alias("detail")).alias("detail"))
+    parts = report["total"].unionByName(stat, allowMissingColumns=True).unionByName(detail, allowMissingColumns=True)
+    together = parts.agg(
+        F.max("total").alias("total"),
+        F.array_sort(F.collect_list("stat"))["stat"].alias("stat"),
+        F.array_sort(F.collect_list("detail"))["detail"].alias("detail"),
+    )
+    return together.select(F.to_json(F.struct("total", "stat", "detail")).alias("report"))

@@ -82,8 +82,8 @@ def log_json(spark: SparkSession, folder: str, stamped: bool = True) -> DataFram
     return numbered.select(text.alias("value"), "sent_at")
 
 
-def _orders(spark: SparkSession, folder: str, day: str | None, province: bool) -> DataFrame:
-    orders = table(spark, folder, "orders").filter(_between("o_orderdate", day, day))
+def _orders(spark: SparkSession, folder: str, province: bool, first=None, last=None) -> DataFrame:
+    orders = table(spark, folder, "orders").filter(_between("o_orderdate", first, last))
     if not province:
         return orders.withColumn("c_nationkey", F.lit(None).cast("int"))
     homes = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
@@ -110,17 +110,19 @@ def order_wire(spark: SparkSession, folder: str, province: bool = True) -> DataF
     """Orders with all columns as text, as change records carry them."""
     known = _order_columns() | {"total_amount": F.col("o_totalprice").cast("decimal(18,2)").cast("string")}
     missing = F.lit(None).cast("string")
-    return _orders(spark, folder, None, province).select(
+    return _orders(spark, folder, province).select(
         *[known.get(n, missing).alias(n) for n in schemas.ORDER_WIRE.fieldNames()]
     )
 
 
-def order_info(spark: SparkSession, folder: str, day: str | None = None, province: bool = False) -> DataFrame:
+def order_info(
+    spark: SparkSession, folder: str, first: str | None = None, last: str | None = None, province: bool = False
+) -> DataFrame:
     """Orders as decoding leaves them, straight from the columns."""
     known = _order_columns()
     known["consignee_tel"] = masked_phone(known["consignee_tel"])
     missing = F.lit(None).cast("string")
-    return _orders(spark, folder, day, province).select(
+    return _orders(spark, folder, province, first, last).select(
         *[known.get(n, missing).alias(n) for n in schemas.ORDER_INFO.fieldNames()]
     )
 

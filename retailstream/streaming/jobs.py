@@ -70,6 +70,10 @@ def order_facts(raw: DataFrame, path: str, checkpoint: str | None = None, every:
     return start(decode.accepted(decoded), write, "order_facts", checkpoint, every)
 
 
+def read_orders(spark: SparkSession, path: str) -> DataFrame:
+    return sinks.read_latest(spark, path, schemas.ORDER_INFO, ["id"], ("create_date",))
+
+
 def coupon_alerts(
     raw: DataFrame,
     path: str,
@@ -97,7 +101,7 @@ def coupon_alerts(
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return sinks.read_latest(spark, path, schemas.COUPON_ALERT, ["alert_id"], ("ts",))
+    return sinks.read_latest(spark, path, schemas.COUPON_ALERT, ["alert_id"], ("dt",), ("ts",))
 
 
 def user_dimension(raw: DataFrame, path: str, checkpoint: str | None = None, every: str | None = USER_EVERY):
@@ -172,7 +176,7 @@ def sale_details(
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    return sinks.read_latest(spark, path, SALE_DETAIL, ["order_detail_id"])
+    return sinks.read_latest(spark, path, SALE_DETAIL, ["order_detail_id"], ("dt",))
 
 
 def log_routing(

@@ -38,11 +38,20 @@ def read_versions(spark: SparkSession, path: str, schema: StructType) -> DataFra
 
 
 def read_latest(
-    spark: SparkSession, path: str, schema: StructType, keys: list[str], newest: tuple[str, ...] = ()
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    keys: list[str],
+    partitions: tuple[str, ...] = (),
+    newest: tuple[str, ...] = (),
 ) -> DataFrame:
-    """The current rows: per key the version of the latest batch."""
+    """The current rows: per key the version of the latest batch.
+
+    A row keeps its day for good, so the partition columns count as part of
+    the key, and a filter on the day prunes partitions through this view.
+    """
     versions = read_versions(spark, path, schema)
-    return latest_per_key(versions, keys, [*newest, BATCH]).drop(BATCH)
+    return latest_per_key(versions, [*partitions, *keys], [*newest, BATCH]).drop(BATCH)
 
 
 def write_batch(
@@ -97,7 +106,7 @@ def compact(
     """Write the current rows of ``source`` to the table ``target``, as its batch -1."""
     if source.rstrip("/") == target.rstrip("/"):
         raise ValueError("compact into another folder; the source stays readable meanwhile")
-    write_batch(read_latest(spark, source, schema, keys, newest), -1, target, partitions)
+    write_batch(read_latest(spark, source, schema, keys, partitions, newest), -1, target, partitions)
 
 
 def kafka_sink(routed: DataFrame, servers: str):

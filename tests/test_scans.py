@@ -45,5 +45,8 @@ def test_tables_are_pruned_by_day(spark, tmp_path, schema, day_column, report):
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != day_column]
     row = spark.range(1).select(*nothing, F.lit("2024-01-15").alias(day_column))
     sinks.write_batch(row, 0, path, (day_column,))
-    table = sinks.read_versions(spark, path, schema)
-    assert f"PartitionFilters: [isnotnull({day_column}" in plan(report(table, "2024-01-15"))
+    for table in (
+        sinks.read_versions(spark, path, schema),
+        sinks.read_latest(spark, path, schema, [schema[0].name], (day_column,)),
+    ):
+        assert f"PartitionFilters: [isnotnull({day_column}" in plan(report(table, "2024-01-15"))

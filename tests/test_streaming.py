@@ -137,7 +137,7 @@ def test_order_facts_last_version_wins(spark, feed, tmp_path):
     source.add((order("1"), 0), (order("2"), 0), (order("2", status="Q"), 1), "not json", {"id": "3", "create_time": "x"})
     source.add((order("1", status="R"), 9))
     finish(jobs.order_facts(source.stream(), table, str(tmp_path / "mark"), every=None))
-    got = sinks.read_latest(spark, table, schemas.ORDER_INFO, ["id"])
+    got = jobs.read_orders(spark, table)
     assert rows(got, "id", "order_status", "total_amount", "create_date", "create_hour", "consignee_tel") == [
         ("1", "R", 10.5, "2024-01-15", "10", "1381*******"),
         ("2", "Q", 10.5, "2024-01-15", "10", "1381*******"),
@@ -207,11 +207,23 @@ def test_sale_details_wait_for_each_other(spark, feed, tmp_path):
     ]
     assert got.columns == schemas.SALE_DETAIL.fieldNames()
 
-    # The batch join with the same bounds gives the same pairs, dealt out or not.
+    # Rows that found no partner come out when their wait is over, if asked for.
     from retailstream.operators.joins import within_wait
 
-    o = decode.accepted(decode.order_infos(orders.batch(), ("received_at",))).withColumnRenamed("received_at", "order_ts")
-    d = decode.accepted(decode.order_details(details.batch(), ("received_at",))).withColumnRenamed("received_at", "detail_ts")
+    def timed(frames):
+        o = decode.accepted(decode.order_infos(frames(orders), ("received_at",)))
+        d = decode.accepted(decode.order_details(frames(details), ("received_at",)))
+        return (o.withColumnRenamed("received_at", "order_ts").withWatermark("order_ts", "10 seconds"),
+                d.withColumnRenamed("received_at", "detail_ts").withWatermark("detail_ts", "10 seconds"))
+
+    lonely = within_wait(*timed(Feed.stream), how="full_outer").select(F.col("o.id").alias("o"), F.col("d.id").alias("d"))
+    keep = lambda batch, batch_id: sinks.write_batch(batch, batch_id, str(tmp_path / "outer"))
+    finish(jobs.start(lonely, keep, "outer", str(tmp_path / "mark_outer"), every=None))
+    assert rows(spark.read.parquet(str(tmp_path / "outer")), "o", "d") == [
+        ("1", "d1"), ("2", "d2"), ("3", "d3"), ("4", None), (None, "d4")]
+
+    # The batch join with the same bounds gives the same pairs, dealt out or not.
+    o, d = timed(Feed.batch)
     for parts in (1, 3):
         pairs = within_wait(o, d, parts=parts)
         assert rows(pairs, F.col("d.id"), F.col("o.id")) == [("d1", "1"), ("d2", "2"), ("d3", "3")]

@@ -1,5 +1,6 @@
 """Ranking, joins and reports on small frames; also with one very hot key."""
 
+import json
 import random
 from types import SimpleNamespace
 
@@ -153,6 +154,10 @@ def test_pages(spark):
     report = sales.sale_report(table, "2024-01-01", 1, 2, "")
     assert report["total"].first().total == 3
     assert report["stat"].count() == 5 and report["detail"].count() == 2
+    answer = json.loads(sales.report_json(report).first().report)
+    assert answer["total"] == 3
+    assert [[o["name"] for o in s["options"]] for s in answer["stat"]] == [["20岁以下", "20岁到30岁", "30岁以上"], ["女", "男"]]
+    assert [d["order_detail_id"] for d in answer["detail"]] == ["a", "b"]
 
 
 def test_headlines_and_hours(spark):
@@ -161,6 +166,8 @@ def test_headlines_and_hours(spark):
     o = orders(spark, ("1", "u", 1.5, "2024-01-15", "05"), ("2", "u", 2.0, "2024-01-15", "23"))
     assert rows(realtime.realtime_total(dau, o, day="2024-01-15"), "id", "value") == [
         ("dau", 2.0), ("new_mid", 1.0), ("order_amount", 3.5)]
+    figures = json.loads(realtime.total_json(realtime.realtime_total(dau, o, day="2024-01-15")).first().report)
+    assert [f["id"] for f in figures] == ["dau", "new_mid", "order_amount"]
     assert realtime.realtime_total(dau, o, day="2024-01-20").filter("id = 'order_amount'").first().value is None
     hours = realtime.realtime_hours("dau", dau, o, day="2024-01-15")
     assert rows(hours) == [("05", None, 2), ("07", 1, None)]
