@@ -13,10 +13,18 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Settings for streams that keep state: on disk rather than on the heap, with
+# only the changes of a batch sent to the shared checkpoint.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else built."""
-    for name, value in RUNTIME_SETTINGS.items():
+    for name, value in (RUNTIME_SETTINGS | STATE_SETTINGS).items():
         spark.conf.set(name, value)
     return spark
 

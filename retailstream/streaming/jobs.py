@@ -45,16 +45,35 @@ def _arrival(raw: DataFrame) -> tuple[str, ...]:
     return tuple(c for c in ("received_at", "offset") if c in raw.columns)
 
 
-def daily_active_devices(raw: DataFrame, path: str, checkpoint: str | None = None, every: str | None = EVERY):
-    """First activity per device and day into the DAU table."""
+def daily_active_devices(
+    raw: DataFrame,
+    path: str,
+    checkpoint: str | None = None,
+    every: str | None = EVERY,
+    remember: str = "table",
+    late: str = "1 day",
+):
+    """First activity per device and day into the DAU table.
+
+    With ``remember='table'`` a batch is compared with the table's partitions
+    of its days, and of several records in a batch the earliest is kept. With
+    ``remember='state'`` the stream itself remembers devices, for days with so
+    many of them that reading the table in every batch takes too long; which of
+    several records of one batch stays is then up to Spark, and records more
+    than ``late`` behind are dropped.
+    """
     schema = schemas.STARTUP_LOG
     sinks.create_table(raw.sparkSession, path, schema, ("logDate",))
-    decoded = decode.counted(decode.startup_logs(raw), "startup_logs")
-
-    def write(batch, batch_id):
-        sinks.add_new_activity(batch, batch_id, path, schema)
-
-    return start(decode.accepted(decoded), write, "daily_active_devices", checkpoint, every)
+    logs_ = decode.accepted(decode.counted(decode.startup_logs(raw), "startup_logs"))
+    if remember == "table":
+        write = lambda batch, batch_id: sinks.add_new_activity(batch, batch_id, path, schema)
+    elif remember == "state":
+        timed = logs_.withColumn("event_time", F.timestamp_millis("ts")).withWatermark("event_time", late)
+        logs_ = timed.dropDuplicatesWithinWatermark(["mid", "logDate"]).drop("event_time")
+        write = lambda batch, batch_id: sinks.write_batch(batch, batch_id, path, ("logDate",))
+    else:
+        raise ValueError("remember devices in the 'table' or in the 'state'")
+    return start(logs_, write, "daily_active_devices", checkpoint, every)
 
 
 def order_facts(raw: DataFrame, path: str, checkpoint: str | None = None, every: str | None = EVERY):

@@ -93,6 +93,21 @@ def test_daily_active_devices(spark, feed, tmp_path):
     ]
 
 
+def test_daily_active_devices_from_state(spark, feed, tmp_path):
+    source, table, mark = feed("in"), str(tmp_path / "dau"), str(tmp_path / "mark")
+    day = 86400
+    source.add(startup("a", "1", 5), startup("a", "2", 3), startup("b", "3", 9), "{bad")
+    source.add(startup("a", "4", 1), startup("c", "5", 20), startup("a", "6", day))
+    finish(jobs.daily_active_devices(source.stream(), table, mark, every=None, remember="state"))
+    source.add(startup("b", "9", 30), startup("b", "6", day), startup("a", "7", day + 1))
+    finish(jobs.daily_active_devices(source.stream(), table, mark, every=None, remember="state"))
+    got = sinks.read_versions(spark, table, schemas.STARTUP_LOG)
+    assert rows(got, "logDate", "mid") == [
+        ("2024-01-15", "a"), ("2024-01-15", "b"), ("2024-01-15", "c"), ("2024-01-16", "a"), ("2024-01-16", "b")]
+    with pytest.raises(ValueError):
+        jobs.daily_active_devices(source.stream(), table, mark, remember="heart")
+
+
 def test_daily_active_devices_equals_batch(spark, folder, tmp_path):
     """On the sample, cut by time so that first batch and overall first agree."""
     table = str(tmp_path / "dau")
@@ -279,8 +294,8 @@ def test_batch_report_on_streamed_sales(spark, folder, tmp_path):
     """Tables written by the jobs are what the reports read."""
     table = str(tmp_path / "sales")
     wide = sales.sale_detail(
-        fixtures.order_info(spark, folder), fixtures.detail_wire(spark, folder), fixtures.user_info(spark, folder),
-        F.lit("2024-06-01").cast("timestamp"))
+        fixtures.order_info(spark, folder, "2000-01-01", "2000-03-31"), fixtures.detail_wire(spark, folder),
+        fixtures.user_info(spark, folder), F.lit("2024-06-01").cast("timestamp"))
     sinks.create_table(spark, table, schemas.SALE_DETAIL, ("dt",))
     sinks.upsert_batch(wide, 0, table, ["order_detail_id"], ("dt",))
     assert rows(sales.stats(jobs.read_sales(spark, table))) == rows(sales.stats(wide))

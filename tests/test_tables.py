@@ -90,6 +90,39 @@ def test_join_is_dealt_where_spark_does_not_split(spark, hot):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_spark_splits_hot_orders(spark):
+    """With sizes scaled down, the sale detail joins are split at run time."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    n = 40_000
+    hot_order = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 900).cast("string")
+    many = spark.range(0, n, 1, 8).select(
+        F.sha2(F.col("id").cast("string"), 256).alias("id"), hot_order.alias("order_id"), F.lit("5").alias("sku_id"),
+        F.lit("red gear").alias("sku_name"), F.lit("1.5").alias("order_price"))
+    few = spark.range(900).select(
+        F.col("id").cast("string").alias("id"), F.lit("P").alias("order_status"), F.lit("2024-01-01 10").alias("create_time"),
+        F.lit("2024-01-01").alias("create_date"), (F.col("id") % 7).cast("string").alias("user_id"))
+    users = spark.createDataFrame([(str(i), "2000-01-01", "F", "1") for i in range(5)],
+                                  "id string, birthday string, gender string, user_level string")
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        table = sales.sale_detail(few, many, users, F.lit("2024-06-01").cast("timestamp"))
+        assert table.agg(F.count("*"), F.count_distinct("order_detail_id")).first()[:] == (n, n)
+        table.collect()
+        assert "skew=true" in table._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_dealt_join_refuses_other_kinds(hot):
     with pytest.raises(ValueError):
         skew.join_dealt(*hot, "key", "row", "full_outer")
