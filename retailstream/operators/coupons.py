@@ -3,12 +3,12 @@ at an item.
 
 Two ways to the same alerts:
 
-* ``pane_alerts`` groups events into short panes and panes into windows. It is
-  one chain of aggregations and so also runs on a stream.
 * ``alert_windows`` finds the windows from distinct accounts only, without
   gathering anything, and ``alert_documents`` / ``alert_members`` then look up
-  what happened in those windows. This is the way for large batches: windows
-  that raise no alert are never assembled.
+  what happened in those windows. Windows that raise no alert are never
+  assembled. The stream job evaluates its closed panes this way too.
+* ``pane_alerts`` groups events into short panes and panes into windows: one
+  chain of aggregations, simple, but each pane is copied into all its windows.
 
 Windows are half open, [start, end), and aligned to the epoch.
 """
@@ -30,7 +30,7 @@ def _floor_div(value: Column, by: int) -> Column:
     return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
 
 
-def _check(window_seconds: int, slide_seconds: int) -> None:
+def check_window(window_seconds: int, slide_seconds: int) -> None:
     if window_seconds <= 0 or slide_seconds <= 0 or window_seconds % slide_seconds:
         raise ValueError("the window length must be a multiple of the slide")
 
@@ -71,7 +71,7 @@ def alert_windows(
     a running sum over the few points where that changes gives the accounts of
     every window.
     """
-    _check(window_seconds, slide_seconds)
+    check_window(window_seconds, slide_seconds)
     window_ms, slide_ms = window_seconds * 1000, slide_seconds * 1000
     slide = F.lit(slide_ms)
 
@@ -150,7 +150,8 @@ def alert_members(events: DataFrame, alerts: DataFrame, window_seconds: int = WI
     Complete whatever the size of a window, since nothing is gathered.
 
     Events meet windows through the stretches of window length a window
-    touches, two at most, so no event is repeated per slide.
+    touches, two at most, so no event is repeated per slide. Equal events may
+    come counted, with their number in ``n``.
     """
     window_ms = window_seconds * 1000
     touched = F.array_distinct(
@@ -159,8 +160,9 @@ def alert_members(events: DataFrame, alerts: DataFrame, window_seconds: int = WI
         )
     )
     windows = alerts.select("mid", "window_start", "window_end", F.explode(touched).alias("stretch"))
+    weight = F.col("n") if "n" in events.columns else F.lit(1).cast("bigint")
     happened = events.select(
-        "mid", "ts", "evid", "uid", "itemid", _floor_div(F.col("ts"), window_ms).alias("stretch")
+        "mid", "ts", "evid", "uid", "itemid", weight.alias("n"), _floor_div(F.col("ts"), window_ms).alias("stretch")
     )
     inside = happened.join(windows, ["mid", "stretch"]).filter(
         (F.col("ts") >= F.col("window_start")) & (F.col("ts") < F.col("window_end"))
@@ -172,10 +174,10 @@ def alert_members(events: DataFrame, alerts: DataFrame, window_seconds: int = WI
         F.struct(F.lit("item").alias("kind"), F.when(drawn, F.col("itemid")).alias("member")),
     )
     return (
-        inside.select("mid", "window_start", "window_end", F.inline(findings))
+        inside.select("mid", "window_start", "window_end", "n", F.inline(findings))
         .filter(F.col("member").isNotNull())
         .groupBy("mid", "window_start", "window_end", "kind", "member")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
@@ -216,6 +218,18 @@ def listed_events(documents: DataFrame) -> DataFrame:
     return documents.withColumn("events", F.flatten(repeated))
 
 
+def counted_panes(events: DataFrame, slide_seconds: int = SLIDE_SECONDS) -> DataFrame:
+    """Equal events of a pane as one row with their number ``n``; ``ts`` is the pane's start.
+
+    No window edge cuts through a pane, so panes stand in for events in all
+    functions here. ``events`` has its time in ``event_time``. The grouping
+    is by whole events, so a busy device is spread over many groups.
+    """
+    pane = F.window("event_time", f"{slide_seconds} seconds").alias("pane")
+    counts = events.groupBy("mid", "evid", "uid", "itemid", pane).agg(F.count("*").alias("n"))
+    return counts.select("mid", "evid", "uid", "itemid", "n", F.unix_millis("pane.start").alias("ts"))
+
+
 def pane_alerts(
     events: DataFrame,
     window_seconds: int = WINDOW_SECONDS,
@@ -223,13 +237,13 @@ def pane_alerts(
     min_accounts: int = MIN_ACCOUNTS,
     click: str = CLICK,
 ) -> DataFrame:
-    """Every alert of every window, from panes; for streams and small batches.
+    """Every alert of every window, from panes.
 
     ``events`` has its time in ``event_time``; on a stream with a watermark.
     A pane is one slide long, so that no window edge cuts through it. It holds one
     row per device and event id, so windows merge few rows, not raw events.
     """
-    _check(window_seconds, slide_seconds)
+    check_window(window_seconds, slide_seconds)
     drawn = F.col("evid") == COUPON
     panes = events.groupBy("mid", "evid", F.window("event_time", f"{slide_seconds} seconds").alias("pane")).agg(
         F.collect_set(F.when(drawn, F.col("uid"))).alias("uids"),

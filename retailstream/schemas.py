@@ -72,6 +72,12 @@ COUPON_ALERT = StructType(
     ]
 )
 
+COUPON_PANE = StructType(
+    _strings("mid", "evid", "uid", "itemid")
+    + [StructField("n", LongType()), StructField("ts", LongType())]
+    + _strings("hour")
+)
+
 CDC_ENTRY = StructType(
     _strings("entry_type", "table_name", "event_type")
     + [

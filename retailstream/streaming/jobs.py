@@ -7,11 +7,12 @@ watermarks, sinks and checkpoints.
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
+from ..functions.clock import day_of, hour_of
 from ..operators import coupons, joins
 from ..operators.dedup import latest_per_key
 from ..schemas import SALE_DETAIL
@@ -93,9 +94,14 @@ def read_orders(spark: SparkSession, path: str) -> DataFrame:
     return sinks.read_latest(spark, path, schemas.ORDER_INFO, ["id"], ("create_date",))
 
 
+def _hour(ms) -> Column:
+    return F.concat_ws("-", day_of(ms), hour_of(ms))
+
+
 def coupon_alerts(
     raw: DataFrame,
     path: str,
+    panes_path: str,
     checkpoint: str | None = None,
     every: str | None = EVERY,
     late: str = "10 seconds",
@@ -106,17 +112,49 @@ def coupon_alerts(
 ):
     """Alerts into the alert table, one per device and minute, the last one kept.
 
-    A window is judged once no event later than ``late`` can still fall into it.
+    The stream's state holds open panes only. Panes close once no event later
+    than ``late`` can still fall into them, and go to the pane table; windows
+    that end up to the last closed pane are then final, and are judged by the
+    batch functions on the last panes of that table.
     """
+    coupons.check_window(window_seconds, slide_seconds)
     sinks.create_table(raw.sparkSession, path, schemas.COUPON_ALERT, ("dt",))
+    sinks.create_table(raw.sparkSession, panes_path, schemas.COUPON_PANE, ("hour",))
     events = decode.accepted(decode.counted(decode.event_logs(raw), "event_logs"))
     timed = events.withColumn("event_time", F.timestamp_millis("ts")).withWatermark("event_time", late)
-    alerts = coupons.pane_alerts(timed, window_seconds, slide_seconds, min_accounts, click)
+    panes = coupons.counted_panes(timed, slide_seconds).withColumn("hour", _hour("ts"))
+    slide_ms, window_ms = slide_seconds * 1000, window_seconds * 1000
+    judged: dict[str, int] = {}  # how far, and by which batch of this run
 
     def write(batch, batch_id):
-        sinks.upsert_batch(batch, batch_id, path, ["alert_id"], ("dt",), ("ts",))
-
-    return start(alerts, write, "coupon_alerts", checkpoint, every)
+        session = batch.sparkSession
+        closed = batch.persist()
+        try:
+            newest = closed.agg(F.max("ts").alias("ts")).first().ts
+            if newest is None:
+                return
+            sinks.write_batch(closed, batch_id, panes_path, ("hour",))
+        finally:
+            closed.unpersist()
+
+        recent = sinks.read_versions(session, panes_path, schemas.COUPON_PANE).filter(F.col(sinks.BATCH) <= batch_id)
+        if judged.get("batch", batch_id) < batch_id:
+            before = judged["upto"]
+        else:  # first batch of this run: the table knows
+            last = recent.filter(F.col(sinks.BATCH) < batch_id).agg(F.max("ts").alias("ts")).first().ts
+            before = None if last is None else last + slide_ms
+        upto = newest + slide_ms
+        ends = F.col("window_end") <= upto
+        if before is not None:
+            since = before + slide_ms - window_ms
+            recent = recent.filter((F.col("hour") >= _hour(F.lit(since))) & (F.col("ts") >= since))
+            ends = ends & (F.col("window_end") > before)
+        alerts = coupons.alert_windows(recent, window_seconds, slide_seconds, min_accounts, click).filter(ends)
+        documents = coupons.alert_documents(recent, coupons.latest_per_minute(alerts), window_seconds)
+        sinks.write_batch(documents, batch_id, path, ("dt",))
+        judged.update(batch=batch_id, upto=upto)
+
+    return start(panes, write, "coupon_alerts", checkpoint, every)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:

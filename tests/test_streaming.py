@@ -171,29 +171,64 @@ def test_user_dimension(spark, feed, tmp_path):
     assert rows(jobs.read_users(spark, table), "id", "user_level") == [("31", "3"), ("32", "1")]
 
 
-def _coupon_feed(source):
+def test_coupon_alerts_equal_batch(spark, feed, tmp_path):
+    source, table, panes, mark = feed("in"), str(tmp_path / "alerts"), str(tmp_path / "panes"), str(tmp_path / "mark")
     source.add(event("m1", "u1", "coupon", 0, 1), event("m1", "u2", "coupon", 61, 2), event("m2", "u1", "coupon", 5))
     source.add(event("m1", "u3", "coupon", 125, 3), event("m1", "u3", "addCart", 126), event("m2", "u2", "coupon", 8),
-               event("m2", "u3", "coupon", 9), event("m2", "u3", "clickItem", 9))
-    source.add(event("m1", "u9", "addCart", 700))
-    # Much later events close all windows before them.
+               event("m2", "u3", "coupon", 9), event("m2", "u3", "clickItem", 9), event("m1", "u3", "addCart", 126))
+    finish(jobs.coupon_alerts(source.stream(), table, panes, mark, every=None))
+    # A second run, whose closed panes are far apart; much later events close all panes before them.
+    source.add(event("m1", "u9", "addCart", 1700))
+    source.add(event("m3", "u1", "coupon", 1701), event("m3", "u2", "coupon", 1702), event("m3", "u3", "coupon", 1703))
+    source.add(event("m9", "u1", "addCart", 2500))
     source.add(event("m9", "u1", "addCart", 5000))
-
-
-def test_coupon_alerts_equal_batch(spark, feed, tmp_path):
-    source, table = feed("in"), str(tmp_path / "alerts")
-    _coupon_feed(source)
-    finish(jobs.coupon_alerts(source.stream(), table, str(tmp_path / "mark"), every=None))
+    finish(jobs.coupon_alerts(source.stream(), table, panes, mark, every=None))
     got = coupons.listed_events(jobs.read_alerts(spark, table))
     events = decode.accepted(decode.event_logs(source.batch()))
     last = coupons.latest_per_minute(coupons.alert_windows(events))
     want = coupons.listed_events(coupons.alert_documents(events, last))
     columns = ("alert_id", "mid", "uids", "itemIds", "events", "ts", "dt")
     assert rows(got, *columns) == rows(want, *columns)
-    assert {r.mid for r in got.collect()} == {"m1"}
-    # Accounts 1 to 3 are together in the windows that end from second 130 to
-    # second 300, that is in minutes 10:02 to 10:05.
-    assert got.count() == 4
+    # Accounts 1 to 3 of m1 are together in the windows that end from second
+    # 130 to 300 (minutes 2 to 5), those of m3 from 1705 to 2000 (28 to 33).
+    counts = {r.mid: r["count"] for r in got.groupBy("mid").count().collect()}
+    assert counts == {"m1": 4, "m3": 6}
+
+
+def test_coupon_alerts_on_the_sample(spark, folder, tmp_path):
+    table, panes = str(tmp_path / "alerts"), str(tmp_path / "panes")
+    raw = fixtures.log_json(spark, folder).filter(F.get_json_object("value", "$.type") == "event")
+    ordered = [r.value for r in raw.orderBy("sent_at").collect()]
+    source = tmp_path / "in"
+    source.mkdir()
+    for i in range(0, len(ordered), 250):
+        path = source / f"part-{i:05d}.txt"
+        path.write_text("\n".join(ordered[i : i + 250]) + "\n")
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = topics.file_stream(spark, str(source), max_files=1)
+    finish(jobs.coupon_alerts(stream, table, panes, str(tmp_path / "mark"), every=None, late="1 hour",
+                              window_seconds=6 * 3600, slide_seconds=3600))
+    upto = sinks.read_versions(spark, panes, schemas.COUPON_PANE).agg(F.max("ts")).first()[0] + 3600_000
+    events = fixtures.event_log(spark, folder)
+    alerts = coupons.alert_windows(events, 6 * 3600, 3600).filter(F.col("window_end") <= upto)
+    want = coupons.alert_documents(events, alerts, 6 * 3600)
+    columns = ("alert_id", "uids", "itemIds", "events", "ts")
+    assert rows(coupons.listed_events(jobs.read_alerts(spark, table)), *columns) == rows(
+        coupons.listed_events(want), *columns)
+    assert want.count() > 10
+
+
+def test_pane_chain_runs_on_a_stream(spark, feed, tmp_path):
+    source, out = feed("in"), str(tmp_path / "out")
+    source.add(*[event("m1", f"u{i}", "coupon", 2 * i) for i in range(4)])
+    source.add(event("m9", "u1", "addCart", 5000))
+    source.add(event("m9", "u1", "addCart", 9000))
+    events = decode.accepted(decode.event_logs(source.stream())).withColumn("event_time", F.timestamp_millis("ts"))
+    alerts = coupons.pane_alerts(events.withWatermark("event_time", "10 seconds"))
+    write = lambda batch, batch_id: sinks.write_batch(batch, batch_id, out)
+    finish(jobs.start(alerts, write, "panes", str(tmp_path / "mark"), every=None))
+    want = coupons.alert_windows(decode.accepted(decode.event_logs(source.batch())))
+    assert rows(spark.read.parquet(out), "mid", "ts") == rows(want, "mid", "window_end")
 
 
 def test_sale_details_wait_for_each_other(spark, feed, tmp_path):
