@@ -85,10 +85,7 @@ def route_cdc(spark, folder):
 
 
 def flatten_cdc(spark, folder):
-    flat = cdc.flatten_cdc(cdc.route_cdc(fixtures.cdc(spark, folder)))
-    names = ("id", "order_id", "sku_id", "order_price", "user_id", "total_amount", "create_time", "user_level")
-    fields = F.from_json("value", ", ".join(f"{n} STRING" for n in names))
-    return flat.select("topic", F.inline(F.array(fields)))
+    return cdc.flatten_cdc(cdc.route_cdc(fixtures.cdc(spark, folder)))
 
 
 # -- devices ----------------------------------------------------------------

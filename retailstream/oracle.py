@@ -150,6 +150,27 @@ changes AS (
   UNION ALL
   SELECT id, login_name, 'GOLD', strftime(born, '%Y-%m-%d'), gender, 2 FROM usr WHERE c_custkey % 7 = 0)"""
 
+
+def _json(image):
+    """SQL text of a JSON object with string values, from (name, expression) pairs."""
+    fields = " || ',' || ".join(f"""'"{name}":"' || {value} || '"'""" for name, value in image.items())
+    return f"'{{' || {fields} || '}}'"
+
+
+_ORDER_IMAGE = {
+    "id": "id", "province_id": "''", "consignee": "''", "order_comment": "''", "consignee_tel": "tel",
+    "order_status": "order_status", "payment_way": "''", "user_id": "user_id", "img_url": "''",
+    "total_amount": "CAST(CAST(total_amount AS DECIMAL(18, 2)) AS VARCHAR)", "expire_time": "''",
+    "delivery_address": "''", "create_time": "create_date || ' ' || create_hour || ':00:00'",
+    "operate_time": "''", "tracking_no": "''", "parent_order_id": "''", "out_trade_no": "''", "trade_body": "''",
+}
+_DETAIL_IMAGE = {
+    "id": "id", "order_id": "order_id", "sku_name": "''", "sku_id": "sku_id",
+    "order_price": "CAST(CAST(price AS DECIMAL(18, 2)) AS VARCHAR)", "img_url": "''",
+    "sku_num": "CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)",
+}
+_USER_IMAGE = {c: c for c in ("id", "login_name", "user_level", "birthday", "gender")}
+
 ORACLE_SQL: dict[str, str] = {
     "decode_startup": f"WITH {_LOGS} SELECT {_STARTUP_COLUMNS} FROM logs WHERE type = 'startup'",
     "decode_event": f"""
@@ -176,15 +197,9 @@ ORACLE_SQL: dict[str, str] = {
         FROM changes GROUP BY seq""",
     "flatten_cdc": f"""
         WITH {_ORDERS}, {_DETAILS}, {_CHANGES}
-        SELECT 'order_info' AS topic, id, {_NO} AS order_id, {_NO} AS sku_id, {_NO} AS order_price, user_id,
-               CAST(CAST(total_amount AS DECIMAL(18, 2)) AS VARCHAR) AS total_amount,
-               create_date || ' ' || create_hour || ':00:00' AS create_time, {_NO} AS user_level
-        FROM ord
-        UNION ALL
-        SELECT 'order_detail', id, order_id, sku_id, CAST(CAST(price AS DECIMAL(18, 2)) AS VARCHAR),
-               {_NO}, {_NO}, {_NO}, {_NO} FROM det
-        UNION ALL
-        SELECT 'user_info', id, {_NO}, {_NO}, {_NO}, {_NO}, {_NO}, {_NO}, user_level FROM changes""",
+        SELECT 'order_info' AS topic, {_json(_ORDER_IMAGE)} AS value FROM ord
+        UNION ALL SELECT 'order_detail', {_json(_DETAIL_IMAGE)} FROM det
+        UNION ALL SELECT 'user_info', {_json(_USER_IMAGE)} FROM changes""",
     "dau_first_activity": f"WITH {_STARTUP} SELECT {_STARTUP_COLUMNS} FROM dau",
     "dau_new_vs_seen": f"""
         WITH {_STARTUP},
