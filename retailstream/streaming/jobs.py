@@ -90,14 +90,24 @@ def order_facts(raw: DataFrame, path: str, checkpoint: str | None = None, every:
     return start(decode.accepted(decoded), write, "order_facts", checkpoint, every)
 
 
-def read_orders(spark: SparkSession, path: str) -> DataFrame:
-    return sinks.read_latest(spark, path, schemas.ORDER_INFO, ["id"], ("create_date",))
+def read_orders(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame:
+    return sinks.read_latest(spark, path, schemas.ORDER_INFO, ["id"], ("create_date",), days=days)
 
 
 def _hour(ms) -> Column:
     return F.concat_ws("-", day_of(ms), hour_of(ms))
 
 
+def _hours_between(spark: SparkSession, first_ms: int, last_ms: int) -> list[str]:
+    """Names of the hours from one time to the other, as ``_hour`` writes them.
+
+    One hour more than needed, as local hours need not start on whole hours UTC.
+    """
+    step = 3_600_000
+    starts = spark.range(first_ms // step, last_ms // step + 2).select(_hour(F.col("id") * step).alias("hour"))
+    return [row.hour for row in starts.toLocalIterator()]
+
+
 def coupon_alerts(
     raw: DataFrame,
     path: str,
@@ -137,18 +147,23 @@ def coupon_alerts(
         finally:
             closed.unpersist()
 
-        recent = sinks.read_versions(session, panes_path, schemas.COUPON_PANE).filter(F.col(sinks.BATCH) <= batch_id)
         if judged.get("batch", batch_id) < batch_id:
             before = judged["upto"]
         else:  # first batch of this run: the table knows
-            last = recent.filter(F.col(sinks.BATCH) < batch_id).agg(F.max("ts").alias("ts")).first().ts
+            earlier = sinks.read_versions(session, panes_path, schemas.COUPON_PANE).filter(F.col(sinks.BATCH) < batch_id)
+            last = earlier.agg(F.max("ts").alias("ts")).first().ts
             before = None if last is None else last + slide_ms
         upto = newest + slide_ms
         ends = F.col("window_end") <= upto
-        if before is not None:
+        if before is None:
+            recent = sinks.read_versions(session, panes_path, schemas.COUPON_PANE)
+        else:
             since = before + slide_ms - window_ms
-            recent = recent.filter((F.col("hour") >= _hour(F.lit(since))) & (F.col("ts") >= since))
+            hours = _hours_between(session, since, newest)
+            recent = sinks.read_versions(session, panes_path, schemas.COUPON_PANE, ("hour", hours))
+            recent = recent.filter(F.col("ts") >= since)
             ends = ends & (F.col("window_end") > before)
+        recent = recent.filter(F.col(sinks.BATCH) <= batch_id)
         alerts = coupons.alert_windows(recent, window_seconds, slide_seconds, min_accounts, click).filter(ends)
         documents = coupons.alert_documents(recent, coupons.latest_per_minute(alerts), window_seconds)
         sinks.write_batch(documents, batch_id, path, ("dt",))
@@ -157,8 +172,8 @@ def coupon_alerts(
     return start(panes, write, "coupon_alerts", checkpoint, every)
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return sinks.read_latest(spark, path, schemas.COUPON_ALERT, ["alert_id"], ("dt",), ("ts",))
+def read_alerts(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame:
+    return sinks.read_latest(spark, path, schemas.COUPON_ALERT, ["alert_id"], ("dt",), ("ts",), days)
 
 
 def user_dimension(raw: DataFrame, path: str, checkpoint: str | None = None, every: str | None = USER_EVERY):
@@ -232,8 +247,8 @@ def sale_details(
     return start(bought, write, "sale_details", checkpoint, every)
 
 
-def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    return sinks.read_latest(spark, path, SALE_DETAIL, ["order_detail_id"], ("dt",))
+def read_sales(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame:
+    return sinks.read_latest(spark, path, SALE_DETAIL, ["order_detail_id"], ("dt",), days=days)
 
 
 def log_routing(

@@ -7,6 +7,7 @@ version per key. A micro-batch therefore costs what it brings, not what the
 day already holds, and ``compact`` folds old versions together offline.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -32,9 +33,26 @@ def create_table(spark: SparkSession, path: str, schema: StructType, partitions:
     empty.write.mode("append").partitionBy(*partitions, BATCH).parquet(path)
 
 
-def read_versions(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """All rows ever written, with their ``batch_id``."""
-    return spark.read.schema(_layout(schema)).parquet(path)
+def read_versions(
+    spark: SparkSession, path: str, schema: StructType, only: tuple[str, list[str]] | None = None
+) -> DataFrame:
+    """All rows ever written, with their ``batch_id``.
+
+    ``only`` names the outermost partition column and the days (or hours)
+    wanted. Folders of other days are then not even listed, which counts once a
+    table has many batches.
+    """
+    layout = _layout(schema)
+    if only is None:
+        return spark.read.schema(layout).parquet(path)
+    column, values = only
+    folders = f"{path.rstrip('/')}/{column}={{{','.join(values)}}}"
+    try:
+        return spark.read.schema(layout).option("basePath", path).parquet(folders)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], layout)  # nothing written for these days yet
 
 
 def read_latest(
@@ -44,13 +62,15 @@ def read_latest(
     keys: list[str],
     partitions: tuple[str, ...] = (),
     newest: tuple[str, ...] = (),
+    days: list[str] | None = None,
 ) -> DataFrame:
     """The current rows: per key the version of the latest batch.
 
     A row keeps its day for good, so the partition columns count as part of
     the key, and a filter on the day prunes partitions through this view.
+    ``days`` restricts the reading itself to these days.
     """
-    versions = read_versions(spark, path, schema)
+    versions = read_versions(spark, path, schema, None if days is None else (partitions[0], days))
     return latest_per_key(versions, [*partitions, *keys], [*newest, BATCH]).drop(BATCH)
 
 
@@ -86,9 +106,7 @@ def add_new_activity(batch: DataFrame, batch_id: int, path: str, schema: StructT
     try:
         # One value per day in the batch; keeps the look-up to those days' partitions.
         days = [row.logDate for row in first.select("logDate").distinct().toLocalIterator()]
-        seen = read_versions(spark, path, schema).filter(
-            F.col("logDate").isin(days) & (F.col(BATCH) < batch_id)
-        )
+        seen = read_versions(spark, path, schema, ("logDate", days)).filter(F.col(BATCH) < batch_id)
         write_batch(new_activity(first, seen), batch_id, path, ("logDate",))
     finally:
         first.unpersist()

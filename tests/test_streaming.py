@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from retailstream import schemas
 from retailstream.operators import coupons, dedup
 from retailstream.plans import sales
-from retailstream.sources import decode, fixtures, topics
+from retailstream.sources import decode, fixtures, logs, topics
 from retailstream.streaming import jobs, sinks
 
 from .conftest import rows
@@ -157,6 +157,8 @@ def test_order_facts_last_version_wins(spark, feed, tmp_path):
         ("1", "R", 10.5, "2024-01-15", "10", "1381*******"),
         ("2", "Q", 10.5, "2024-01-15", "10", "1381*******"),
     ]
+    assert rows(jobs.read_orders(spark, table, ["2024-01-15", "2024-01-16"])) == rows(got)
+    assert jobs.read_orders(spark, table, ["2024-01-16"]).count() == 0
     sinks.compact(spark, table, str(tmp_path / "compacted"), schemas.ORDER_INFO, ["id"], ("create_date",))
     compacted = sinks.read_versions(spark, str(tmp_path / "compacted"), schemas.ORDER_INFO)
     assert rows(compacted.drop(sinks.BATCH)) == rows(got)
@@ -299,6 +301,10 @@ def test_logs_and_changes_reach_their_topics(spark, feed, tmp_path):
     finish(jobs.daily_active_devices(stream, dau, str(tmp_path / "mark_dau"), every=None))
     assert rows(sinks.read_versions(spark, dau, schemas.STARTUP_LOG), "mid", "ts") == [("a", ms + 50_000)]
 
+    # The Kafka writer takes the same routed records (nothing is started here).
+    stamped = logs.stamp_receive_time(source.stream(), F.col("received_at"))
+    assert sinks.kafka_sink(logs.route_logs(stamped), "broker:9092") is not None
+
     changes = feed("cdc")
     image = [{"name": "id", "value": "1"}, {"name": "create_time", "value": "2024-01-15 10:00:01"}]
     entry = {"entry_type": "ROWDATA", "table_name": "order_info", "event_type": "INSERT", "ts": 1, "rows": [image, image]}
