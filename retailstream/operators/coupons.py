@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import day_of, minute_of
+from .skew import splits_skew
 
 WINDOW_SECONDS = 300
 SLIDE_SECONDS = 5
@@ -164,7 +165,17 @@ def alert_members(events: DataFrame, alerts: DataFrame, window_seconds: int = WI
     happened = events.select(
         "mid", "ts", "evid", "uid", "itemid", weight.alias("n"), _floor_div(F.col("ts"), window_ms).alias("stretch")
     )
-    inside = happened.join(windows, ["mid", "stretch"]).filter(
+    keys = ["mid", "stretch"]
+    if not splits_skew(events.sparkSession):
+        # Deal the events of a busy device over all tasks; alerts, a few per
+        # device and stretch, are repeated for each part.
+        parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        happened = happened.withColumn(
+            "part", F.pmod(F.xxhash64("ts", "evid", "uid", "itemid"), F.lit(parts)).cast("int")
+        )
+        windows = windows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        keys.append("part")
+    inside = happened.join(windows, keys).filter(
         (F.col("ts") >= F.col("window_start")) & (F.col("ts") < F.col("window_end"))
     )
     drawn = F.col("evid") == COUPON

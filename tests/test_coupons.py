@@ -81,6 +81,20 @@ def test_windows_equal_brute_force(spark, seed, window, slide, least):
     assert rows(panes, "mid", "uids", "itemIds", "events", "ts") == expected
 
 
+def test_members_without_skew_splitting(spark):
+    """As in a stateful micro-batch, where events are dealt out by hand."""
+    frame = spark.createDataFrame(random_events(9, 240), SCHEMA)
+    alerts = coupons.alert_windows(frame, 60, 20, 2)
+    want = rows(coupons.alert_members(frame, alerts, 60))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        members = coupons.alert_members(frame, alerts, 60)
+        assert "part" in members._jdf.queryExecution().optimizedPlan().toString()
+        assert rows(members) == want and want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_window_edges(spark):
     """A window holds its start and not its end."""
     events = [("m", "u1", "coupon", "i", 0), ("m", "u2", "coupon", "i", 300_000), ("n", "u1", "coupon", "i", 0),
