@@ -174,7 +174,7 @@ def _tiles(homes: DataFrame, visits: DataFrame, large: DataFrame, coded: DataFra
     rows = placed.filter("own").withColumn("column", F.explode(F.sequence(F.lit(0), total - 1))).withColumn("row", F.col("_at")).withColumn("side", F.lit(0))
     columns = placed.withColumn("row", F.explode(F.sequence(F.lit(0), total - 1))).withColumn("column", F.col("_at")).withColumn("side", F.lit(1))
     # Two blocks of those at home meet once, guests meet every block.
-    dealt = rows.unionByName(columns).filter("not own or row <= column").select(*where, "row", "column", "side", "own", "id", "home")
+    dealt = rows.unionByName(columns).filter("side = 0 or not own or row <= column").select(*where, "row", "column", "side", "own", "id", "home")
     dealt = dealt.join(coded.select("id", "v", "size", "code"), "id")
 
     def tile(frame: pd.DataFrame) -> pd.DataFrame:
