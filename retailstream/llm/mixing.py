@@ -111,8 +111,8 @@ def allotments(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, bin_rows:
 
 
 def rank() -> Column:
-    """Random odds over inclusion odds of a document's next copy."""
-    return (F.col("unit") / (1 - F.col("unit"))) / (F.col("part") / (1 - F.col("part")))
+    """Random odds over inclusion odds of a document's next copy; NULL if it has none."""
+    return F.when(F.col("part") > 0, (F.col("unit") / (1 - F.col("unit"))) / (F.col("part") / (1 - F.col("part"))))
 
 
 def with_source(docs: DataFrame, per_source: DataFrame, source: str = "source") -> DataFrame:
@@ -143,7 +143,7 @@ def mix(
 
 
 def copies() -> Column:
-    more = F.coalesce(rank() <= F.col("last"), F.lit(False)) & (F.col("part") > 0)
+    more = F.coalesce(rank() <= F.col("last"), F.lit(False))
     return (F.col("whole") + more.cast("long")).cast("long")
 
 
