@@ -125,10 +125,10 @@ def _plain(columns, query, ids, own, k):
     """The same with Python's integers, for scores that doubles can't hold."""
     alive = np.flatnonzero(ids != own)
     whole, q = columns[:, alive].astype(object), [int(x) for x in query]
-    sums = [sum(int(x) * y for x, y in zip(column, q, strict=True)) for column in whole.T]
-    best = sorted(range(len(alive)), key=lambda i: (-sums[i], i))[:k]
     ends = np.iinfo(np.int64)
-    return alive[best], np.array([min(max(sums[i], ends.min), ends.max) for i in best], dtype=np.int64)
+    sums = [min(max(sum(int(x) * y for x, y in zip(column, q, strict=True)), ends.min), ends.max) for column in whole.T]
+    best = sorted(range(len(alive)), key=lambda i: (-sums[i], i))[:k]
+    return alive[best], np.array([sums[i] for i in best], dtype=np.int64)
 
 
 def search(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = K) -> DataFrame:
