@@ -171,10 +171,11 @@ def scan(text: str | None, index: Index, coverage: float = COVERAGE, find=None)
     for name, low, high in (find or index.candidates)(ids):
         template = index.templates[name]
         start = max(0, low - BAND)
-        part = ids[start : max(0, high + len(template) + BAND)]
-        hit = align(template, part, low - BAND - start, high + BAND - start)
-        if hit and hit[0] >= coverage * len(template):
+        part = ids[start : max(0, high + len(template) + BAND)].copy()
+        # A candidate may hold the template more than once.
+        while (hit := align(template, part, low - BAND - start, high + BAND - start)) and hit[0] >= coverage * len(template):
             aligned.add((-hit[0], -hit[0] / len(template), name, start + hit[1], start + hit[2]))
+            part[hit[1] : hit[2] + 1] = 0
     kept = []
     for matched, share, name, first, last in sorted(aligned):
         if all(last < other[3] or first > other[4] for other in kept):
