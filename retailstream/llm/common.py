@@ -45,11 +45,3 @@ def stored(frame: DataFrame) -> DataFrame:
 def remainder(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo `parts`; NULL for a NULL key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
-
-
-def clear_name(frame: DataFrame, wanted: str) -> str:
-    """A column name like `wanted` that the frame does not use yet."""
-    taken = {c.lower() for c in frame.columns}
-    while wanted.lower() in taken:
-        wanted = f"_{wanted}"
-    return wanted

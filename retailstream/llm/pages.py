@@ -168,8 +168,8 @@ def second_pass(found: list[_Block], labels: list[int]) -> list[int]:
     out = list(labels)
     for inside in (True, False):
         own = [i for i, b in enumerate(found) if b.main == inside]
-        # Inside an article, menus and the like are no neighbours of its text.
-        decided = [i for i in own if labels[i] != OPEN and not (inside and found[i].never)]
+        # Inside an article, menus and the like say nothing about the text around them.
+        decided = [i for i in own if labels[i] == GOOD or labels[i] == BAD and not inside]
         left, right = {}, {}
         for order, nearest in ((own, left), (own[::-1], right)):
             last, known = None, set(decided)
