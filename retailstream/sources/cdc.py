@@ -29,7 +29,17 @@ def route_cdc(entries: DataFrame) -> DataFrame:
     return row_entries(entries).withColumn("topic", cdc_topic()).filter(F.col("topic").isNotNull())
 
 
+def last_of_each(entries: Column, name: str) -> Column:
+    """Of structs with the same ``name`` the last one; those without a name are left out."""
+    named = F.filter(entries, lambda e: e[name].isNotNull())
+    names = F.transform(named, lambda e: e[name])
+    return F.filter(named, lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e[name]))
+
+
 def flatten_cdc(routed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One flat JSON object of strings per changed row."""
-    rows = routed.select("topic", *keep, F.explode("rows").alias("row"))
-    return rows.select("topic", *keep, F.to_json(F.map_from_entries("row")).alias("value"))
+    """One flat JSON object of strings per changed row, and its ``position`` among
+    the rows of the entry. Of a repeated column the last value counts; columns
+    without a name are left out."""
+    rows = routed.select("topic", *keep, F.posexplode("rows").alias("position", "row"))
+    fields = F.map_from_entries(last_of_each(F.col("row"), "name"))
+    return rows.select("topic", *keep, "position", F.to_json(fields).alias("value"))

@@ -4,19 +4,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import EVENT_TOPIC, STARTUP_TOPIC
+from .cdc import last_of_each
 from .decode import REJECTED
 
 
 def stamp_receive_time(raw: DataFrame, received_at: Column) -> DataFrame:
     """Set ``ts`` in every record to the receive time, in place of any sent value.
 
-    All other fields, known or not, keep their JSON types. Text that is no JSON
-    object goes to ``_rejected`` and leaves ``value`` NULL.
+    All other fields, known or not, keep their JSON types; of a repeated field the
+    last value counts. Text that is no JSON object goes to ``_rejected`` and leaves
+    ``value`` NULL.
     """
-    fields = F.from_json("value", "map<string,variant>")
-    stamp = F.create_map(F.lit("ts"), F.unix_millis(received_at).cast("variant"))
-    sent = F.map_filter(fields, lambda name, _: name != F.lit("ts"))
-    stamped = F.to_json(F.map_concat(sent, stamp))
+    fields = F.map_entries(F.from_json("value", "map<string,variant>"))
+    sent = last_of_each(F.filter(fields, lambda f: f["key"] != F.lit("ts")), "key")
+    stamp = F.array(F.struct(F.lit("ts").alias("key"), F.unix_millis(received_at).cast("variant").alias("value")))
+    stamped = F.to_json(F.map_from_entries(F.concat(sent, stamp)))
     others = [c for c in raw.columns if c != "value"]
     return raw.select(
         *others, F.col("value").alias("_sent"), F.inline(F.array(F.struct(stamped.alias("value"))))

@@ -3,7 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOPIC_TABLE = "value STRING, received_at TIMESTAMP, topic STRING, batch_id BIGINT"
+TOPIC_TABLE = (
+    "value STRING, received_at TIMESTAMP, changed_at BIGINT, offset BIGINT, position INT, "
+    "topic STRING, run_id STRING, batch_id BIGINT"
+)
+# What tells which of two records of a key is newer, the first of these first.
+ARRIVAL = ("changed_at", "received_at", "offset", "position")
 
 
 def kafka_options(servers: str, topic: str, starting: str = "latest", max_records: int | None = None) -> dict:
@@ -31,14 +36,6 @@ def kafka_stream(
     )
 
 
-def kafka_backfill(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """Everything a topic still holds, as a batch."""
-    reader = spark.read.format("kafka").options(**kafka_options(servers, topic, starting="earliest"))
-    return reader.load().selectExpr(
-        "CAST(value AS STRING) AS value", "timestamp AS received_at", "partition", "offset"
-    )
-
-
 def _lines(frame: DataFrame) -> DataFrame:
     return frame.select("value", F.col("_metadata.file_modification_time").alias("received_at"))
 
@@ -51,18 +48,14 @@ def file_stream(spark: SparkSession, folder: str, max_files: int | None = None)
     return _lines(reader.load(folder))
 
 
-def file_backfill(spark: SparkSession, folder: str) -> DataFrame:
-    return _lines(spark.read.text(folder))
-
-
 def topic_table_stream(spark: SparkSession, path: str, topic: str, max_files: int | None = None) -> DataFrame:
     """One topic of a topic table (see ``streaming.sinks``) as a stream."""
     reader = spark.readStream.schema(TOPIC_TABLE)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
-    return reader.parquet(path).filter(F.col("topic") == topic).select("value", "received_at")
+    return reader.parquet(path).filter(F.col("topic") == topic).select("value", *ARRIVAL)
 
 
 def topic_table(spark: SparkSession, path: str, topic: str) -> DataFrame:
     rows = spark.read.schema(TOPIC_TABLE).parquet(path)
-    return rows.filter(F.col("topic") == topic).select("value", "received_at")
+    return rows.filter(F.col("topic") == topic).select("value", *ARRIVAL)

@@ -2,7 +2,8 @@
 arrival matters, ``received_at``) and returns the running query.
 
 The transformations are those of the batch reports; what is added here are
-watermarks, sinks and checkpoints.
+watermarks, sinks and checkpoints. Records that cannot be decoded, or lack what a
+job needs, go to a table of their own beside the job's: ``<table>_rejected``.
 """
 
 from collections.abc import Callable
@@ -18,15 +19,19 @@ from ..operators.dedup import latest_per_key
 from ..schemas import SALE_DETAIL
 from ..session import shared_folder
 from ..sources import cdc, decode, logs
+from ..sources.topics import ARRIVAL
 from . import sinks
 
 EVERY = "5 seconds"
 USER_EVERY = "3 seconds"
+# How far behind the newest records others may be and still count: after an outage
+# the partitions of a topic catch up unevenly.
+LATE = "15 minutes"
 
 
 def start(
     frame: DataFrame,
-    write: Callable[[DataFrame, int], None],
+    write: Callable[[DataFrame, sinks.Turn], None],
     name: str,
     checkpoint: str | None = None,
     every: str | None = EVERY,
@@ -38,12 +43,43 @@ def start(
     where = checkpoint or f"{shared_folder(frame.sparkSession)}/streams/{name}"
     trigger = {"processingTime": every} if every else {"availableNow": True}
     writer = frame.writeStream.queryName(name).option("checkpointLocation", where).trigger(**trigger)
-    return writer.foreachBatch(write).start()
+    run, begun = sinks.run_of(frame.sparkSession, where), []
+
+    def each(batch, number):
+        write(batch, sinks.Turn(run, number, not begun))
+        begun.append(number)
+
+    return writer.foreachBatch(each).start()
+
+
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that came too late for a stateful job, over the progress it still holds."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
 
 
 def _arrival(raw: DataFrame) -> tuple[str, ...]:
     """Columns that tell which of two versions of a row came later."""
-    return tuple(c for c in ("received_at", "offset") if c in raw.columns)
+    return tuple(c for c in ARRIVAL if c in raw.columns)
+
+
+def _sorting_out(write: Callable[[DataFrame, sinks.Turn], None], path: str) -> Callable[[DataFrame, sinks.Turn], None]:
+    """``write`` for accepted records; rejected ones are kept in the same batch."""
+
+    def both(batch, turn):
+        kept = batch.persist()
+        try:
+            sinks.write_batch(decode.rejected(kept), turn, f"{path.rstrip('/')}_rejected", file_format="text")
+            write(decode.accepted(kept), turn)
+        finally:
+            kept.unpersist()
+
+    return both
+
+
+def _keep_rejected(decoded: DataFrame, path: str, name: str, checkpoint: str | None, every: str | None) -> StreamingQuery:
+    """A query of its own for the rejected records of a job that keeps state."""
+    beside = f"{checkpoint.rstrip('/')}_rejected" if checkpoint else None
+    return quarantine(decoded, f"{path.rstrip('/')}_rejected", f"{name}_rejected", beside, every)
 
 
 def daily_active_devices(
@@ -52,29 +88,32 @@ def daily_active_devices(
     checkpoint: str | None = None,
     every: str | None = EVERY,
     remember: str = "table",
-    late: str = "1 day",
+    late: str = "2 days",
 ):
     """First activity per device and day into the DAU table.
 
     With ``remember='table'`` a batch is compared with the table's partitions
     of its days, and of several records in a batch the earliest is kept. With
-    ``remember='state'`` the stream itself remembers devices, for days with so
-    many of them that reading the table in every batch takes too long; which of
-    several records of one batch stays is then up to Spark, and records more
-    than ``late`` behind are dropped.
+    ``remember='state'`` the stream itself remembers the devices of a day until
+    a day comes that begins ``late`` after its end, for days with so many of them
+    that reading the table in every batch takes too long. Which of several records
+    of one batch stays is then up to Spark; the records of a forgotten day are
+    dropped (``dropped_late`` counts them), never repeated.
     """
+    if remember not in ("table", "state"):
+        raise ValueError("remember devices in the 'table' or in the 'state'")
     schema = schemas.STARTUP_LOG
     sinks.create_table(raw.sparkSession, path, schema, ("logDate",))
-    logs_ = decode.accepted(decode.counted(decode.startup_logs(raw), "startup_logs"))
+    decoded = decode.counted(decode.startup_logs(raw), "startup_logs")
     if remember == "table":
-        write = lambda batch, batch_id: sinks.add_new_activity(batch, batch_id, path, schema)
-    elif remember == "state":
-        timed = logs_.withColumn("event_time", F.timestamp_millis("ts")).withWatermark("event_time", late)
-        logs_ = timed.dropDuplicatesWithinWatermark(["mid", "logDate"]).drop("event_time")
-        write = lambda batch, batch_id: sinks.write_batch(batch, batch_id, path, ("logDate",))
-    else:
-        raise ValueError("remember devices in the 'table' or in the 'state'")
-    return start(logs_, write, "daily_active_devices", checkpoint, every)
+        write = lambda batch, turn: sinks.add_new_activity(batch, turn, path, schema)
+        return start(decoded, _sorting_out(write, path), "daily_active_devices", checkpoint, every)
+    day_end = F.date_add(F.to_date("logDate"), 1).cast("timestamp")
+    timed = decode.accepted(decoded).withColumn("day_end", day_end).withWatermark("day_end", late)
+    fresh = timed.dropDuplicates(["mid", "logDate", "day_end"]).drop("day_end")
+    write = lambda batch, turn: sinks.write_batch(batch, turn, path, ("logDate",))
+    _keep_rejected(decode.startup_logs(raw), path, "daily_active_devices", checkpoint, every)
+    return start(fresh, write, "daily_active_devices", checkpoint, every)
 
 
 def order_facts(raw: DataFrame, path: str, checkpoint: str | None = None, every: str | None = EVERY):
@@ -83,15 +122,20 @@ def order_facts(raw: DataFrame, path: str, checkpoint: str | None = None, every:
     arrival = _arrival(raw)
     decoded = decode.counted(decode.order_infos(raw, arrival), "order_infos")
 
-    def write(batch, batch_id):
-        latest = latest_per_key(batch, ["id"], list(arrival)).drop(*arrival)
-        sinks.write_batch(latest, batch_id, path, ("create_date",))
+    def write(batch, turn):
+        sinks.upsert_batch(batch, turn, path, ["id"], ("create_date",), arrival)
 
-    return start(decode.accepted(decoded), write, "order_facts", checkpoint, every)
+    return start(decoded, _sorting_out(write, path), "order_facts", checkpoint, every)
 
 
-def read_orders(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame:
-    return sinks.read_latest(spark, path, schemas.ORDER_INFO, ["id"], ("create_date",), days=days)
+def read_orders(spark: SparkSession, path: str, days: list[str] | None = None, fixed_days: bool = False) -> DataFrame:
+    """The last version of each order. An order that comes again with another day
+    counts there alone, so versions of all days are compared; where orders never
+    change their day, ``fixed_days`` reads the ``days`` asked for and no others."""
+    if fixed_days:
+        return sinks.read_latest(spark, path, schemas.ORDER_INFO, ["id"], ("create_date",), days=days)
+    orders = sinks.read_latest(spark, path, schemas.ORDER_INFO, ["id"])
+    return orders if days is None else orders.filter(F.col("create_date").isin(days))
 
 
 def _hour(ms) -> Column:
@@ -114,7 +158,7 @@ def coupon_alerts(
     panes_path: str,
     checkpoint: str | None = None,
     every: str | None = EVERY,
-    late: str = "10 seconds",
+    late: str = LATE,
     window_seconds: int = coupons.WINDOW_SECONDS,
     slide_seconds: int = coupons.SLIDE_SECONDS,
     min_accounts: int = coupons.MIN_ACCOUNTS,
@@ -131,43 +175,49 @@ def coupon_alerts(
     sinks.create_table(raw.sparkSession, path, schemas.COUPON_ALERT, ("dt",))
     sinks.create_table(raw.sparkSession, panes_path, schemas.COUPON_PANE, ("hour",))
     events = decode.accepted(decode.counted(decode.event_logs(raw), "event_logs"))
+    _keep_rejected(decode.event_logs(raw), path, "coupon_alerts", checkpoint, every)
     timed = events.withColumn("event_time", F.timestamp_millis("ts")).withWatermark("event_time", late)
     panes = coupons.counted_panes(timed, slide_seconds).withColumn("hour", _hour("ts"))
     slide_ms, window_ms = slide_seconds * 1000, window_seconds * 1000
     judged: dict[str, int] = {}  # how far, and by which batch of this run
 
-    def write(batch, batch_id):
+    def write(batch, turn):
         session = batch.sparkSession
         closed = batch.persist()
+
+        def own_panes(hours=None):
+            # Another run may have counted the same events: its panes are its own.
+            panes = sinks.read_versions(session, panes_path, schemas.COUPON_PANE, hours and ("hour", hours))
+            return panes.filter(F.col(sinks.RUN) == turn.run)
+
         try:
             newest = closed.agg(F.max("ts").alias("ts")).first().ts
             if newest is None:
                 return
-            sinks.write_batch(closed, batch_id, panes_path, ("hour",))
+            sinks.write_batch(closed, turn, panes_path, ("hour",))
         finally:
             closed.unpersist()
 
-        if judged.get("batch", batch_id) < batch_id:
+        if judged.get("batch", turn.number) < turn.number:
             before = judged["upto"]
         else:  # first batch of this run: the table knows
-            earlier = sinks.read_versions(session, panes_path, schemas.COUPON_PANE).filter(F.col(sinks.BATCH) < batch_id)
+            earlier = own_panes().filter(F.col(sinks.BATCH) < turn.number)
             last = earlier.agg(F.max("ts").alias("ts")).first().ts
             before = None if last is None else last + slide_ms
         upto = newest + slide_ms
         ends = F.col("window_end") <= upto
         if before is None:
-            recent = sinks.read_versions(session, panes_path, schemas.COUPON_PANE)
+            recent = own_panes()
         else:
             since = before + slide_ms - window_ms
             hours = _hours_between(session, since, newest)
-            recent = sinks.read_versions(session, panes_path, schemas.COUPON_PANE, ("hour", hours))
-            recent = recent.filter(F.col("ts") >= since)
+            recent = own_panes(hours).filter(F.col("ts") >= since)
             ends = ends & (F.col("window_end") > before)
-        recent = recent.filter(F.col(sinks.BATCH) <= batch_id)
+        recent = recent.filter(F.col(sinks.BATCH) <= turn.number)
         alerts = coupons.alert_windows(recent, window_seconds, slide_seconds, min_accounts, click).filter(ends)
-        documents = coupons.alert_documents(recent, coupons.latest_per_minute(alerts), window_seconds)
-        sinks.write_batch(documents, batch_id, path, ("dt",))
-        judged.update(batch=batch_id, upto=upto)
+        documents = coupons.alert_documents(recent, coupons.latest_per_minute(alerts), window_seconds, slide_seconds)
+        sinks.write_batch(documents, turn, path, ("dt",))
+        judged.update(batch=turn.number, upto=upto)
 
     return start(panes, write, "coupon_alerts", checkpoint, every)
 
@@ -182,11 +232,10 @@ def user_dimension(raw: DataFrame, path: str, checkpoint: str | None = None, eve
     arrival = _arrival(raw)
     decoded = decode.counted(decode.user_infos(raw, arrival), "user_infos")
 
-    def write(batch, batch_id):
-        latest = latest_per_key(batch, ["id"], list(arrival)).drop(*arrival)
-        sinks.write_batch(latest, batch_id, path)
+    def write(batch, turn):
+        sinks.upsert_batch(batch, turn, path, ["id"], newest=arrival)
 
-    return start(decode.accepted(decoded), write, "user_dimension", checkpoint, every)
+    return start(decoded, _sorting_out(write, path), "user_dimension", checkpoint, every)
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:
@@ -201,18 +250,24 @@ def sale_details(
     checkpoint: str | None = None,
     every: str | None = EVERY,
     wait_seconds: int = 100,
-    late: str = "10 seconds",
+    late: str = LATE,
     parts: int = 1,
 ):
     """Orders joined to their details and buyers into the sale detail table.
 
-    Either side waits ``wait_seconds`` of arrival time for the other.
+    Either side waits ``wait_seconds`` of arrival time for the other. Records more
+    than ``late`` behind the newest of their topic are dropped; ``dropped_late``
+    counts them.
     """
     spark = raw_orders.sparkSession
     sinks.create_table(spark, path, SALE_DETAIL, ("dt",))
     sinks.create_table(spark, users_path, schemas.USER_WIRE)
-    orders = decode.accepted(decode.order_infos(raw_orders, ("received_at",)))
-    details = decode.accepted(decode.order_details(raw_details, ("received_at",)))
+    orders = decode.order_infos(raw_orders, ("received_at",))
+    details = decode.order_details(raw_details, ("received_at",))
+    bad = decode.rejected(orders).unionByName(decode.rejected(details)).withColumnRenamed("value", decode.REJECTED)
+    _keep_rejected(bad, path, "sale_details", checkpoint, every)
+    orders = decode.accepted(decode.counted(orders, "order_infos"))
+    details = decode.accepted(decode.counted(details, "order_details"))
     pairs = joins.within_wait(
         orders.withColumnRenamed("received_at", "order_ts").withWatermark("order_ts", late),
         details.withColumnRenamed("received_at", "detail_ts").withWatermark("detail_ts", late),
@@ -231,16 +286,16 @@ def sale_details(
         F.col("o.create_date").alias("dt"),
     )
 
-    def write(batch, batch_id):
+    def write(batch, turn):
         session = batch.sparkSession
         latest = latest_per_key(batch, ["order_detail_id"], ["create_time"]).persist()
         try:
             # Only versions of users that occur in the batch go into the ranking.
             buyers = latest.select(F.col("user_id").alias("id")).distinct()
             versions = sinks.read_versions(session, users_path, schemas.USER_WIRE)
-            users = latest_per_key(versions.join(buyers, "id", "left_semi"), ["id"], [sinks.BATCH])
+            users = latest_per_key(versions.join(buyers, "id", "left_semi"), ["id"], [*sinks.VERSION])
             wide = joins.with_user(latest, users, F.current_timestamp(), "order_detail_id")
-            sinks.write_batch(wide.select(*SALE_DETAIL.fieldNames()), batch_id, path, ("dt",))
+            sinks.write_batch(wide.select(*SALE_DETAIL.fieldNames()), turn, path, ("dt",))
         finally:
             latest.unpersist()
 
@@ -252,38 +307,65 @@ def read_sales(spark: SparkSession, path: str, days: list[str] | None = None) ->
 
 
 def log_routing(
-    raw: DataFrame, topics_path: str, archive_path: str, checkpoint: str | None = None, every: str | None = EVERY
+    raw: DataFrame,
+    topics_path: str | None,
+    archive_path: str,
+    checkpoint: str | None = None,
+    every: str | None = EVERY,
+    sink: Callable[[DataFrame, sinks.Turn], None] | None = None,
 ):
-    """Stamp logs with their arrival, archive them by day, and sort them into topics."""
+    """Stamp logs with their arrival, archive them by day, and sort them into topics.
 
-    def write(batch, batch_id):
+    Topics are tables at ``topics_path`` unless ``sink`` takes the routed records,
+    as ``sinks.kafka_topics`` does.
+    """
+    publish = sink or sinks.topic_table_sink(topics_path)
+    carried = ("received_at", *[c for c in ("offset",) if c in raw.columns])
+
+    def write(batch, turn):
         stamped = logs.stamp_receive_time(batch, F.col("received_at")).persist()
         try:
+            sinks.write_batch(decode.rejected(stamped), turn, f"{archive_path.rstrip('/')}_rejected", file_format="text")
             archive = logs.raw_archive(stamped, F.col("received_at"))
-            sinks.write_batch(archive, batch_id, archive_path, ("dt",), "text")
-            routed = logs.route_logs(stamped, ("received_at",))
-            sinks.write_batch(routed.select("value", "received_at", "topic"), batch_id, topics_path, ("topic",))
+            sinks.write_batch(archive, turn, archive_path, ("dt",), "text")
+            publish(logs.route_logs(stamped, carried), turn)
         finally:
             stamped.unpersist()
 
-    return start(raw.select("value", "received_at"), write, "log_routing", checkpoint, every)
+    return start(raw.select("value", *carried), write, "log_routing", checkpoint, every)
+
 
+def cdc_routing(
+    raw: DataFrame,
+    topics_path: str,
+    checkpoint: str | None = None,
+    every: str | None = EVERY,
+    sink: Callable[[DataFrame, sinks.Turn], None] | None = None,
+):
+    """Database change entries, as JSON text, into topics.
 
-def cdc_routing(raw: DataFrame, topics_path: str, checkpoint: str | None = None, every: str | None = EVERY):
-    """Database change entries, as JSON text, into topics."""
-    entries = decode.accepted(decode.counted(decode.cdc_entries(raw, ("received_at",)), "cdc_entries"))
-    flat = cdc.flatten_cdc(cdc.route_cdc(entries), ("received_at",))
+    What tells the order of changes goes with them: the entry's own time, its
+    offset (or else its place in the micro-batch), and the row's place in the entry.
+    """
+    publish = sink or sinks.topic_table_sink(topics_path)
 
-    def write(batch, batch_id):
-        sinks.write_batch(batch.select("value", "received_at", "topic"), batch_id, topics_path, ("topic",))
+    def write(batch, turn):
+        placed = batch if "offset" in batch.columns else batch.withColumn("offset", F.monotonically_increasing_id())
+        decoded = decode.cdc_entries(placed, ("received_at", "offset")).persist()
+        try:
+            sinks.write_batch(decode.rejected(decoded), turn, f"{topics_path.rstrip('/')}_rejected", file_format="text")
+            entries = cdc.route_cdc(decode.accepted(decoded)).withColumnRenamed("ts", "changed_at")
+            publish(cdc.flatten_cdc(entries, ("received_at", "changed_at", "offset")), turn)
+        finally:
+            decoded.unpersist()
 
-    return start(flat, write, "cdc_routing", checkpoint, every)
+    return start(raw, write, "cdc_routing", checkpoint, every)
 
 
 def quarantine(decoded: DataFrame, path: str, name: str, checkpoint: str | None = None, every: str | None = EVERY):
     """Keep the text of rejected records for a look by hand."""
 
-    def write(batch, batch_id):
-        sinks.write_batch(batch, batch_id, path, file_format="text")
+    def write(batch, turn):
+        sinks.write_batch(batch, turn, path, file_format="text")
 
     return start(decode.rejected(decoded), write, name, checkpoint, every)

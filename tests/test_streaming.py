@@ -123,7 +123,7 @@ def test_daily_active_devices_equals_batch(spark, folder, tmp_path):
         os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
     stream = topics.file_stream(spark, str(source), max_files=1)
     finish(jobs.daily_active_devices(stream, table, str(tmp_path / "mark"), every=None))
-    got = sinks.read_versions(spark, table, schemas.STARTUP_LOG).drop(sinks.BATCH)
+    got = sinks.read_versions(spark, table, schemas.STARTUP_LOG).drop(*sinks.VERSION)
     want = dedup.first_activity(fixtures.startup_log(spark, folder))
     assert rows(got.select(*want.columns)) == rows(want)
     assert sinks.read_versions(spark, table, schemas.STARTUP_LOG).select(sinks.BATCH).distinct().count() > 1
@@ -158,10 +158,12 @@ def test_order_facts_last_version_wins(spark, feed, tmp_path):
         ("2", "Q", 10.5, "2024-01-15", "10", "1381*******"),
     ]
     assert rows(jobs.read_orders(spark, table, ["2024-01-15", "2024-01-16"])) == rows(got)
+    assert rows(jobs.read_orders(spark, table, ["2024-01-15"], fixed_days=True)) == rows(got)
+    assert len(rows(spark.read.text(table + "_rejected"))) == 2
     assert jobs.read_orders(spark, table, ["2024-01-16"]).count() == 0
     sinks.compact(spark, table, str(tmp_path / "compacted"), schemas.ORDER_INFO, ["id"], ("create_date",))
     compacted = sinks.read_versions(spark, str(tmp_path / "compacted"), schemas.ORDER_INFO)
-    assert rows(compacted.drop(sinks.BATCH)) == rows(got)
+    assert rows(compacted.drop(*sinks.VERSION)) == rows(got)
 
 
 def test_user_dimension(spark, feed, tmp_path):
@@ -178,13 +180,13 @@ def test_coupon_alerts_equal_batch(spark, feed, tmp_path):
     source.add(event("m1", "u1", "coupon", 0, 1), event("m1", "u2", "coupon", 61, 2), event("m2", "u1", "coupon", 5))
     source.add(event("m1", "u3", "coupon", 125, 3), event("m1", "u3", "addCart", 126), event("m2", "u2", "coupon", 8),
                event("m2", "u3", "coupon", 9), event("m2", "u3", "clickItem", 9), event("m1", "u3", "addCart", 126))
-    finish(jobs.coupon_alerts(source.stream(), table, panes, mark, every=None))
+    finish(jobs.coupon_alerts(source.stream(), table, panes, mark, every=None, late="10 seconds"))
     # A second run, whose closed panes are far apart; much later events close all panes before them.
     source.add(event("m1", "u9", "addCart", 1700))
     source.add(event("m3", "u1", "coupon", 1701), event("m3", "u2", "coupon", 1702), event("m3", "u3", "coupon", 1703))
     source.add(event("m9", "u1", "addCart", 2500))
     source.add(event("m9", "u1", "addCart", 5000))
-    finish(jobs.coupon_alerts(source.stream(), table, panes, mark, every=None))
+    finish(jobs.coupon_alerts(source.stream(), table, panes, mark, every=None, late="10 seconds"))
     got = coupons.listed_events(jobs.read_alerts(spark, table))
     events = decode.accepted(decode.event_logs(source.batch()))
     last = coupons.latest_per_minute(coupons.alert_windows(events))
@@ -220,19 +222,6 @@ def test_coupon_alerts_on_the_sample(spark, folder, tmp_path):
     assert want.count() > 10
 
 
-def test_pane_chain_runs_on_a_stream(spark, feed, tmp_path):
-    source, out = feed("in"), str(tmp_path / "out")
-    source.add(*[event("m1", f"u{i}", "coupon", 2 * i) for i in range(4)])
-    source.add(event("m9", "u1", "addCart", 5000))
-    source.add(event("m9", "u1", "addCart", 9000))
-    events = decode.accepted(decode.event_logs(source.stream())).withColumn("event_time", F.timestamp_millis("ts"))
-    alerts = coupons.pane_alerts(events.withWatermark("event_time", "10 seconds"))
-    write = lambda batch, batch_id: sinks.write_batch(batch, batch_id, out)
-    finish(jobs.start(alerts, write, "panes", str(tmp_path / "mark"), every=None))
-    want = coupons.alert_windows(decode.accepted(decode.event_logs(source.batch())))
-    assert rows(spark.read.parquet(out), "mid", "ts") == rows(want, "mid", "window_end")
-
-
 def test_sale_details_wait_for_each_other(spark, feed, tmp_path):
     orders, details = feed("orders"), feed("details")
     users, table = str(tmp_path / "users"), str(tmp_path / "sales")
@@ -250,6 +239,7 @@ def test_sale_details_wait_for_each_other(spark, feed, tmp_path):
     details.add((detail("d2", "2"), 90), (detail("d4", "1"), 101))   # order first; too late
     orders.add((order("9"), 2000))
     details.add((detail("d9", "x"), 2000))
+    details.add("{broken")
     finish(jobs.sale_details(orders.stream(), details.stream(), users, table, str(tmp_path / "mark"), every=None))
     got = jobs.read_sales(spark, table)
     assert rows(got, "order_detail_id", "order_id", "user_gender", "user_level", "sku_price", "dt") == [
@@ -340,3 +330,100 @@ def test_batch_report_on_streamed_sales(spark, folder, tmp_path):
     sinks.create_table(spark, table, schemas.SALE_DETAIL, ("dt",))
     sinks.upsert_batch(wide, 0, table, ["order_detail_id"], ("dt",))
     assert rows(sales.stats(jobs.read_sales(spark, table))) == rows(sales.stats(wide))
+
+
+def test_a_new_checkpoint_leaves_the_table_alone(spark, feed, tmp_path):
+    table = str(tmp_path / "dau")
+    for number, device in enumerate("ab"):
+        source = feed(f"in{number}")
+        source.add(startup(device, "1", number))
+        finish(jobs.daily_active_devices(source.stream(), table, str(tmp_path / f"mark{number}"), every=None))
+    assert rows(sinks.read_versions(spark, table, schemas.STARTUP_LOG), "mid") == [("a",), ("b",)]
+
+
+def test_two_jobs_share_a_topic_table(spark, feed, tmp_path):
+    table = str(tmp_path / "topics")
+    for number, device in enumerate("ab"):
+        source = feed(f"in{number}")
+        source.add((startup(device, "1", 0), number))
+        finish(jobs.log_routing(source.stream(), table, str(tmp_path / f"archive{number}"), str(tmp_path / f"mark{number}"), every=None))
+    got = topics.topic_table(spark, table, schemas.STARTUP_TOPIC).collect()
+    assert sorted(json.loads(r.value)["mid"] for r in got) == ["a", "b"]
+
+
+def test_a_batch_tried_again_with_fewer_days(spark, tmp_path):
+    table, schema = str(tmp_path / "dau"), schemas.STARTUP_LOG
+    sinks.create_table(spark, table, schema, ("logDate",))
+    raw = spark.createDataFrame([(json.dumps(startup(m, "1", s)),) for m, s in [("a", 1), ("b", 86400)]], "value string")
+    batch = decode.accepted(decode.startup_logs(raw))
+    turn = sinks.Turn("r", 3)
+    sinks.write_batch(batch, turn, table, ("logDate",))
+    sinks.write_batch(batch, sinks.Turn("q", 3), table, ("logDate",))
+    sinks.write_batch(batch.filter("mid = 'a'"), turn, table, ("logDate",))
+    got = sinks.read_versions(spark, table, schema)
+    assert rows(got, "mid", "run_id") == [("a", "q"), ("a", "r"), ("b", "q")]
+
+
+def test_poison_records_are_set_aside(spark, feed, tmp_path):
+    source, table, archive = feed("in"), str(tmp_path / "topics"), str(tmp_path / "archive")
+    source.add(('{"type":"startup","mid":"a","mid":"b"}', 1), ("[1]", 2), ('{"mid":"c","ts":9223372036854775807}', 3))
+    finish(jobs.log_routing(source.stream(), table, archive, str(tmp_path / "mark"), every=None))
+    got = [json.loads(r.value)["mid"] for r in topics.topic_table(spark, table, schemas.STARTUP_TOPIC).collect()]
+    assert got == ["b"] and rows(spark.read.text(archive + "_rejected"), "value") == [("[1]",)]
+
+    logs_in, dau = feed("logs"), str(tmp_path / "dau")
+    logs_in.add(startup("a", "1", 0), startup("b", "1", 0) | {"ts": 9223372036854775807}, startup("c", "1", 0) | {"ts": -1})
+    finish(jobs.daily_active_devices(logs_in.stream(), dau, str(tmp_path / "mark_dau"), every=None))
+    assert rows(sinks.read_versions(spark, dau, schemas.STARTUP_LOG), "mid") == [("a",)]
+    assert len(rows(spark.read.text(dau + "_rejected"))) == 2
+
+    changes, out = feed("cdc"), str(tmp_path / "changed")
+    image = [{"name": n, "value": v} for n, v in (("id", "1"), (None, "x"), ("id", "2"), ("login_name", "u"))]
+    changes.add(({"entry_type": "ROWDATA", "table_name": "user_info", "event_type": "INSERT", "ts": 1, "rows": [image]}, 1))
+    finish(jobs.cdc_routing(changes.stream(), out, str(tmp_path / "mark_cdc"), every=None))
+    assert [json.loads(r.value) for r in topics.topic_table(spark, out, schemas.USER_TOPIC).collect()] == [{"id": "2", "login_name": "u"}]
+
+
+def test_state_remembers_a_device_for_its_day(spark, feed, tmp_path):
+    source, table, mark = feed("in"), str(tmp_path / "dau"), str(tmp_path / "mark")
+    source.add(startup("a", "1", 0))
+    source.add(startup("b", "1", 3600))
+    source.add(startup("a", "2", 7200), startup("c", "1", 60))
+    finish(jobs.daily_active_devices(source.stream(), table, mark, every=None, remember="state", late="10 seconds"))
+    assert rows(sinks.read_versions(spark, table, schemas.STARTUP_LOG), "mid") == [("a",), ("b",), ("c",)]
+
+
+def test_the_later_change_of_a_user_wins(spark, feed, tmp_path):
+    """Two changes in one batch, through the topic table, whatever their text."""
+    changes, topic, users = feed("cdc"), str(tmp_path / "topics"), str(tmp_path / "users")
+
+    def change(event, level, ts):
+        image = [{"name": "id", "value": "31"}, {"name": "user_level", "value": level}]
+        return {"entry_type": "ROWDATA", "table_name": "user_info", "event_type": event, "ts": ts, "rows": [image]}
+
+    two = change("INSERT", "9", 7)
+    two["rows"].append([{"name": "id", "value": "32"}, {"name": "user_level", "value": "9"}])
+    two["rows"].append([{"name": "id", "value": "32"}, {"name": "user_level", "value": "5"}])
+    changes.add((two, 0), (change("UPDATE", "2", 8), 0), (change("UPDATE", "1", 8), 0))
+    finish(jobs.cdc_routing(changes.stream(), topic, str(tmp_path / "mark"), every=None))
+    stream = topics.topic_table_stream(spark, topic, schemas.USER_TOPIC)
+    finish(jobs.user_dimension(stream, users, str(tmp_path / "mark_users"), every=None))
+    assert rows(jobs.read_users(spark, users), "id", "user_level") == [("31", "1"), ("32", "5")]
+
+
+def test_an_order_that_changes_its_day_counts_once(spark, feed, tmp_path):
+    source, table = feed("in"), str(tmp_path / "orders")
+    source.add((order("1"), 0), (order("2"), 0))
+    source.add((order("1", at="2024-01-16 9:00:00"), 5))
+    finish(jobs.order_facts(source.stream(), table, str(tmp_path / "mark"), every=None))
+    assert rows(jobs.read_orders(spark, table), "id", "create_date", "create_hour") == [("1", "2024-01-16", "09"), ("2", "2024-01-15", "10")]
+    assert rows(jobs.read_orders(spark, table, ["2024-01-15"]), "id") == [("2",)]
+
+
+def test_routing_takes_another_sink(spark, feed, tmp_path):
+    source, sent = feed("in"), []
+    source.add((startup("a", "1", 0), 50), ("{bad", 53))
+    keep = lambda routed, turn: sent.extend(routed.select("topic", "value").collect())
+    finish(jobs.log_routing(source.stream(), None, str(tmp_path / "archive"), str(tmp_path / "mark"), every=None, sink=keep))
+    assert [r.topic for r in sent] == [schemas.STARTUP_TOPIC]
+    assert callable(sinks.kafka_topics("broker:9092"))
