@@ -25,10 +25,15 @@ def text_day(text: Column) -> Column:
 
 
 def text_hour(text: Column) -> Column:
-    """The hour part of a ``yyyy-MM-dd HH:mm:ss`` text; NULL when there is none."""
-    space = F.instr(text, " ")
-    clock = F.when(space > 0, F.substring(text, space + 1, F.length(text)))
-    return F.nullif(F.substring_index(F.substring_index(clock, " ", 1), ":", 1), F.lit(""))
+    """The hour of a ``yyyy-MM-dd HH:mm:ss`` text in two digits, also where one is
+    written; NULL when there is no hour from 0 to 23."""
+    hour = F.regexp_extract(text, r"^\S+ ([01]?[0-9]|2[0-3])(:|$| )", 1)
+    return F.when(hour != "", F.lpad(hour, 2, "0"))
+
+
+def is_sane(ms) -> Column:
+    """Whether a time in epoch milliseconds is within the years 1970 to 9999."""
+    return F.col(ms).between(0, 253_402_300_799_999)
 
 
 def minute_of(ms) -> Column:
@@ -38,7 +43,3 @@ def minute_of(ms) -> Column:
 
 def previous_day(day: str) -> Column:
     return F.date_sub(F.to_date(F.lit(day)), 1).cast("string")
-
-
-def millis(timestamp) -> Column:
-    return F.unix_millis(F.col(timestamp) if isinstance(timestamp, str) else timestamp)

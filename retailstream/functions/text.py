@@ -20,6 +20,7 @@ def words(text: Column, split_ideographs: bool = True) -> Column:
 
 
 def has_all_words(text: Column, keyword: str, split_ideographs: bool = True) -> Column:
-    """True when every word of ``keyword`` occurs in ``text``."""
+    """True when every word of ``keyword`` occurs in ``text``; a keyword without
+    any word, of punctuation only, occurs nowhere."""
     wanted = words(F.lit(keyword), split_ideographs)
-    return F.size(F.array_except(wanted, words(text, split_ideographs))) == 0
+    return (F.size(wanted) > 0) & (F.size(F.array_except(wanted, words(text, split_ideographs))) == 0)

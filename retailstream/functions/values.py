@@ -45,5 +45,9 @@ def remaining_percent(*shares) -> Column:
     return F.round(rest, 1)
 
 
+# Labels shown for the genders.
+GENDER_LABELS = {"F": "女", "M": "男"}
+
+
 def gender_label(gender) -> Column:
-    return F.when(_col(gender) == "F", "女").otherwise("男")
+    return F.when(_col(gender) == "F", GENDER_LABELS["F"]).otherwise(GENDER_LABELS["M"])

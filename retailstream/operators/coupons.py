@@ -1,14 +1,10 @@
 """Coupon abuse: one device, several accounts drawing coupons, nobody looking
 at an item.
 
-Two ways to the same alerts:
-
-* ``alert_windows`` finds the windows from distinct accounts only, without
-  gathering anything, and ``alert_documents`` / ``alert_members`` then look up
-  what happened in those windows. Windows that raise no alert are never
-  assembled. The stream job evaluates its closed panes this way too.
-* ``pane_alerts`` groups events into short panes and panes into windows: one
-  chain of aggregations, simple, but each pane is copied into all its windows.
+``alert_windows`` finds the windows from distinct accounts only, without
+gathering anything, and ``alert_documents`` / ``alert_members`` then look up
+what happened in those windows. Windows that raise no alert are never
+assembled. The stream job evaluates its closed panes this way too.
 
 Windows are half open, [start, end), and aligned to the epoch.
 """
@@ -17,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import day_of, minute_of
-from .skew import splits_skew
 
 WINDOW_SECONDS = 300
 SLIDE_SECONDS = 5
@@ -143,50 +138,52 @@ def latest_per_minute(alerts: DataFrame) -> DataFrame:
     )
 
 
-def alert_members(events: DataFrame, alerts: DataFrame, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
+def alert_members(
+    events: DataFrame, alerts: DataFrame, window_seconds: int = WINDOW_SECONDS, slide_seconds: int = SLIDE_SECONDS
+) -> DataFrame:
     """What happened in each alert window, one row per distinct finding.
 
     ``(mid, window_start, window_end, kind, member, n)`` with kind ``uid`` or
     ``item`` (of coupon events) or ``event``; ``n`` counts the events behind it.
-    Complete whatever the size of a window, since nothing is gathered.
+    Equal events may come counted, with their number in ``n``.
 
-    Events meet windows through the stretches of window length a window
-    touches, two at most, so no event is repeated per slide. Equal events may
-    come counted, with their number in ``n``.
+    Events are counted first: per device, stretch of window length and finding,
+    the counts of the stretch's slides, window/slide numbers at most. A window
+    is the end of one stretch and the beginning of the next, so it meets two such
+    rows per finding, and no event is ever paired with a window.
     """
-    window_ms = window_seconds * 1000
-    touched = F.array_distinct(
-        F.array(
-            _floor_div(F.col("window_start"), window_ms), _floor_div(F.col("window_end") - 1, window_ms)
-        )
-    )
-    windows = alerts.select("mid", "window_start", "window_end", F.explode(touched).alias("stretch"))
+    check_window(window_seconds, slide_seconds)
+    window_ms, slide_ms = window_seconds * 1000, slide_seconds * 1000
     weight = F.col("n") if "n" in events.columns else F.lit(1).cast("bigint")
-    happened = events.select(
-        "mid", "ts", "evid", "uid", "itemid", weight.alias("n"), _floor_div(F.col("ts"), window_ms).alias("stretch")
-    )
-    keys = ["mid", "stretch"]
-    if not splits_skew(events.sparkSession):
-        # Deal the events of a busy device over all tasks; alerts, a few per
-        # device and stretch, are repeated for each part.
-        parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        happened = happened.withColumn(
-            "part", F.pmod(F.xxhash64("ts", "evid", "uid", "itemid"), F.lit(parts)).cast("int")
-        )
-        windows = windows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        keys.append("part")
-    inside = happened.join(windows, keys).filter(
-        (F.col("ts") >= F.col("window_start")) & (F.col("ts") < F.col("window_end"))
-    )
     drawn = F.col("evid") == COUPON
     findings = F.array(
         F.struct(F.lit("event").alias("kind"), F.col("evid").alias("member")),
         F.struct(F.lit("uid").alias("kind"), F.when(drawn, F.col("uid")).alias("member")),
         F.struct(F.lit("item").alias("kind"), F.when(drawn, F.col("itemid")).alias("member")),
     )
-    return (
-        inside.select("mid", "window_start", "window_end", "n", F.inline(findings))
+    slides = (
+        events.select(
+            "mid", _floor_div(F.col("ts"), window_ms).alias("stretch"),
+            _floor_div(F.pmod("ts", F.lit(window_ms)), slide_ms).alias("slide"), weight.alias("n"), F.inline(findings),
+        )
         .filter(F.col("member").isNotNull())
+        .groupBy("mid", "stretch", "kind", "member", "slide")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("mid", "stretch", "kind", "member")
+        .agg(F.collect_list(F.struct("slide", "n")).alias("slides"))
+    )
+    first = _floor_div(F.col("window_start"), window_ms)
+    begins = _floor_div(F.pmod("window_start", F.lit(window_ms)), slide_ms)
+    parts = F.array(
+        F.struct(first.alias("stretch"), F.lit(True).alias("end")), F.struct((first + 1).alias("stretch"), F.lit(False).alias("end")),
+    )
+    windows = alerts.select("mid", "window_start", "window_end", begins.alias("begins"), F.inline(parts))
+    inside = F.filter("slides", lambda s: (s["slide"] >= F.col("begins")) == F.col("end"))
+    count = F.aggregate(inside, F.lit(0).cast("bigint"), lambda total, s: total + s["n"])
+    return (
+        windows.join(slides, ["mid", "stretch"])
+        .select("mid", "window_start", "window_end", "kind", "member", count.alias("n"))
+        .filter(F.col("n") > 0)
         .groupBy("mid", "window_start", "window_end", "kind", "member")
         .agg(F.sum("n").alias("n"))
     )
@@ -205,7 +202,9 @@ def as_documents(windows: DataFrame) -> DataFrame:
     )
 
 
-def alert_documents(events: DataFrame, alerts: DataFrame, window_seconds: int = WINDOW_SECONDS) -> DataFrame:
+def alert_documents(
+    events: DataFrame, alerts: DataFrame, window_seconds: int = WINDOW_SECONDS, slide_seconds: int = SLIDE_SECONDS
+) -> DataFrame:
     """The alert record: accounts, items, and how often each event occurred.
 
     ``events`` maps event ids to counts, which says as much as a list of the
@@ -214,7 +213,7 @@ def alert_documents(events: DataFrame, alerts: DataFrame, window_seconds: int =
     of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("member"))))
     counts = F.array_sort(F.collect_list(F.when(F.col("kind") == "event", F.struct("member", "n"))))
     gathered = (
-        alert_members(events, alerts, window_seconds)
+        alert_members(events, alerts, window_seconds, slide_seconds)
         .groupBy("mid", "window_start", "window_end")
         .agg(of("uid").alias("uids"), of("item").alias("itemIds"), F.map_from_entries(counts).alias("events"))
     )
@@ -239,50 +238,3 @@ def counted_panes(events: DataFrame, slide_seconds: int = SLIDE_SECONDS) -> Data
     pane = F.window("event_time", f"{slide_seconds} seconds").alias("pane")
     counts = events.groupBy("mid", "evid", "uid", "itemid", pane).agg(F.count("*").alias("n"))
     return counts.select("mid", "evid", "uid", "itemid", "n", F.unix_millis("pane.start").alias("ts"))
-
-
-def pane_alerts(
-    events: DataFrame,
-    window_seconds: int = WINDOW_SECONDS,
-    slide_seconds: int = SLIDE_SECONDS,
-    min_accounts: int = MIN_ACCOUNTS,
-    click: str = CLICK,
-) -> DataFrame:
-    """Every alert of every window, from panes.
-
-    ``events`` has its time in ``event_time``; on a stream with a watermark.
-    A pane is one slide long, so that no window edge cuts through it. It holds one
-    row per device and event id, so windows merge few rows, not raw events.
-    """
-    check_window(window_seconds, slide_seconds)
-    drawn = F.col("evid") == COUPON
-    panes = events.groupBy("mid", "evid", F.window("event_time", f"{slide_seconds} seconds").alias("pane")).agg(
-        F.collect_set(F.when(drawn, F.col("uid"))).alias("uids"),
-        F.collect_set(F.when(drawn, F.col("itemid"))).alias("items"),
-        F.count("*").alias("n"),
-    )
-    sliding = F.window(F.window_time("pane"), f"{window_seconds} seconds", f"{slide_seconds} seconds")
-    merged = (
-        panes.groupBy("mid", sliding.alias("window"))
-        .agg(
-            F.collect_set("uids").alias("uids"),
-            F.collect_set("items").alias("items"),
-            F.collect_list(F.struct("evid", "n")).alias("counts"),
-            F.max(F.col("evid") == click).alias("clicked"),
-        )
-        .withColumn("uids", F.array_sort(F.array_distinct(F.flatten("uids"))))
-        .filter((F.size("uids") >= min_accounts) & ~F.col("clicked"))
-    )
-    names = F.array_sort(F.array_distinct(F.col("counts.evid")))
-    total = lambda name: F.aggregate(
-        F.filter("counts", lambda c: c["evid"] == name), F.lit(0).cast("bigint"), lambda sum_, c: sum_ + c["n"]
-    )
-    return as_documents(
-        merged.select(
-            "mid",
-            "uids",
-            F.array_sort(F.array_distinct(F.flatten("items"))).alias("itemIds"),
-            F.map_from_arrays(names, F.transform(names, total)).alias("events"),
-            F.unix_millis("window.end").alias("window_end"),
-        )
-    )

@@ -3,10 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Keys looked after one by one. A key with more than a 1/1000 share of the rows
-# is always among the 1000 most frequent ones; rarer keys need no help.
-HOT_KEYS = 1000
-_HOT_ROWS = 100_000
+# A key is hot if it alone fills this part of an even shuffle partition. At most
+# partitions / part keys can be, whatever the data.
+HOT_PART = 0.25
 
 
 def splits_skew(spark: SparkSession) -> bool:
@@ -19,14 +18,16 @@ def splits_skew(spark: SparkSession) -> bool:
     return all(spark.conf.get(name).lower() == "true" for name in names)
 
 
-def hot_keys(frame: DataFrame, key: str, least_rows: int = _HOT_ROWS) -> DataFrame:
-    """Keys frequent enough to unbalance a shuffle: at most ``HOT_KEYS`` rows.
+def hot_keys(frame: DataFrame, key: str, partitions: int) -> DataFrame:
+    """Keys frequent enough to unbalance a shuffle into so many partitions.
 
+    Decided by their share of all rows, which bounds their number by itself.
     Reads only the key column, and counts before the exchange. The result
     steers where rows go, never which rows come out.
     """
     counts = frame.filter(F.col(key).isNotNull()).groupBy(key).count()
-    return counts.filter(F.col("count") >= least_rows).orderBy(F.desc("count")).limit(HOT_KEYS).select(key)
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return counts.filter(F.col("count") > total * HOT_PART / partitions).select(key)
 
 
 def join_unique(rows: DataFrame, unique: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
@@ -48,7 +49,6 @@ def join_dealt(
     spread_by: str,
     how: str = "inner",
     parts: int | None = None,
-    least_rows: int = _HOT_ROWS,
 ) -> DataFrame:
     """The same join with hot keys dealt out over ``parts`` by hand.
 
@@ -60,8 +60,10 @@ def join_dealt(
         raise ValueError(f"no {how!r} joins here: only the side with many rows per key can be dealt out")
     if parts is None:
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Bounded by HOT_KEYS, so safe to broadcast at any scale.
-    hot = F.broadcast(hot_keys(rows, key, least_rows).withColumn("_hot", F.lit(True)))
+    # At most parts / HOT_PART keys, the same ones for both sides.
+    few = [row[0] for row in hot_keys(rows, key, parts).collect()]
+    kind = rows.select(key).schema
+    hot = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in few], kind).withColumn("_hot", F.lit(True)))
     dealt = F.pmod(F.xxhash64(spread_by), F.lit(parts)).cast("int")
     left = rows.join(hot, key, "left").withColumn(
         "_part", F.when(F.col("_hot") | F.col(key).isNull(), dealt).otherwise(0)

@@ -17,7 +17,10 @@ def dau_by_hour(dau: DataFrame, day: str) -> DataFrame:
     return hours.groupBy(F.col("logHour").alias("hour")).agg(F.count("*").alias("total"))
 
 
-def new_devices(logs: DataFrame) -> DataFrame:
-    """``(mid, logDate, logHour)`` of the first record each device ever sent."""
-    first = logs.groupBy("mid").agg(F.min("ts").alias("ts"))
+def new_devices(logs: DataFrame, upto: str | None = None) -> DataFrame:
+    """``(mid, logDate, logHour)`` of the first record each device ever sent.
+
+    Later days than ``upto`` can't change who is new on it, so they are not read.
+    """
+    first = (logs if upto is None else logs.filter(F.col("logDate") <= upto)).groupBy("mid").agg(F.min("ts").alias("ts"))
     return first.select("mid", day_of("ts").alias("logDate"), hour_of("ts").alias("logHour"))

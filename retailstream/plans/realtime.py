@@ -16,8 +16,9 @@ METRICS = {
 }
 
 
-def _today() -> str:
-    return date.today().isoformat()
+def _today(frame: DataFrame) -> str:
+    """The current day of the session, whose time zone also cuts the days of records."""
+    return frame.sparkSession.range(1).select(F.current_date()).first()[0].isoformat()
 
 
 def _day_before(day: str) -> str:
@@ -27,13 +28,13 @@ def _day_before(day: str) -> str:
 def realtime_total(dau: DataFrame, orders: DataFrame, logs: DataFrame | None = None, day: str | None = None) -> DataFrame:
     """``(id, name, value)`` for active devices, new devices and order amount.
 
-    ``logs`` holds all activity there ever was, which is what makes a device
-    new; without it the DAU table serves, as it has a row for every device and day.
+    ``logs`` holds all activity up to the day, which is what makes a device new;
+    without it the DAU table serves, as it has a row for every device and day.
     """
-    day = day or _today()
+    day = day or _today(dau)
     figures = {
         "dau": dau_total(dau, day).select(F.col("total").cast("double").alias("value")),
-        "new_mid": dau_total(new_devices(dau if logs is None else logs), day).select(
+        "new_mid": dau_total(new_devices(dau if logs is None else logs, day), day).select(
             F.col("total").cast("double").alias("value")
         ),
         "order_amount": gmv_total(orders, day).select(F.col("amount").alias("value")),
@@ -68,7 +69,7 @@ def hours_dau(dau: DataFrame, day: str) -> DataFrame:
 
 
 def hours_new_devices(logs: DataFrame, day: str) -> DataFrame:
-    return _compare(new_devices(logs), "logDate", "logHour", F.lit(1), day)
+    return _compare(new_devices(logs, day), "logDate", "logHour", F.lit(1), day)
 
 
 def hours_amount(orders: DataFrame, day: str) -> DataFrame:
@@ -78,7 +79,7 @@ def hours_amount(orders: DataFrame, day: str) -> DataFrame:
 def realtime_hours(metric: str, dau: DataFrame, orders: DataFrame, logs: DataFrame | None = None,
                    day: str | None = None) -> DataFrame:
     """The comparison for one metric id; an unknown id has no rows."""
-    day = day or _today()
+    day = day or _today(dau)
     if metric == "dau":
         return hours_dau(dau, day)
     if metric == "new_mid":
@@ -89,11 +90,11 @@ def realtime_hours(metric: str, dau: DataFrame, orders: DataFrame, logs: DataFra
 
 
 def every_hour(hours: DataFrame) -> DataFrame:
-    """Exactly the hours 00 to 23, with 0 where a comparison has nothing."""
+    """The hours 00 to 23, with 0 where a comparison has nothing. Whatever else a
+    comparison has stays, so that the hours add up to the total."""
     spine = hours.sparkSession.range(24).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("hour"))
     zeros = spine.select("hour", *[F.lit(0).cast(t).alias(c) for c, t in hours.dtypes if c != "hour"])
-    valid = hours.filter(F.col("hour").rlike("^([01][0-9]|2[0-3])$"))
-    return valid.unionByName(zeros).groupBy("hour").agg(
+    return hours.unionByName(zeros).groupBy("hour").agg(
         F.coalesce(F.sum("yesterday"), F.lit(0)).alias("yesterday"),
         F.coalesce(F.sum("today"), F.lit(0)).alias("today"),
     )

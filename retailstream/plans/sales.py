@@ -9,11 +9,10 @@ from ..operators.joins import detail_part, order_part, with_user
 from ..operators.skew import join_unique
 from ..schemas import SALE_DETAIL
 
-# Titles and labels shown with the shares.
+# Titles and age labels shown with the shares.
 AGE_TITLE = "用户年龄占比"
 GENDER_TITLE = "用户性别占比"
 AGE_LABELS = {"under20": "20岁以下", "20to30": "20岁到30岁", "over30": "30岁以上"}
-GENDER_LABELS = ["女", "男"]
 DEFAULT_DAY = "2019-03-04"
 
 
@@ -40,18 +39,17 @@ def total(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count("*").alias("total"))
 
 
-def _buckets(hits: DataFrame, column: str, top: int | None) -> DataFrame:
-    counts = hits.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("hits"))
-    return counts if top is None else counts.orderBy(F.desc("hits"), column).limit(top)
+UNKNOWN = "unknown"
 
 
-def by_age(hits: DataFrame, top: int | None = None) -> DataFrame:
-    """Hits per age; ``top`` keeps the fullest buckets only."""
-    return _buckets(hits, "user_age", top)
+def by_age(hits: DataFrame) -> DataFrame:
+    """Hits per age, all of them."""
+    return hits.groupBy("user_age").agg(F.count("*").alias("hits"))
 
 
-def by_gender(hits: DataFrame, top: int | None = None) -> DataFrame:
-    return _buckets(hits, "user_gender", top)
+def by_gender(hits: DataFrame) -> DataFrame:
+    """Hits per gender; buyers without one are ``unknown``, so that all hits are there."""
+    return hits.groupBy(F.coalesce("user_gender", F.lit(UNKNOWN)).alias("user_gender")).agg(F.count("*").alias("hits"))
 
 
 def share_counts(hits: DataFrame) -> DataFrame:
@@ -109,11 +107,15 @@ def gender_share(hits: DataFrame, normalize: bool = True) -> DataFrame:
     return _rows(*_gender_options(share_counts(hits), normalize))
 
 
+def _all_options(counts: DataFrame, normalize: bool) -> tuple[DataFrame, list]:
+    counts, age = _age_options(counts, normalize)
+    counts, gender = _gender_options(counts, normalize)
+    return counts, age + gender
+
+
 def stats(hits: DataFrame, normalize: bool = True) -> DataFrame:
     """Age and gender shares from one pass over the hits."""
-    counts, age = _age_options(share_counts(hits), normalize)
-    counts, gender = _gender_options(counts, normalize)
-    return _rows(counts, age + gender)
+    return _rows(*_all_options(share_counts(hits), normalize))
 
 
 def page(hits: DataFrame, number: int, size: int, key: str = "order_detail_id") -> DataFrame:
@@ -132,24 +134,29 @@ def sale_report(sales: DataFrame, day: str = DEFAULT_DAY, number: int = 1, size:
                 keyword: str = "") -> dict[str, DataFrame]:
     """The whole answer to one search: ``total``, ``stat`` and ``detail`` frames."""
     hits = search(sales, day, keyword)
-    return {"total": total(hits), "stat": stats(hits), "detail": page(hits, number, size)}
+    counts = share_counts(hits)
+    return {
+        "total": counts.select("total"), "stat": _rows(*_all_options(counts, True)), "detail": page(hits, number, size),
+        "counts": counts,
+    }
 
 
 def report_json(report: dict[str, DataFrame]) -> DataFrame:
     """The answer of ``sale_report`` as one JSON object: ``total``, ``stat``, ``detail``.
 
-    What comes together here is one page, five shares and a total.
+    The hits are gone through twice, once for all counts and once for the page.
     """
-    at = F.array_position(F.lit([*AGE_LABELS.values(), *GENDER_LABELS]), F.col("name"))
-    options = F.array_sort(F.collect_list(F.struct(at.alias("at"), F.struct("name", "value").alias("option"))))
-    stat = report["stat"].groupBy("title").agg(options.alias("o")).select(
-        F.struct(F.col("o")[0]["at"].alias("at"), F.struct(F.col("o.option").alias("options"), "title").alias("stat")).alias("stat")
-    )
+    counts, options = _all_options(report["counts"], True)
+    titles = {}
+    for title, name, value in options:
+        titles.setdefault(title, []).append(F.struct(name.alias("name"), value.cast("double").alias("value")))
+    stat = F.array(*[F.struct(F.array(*own).alias("options"), F.lit(title).alias("title")) for title, own in titles.items()])
+    head = counts.select("total", stat.alias("stat"))
     detail = report["detail"].select(F.struct("order_detail_id", F.struct("*").alias("detail")).alias("detail"))
-    parts = report["total"].unionByName(stat, allowMissingColumns=True).unionByName(detail, allowMissingColumns=True)
+    parts = head.unionByName(detail, allowMissingColumns=True)
     together = parts.agg(
         F.max("total").alias("total"),
-        F.array_sort(F.collect_list("stat"))["stat"].alias("stat"),
+        F.max("stat").alias("stat"),
         F.array_sort(F.collect_list("detail"))["detail"].alias("detail"),
     )
     return together.select(F.to_json(F.struct("total", "stat", "detail")).alias("report"))

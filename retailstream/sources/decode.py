@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import schemas
-from ..functions.clock import text_day, text_hour, with_log_time
+from ..functions.clock import is_sane, text_day, text_hour, with_log_time
 from ..functions.values import as_price, masked_phone
 
 REJECTED = "_rejected"
@@ -26,6 +26,8 @@ def decode(raw: DataFrame, schema: StructType, required: tuple[str, ...], keep:
     broken = F.col(REJECTED).isNotNull()
     for name in required:
         broken = broken | F.col(name).isNull()
+    if "ts" in required:
+        broken = broken | ~is_sane("ts")
     return record.select(
         *keep, *schema.fieldNames(), F.when(broken, F.coalesce("value", F.lit(""))).alias(REJECTED)
     )
@@ -54,13 +56,18 @@ def _in_order(frame: DataFrame, schema: StructType, keep: tuple[str, ...]) -> Da
 
 def startup_logs(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     decoded = decode(raw, schemas.STARTUP_WIRE, ("mid", "ts"), keep)
-    return _in_order(with_log_time(decoded), schemas.STARTUP_LOG, keep)
+    return _in_order(_timed(decoded), schemas.STARTUP_LOG, keep)
+
+
+def _timed(decoded: DataFrame) -> DataFrame:
+    """Day and hour of records with a time that has them; others are rejected anyway."""
+    return with_log_time(decoded.withColumn("ts", F.when(is_sane("ts"), F.col("ts"))))
 
 
 def event_logs(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Page and item numbers may arrive as JSON numbers; they become text."""
     decoded = decode(raw, schemas.EVENT_WIRE, ("mid", "evid", "ts"), keep)
-    return _in_order(with_log_time(decoded), schemas.EVENT_LOG, keep)
+    return _in_order(_timed(decoded), schemas.EVENT_LOG, keep)
 
 
 def typed_orders(orders: DataFrame) -> DataFrame:

@@ -106,11 +106,13 @@ def _order_columns() -> dict[str, Column]:
     }
 
 
-def order_wire(spark: SparkSession, folder: str, province: bool = True) -> DataFrame:
+def order_wire(
+    spark: SparkSession, folder: str, province: bool = True, first: str | None = None, last: str | None = None
+) -> DataFrame:
     """Orders with all columns as text, as change records carry them."""
     known = _order_columns() | {"total_amount": F.col("o_totalprice").cast("decimal(18,2)").cast("string")}
     missing = F.lit(None).cast("string")
-    return _orders(spark, folder, province).select(
+    return _orders(spark, folder, province, first, last).select(
         *[known.get(n, missing).alias(n) for n in schemas.ORDER_WIRE.fieldNames()]
     )
 
@@ -198,7 +200,7 @@ def user_info(spark: SparkSession, folder: str) -> DataFrame:
 
 def user_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Users with a second version (``seq`` 2, other level) of every seventh."""
-    first = user_info(spark, folder).withColumn("seq", F.lit(1))
+    first = customers_as_users(spark, folder).withColumn("seq", F.lit(1))
     again = first.filter(F.col("id").cast("bigint") % 7 == 0)
     return first.unionByName(again.withColumns({"seq": F.lit(2), "user_level": F.lit("GOLD")}))
 
@@ -230,7 +232,7 @@ def cdc(spark: SparkSession, folder: str) -> DataFrame:
     Every order is also deleted again, every part row belongs to a table
     nobody asked for, and every supplier stands for a transaction mark.
     """
-    orders = order_wire(spark, folder, province=False)
+    orders = order_wire(spark, folder)
     changes = user_changes(spark, folder)
     event = F.when(F.col("seq") == 1, "INSERT").otherwise("UPDATE")
     parts = table(spark, folder, "part").select(_text("p_partkey").alias("id"))
@@ -238,7 +240,7 @@ def cdc(spark: SparkSession, folder: str) -> DataFrame:
     frames = [
         _entries(orders, "order_info", "INSERT"),
         _entries(orders.select("id"), "order_info", "DELETE"),
-        _entries(detail_wire(spark, folder, sku=False), "order_detail", "INSERT"),
+        _entries(detail_wire(spark, folder), "order_detail", "INSERT"),
         _entries(changes, "user_info", event),
         _entries(parts, "sku_info", "INSERT"),
         _entries(marks, "order_info", "INSERT", entry_type="TRANSACTIONBEGIN"),

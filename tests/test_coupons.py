@@ -76,23 +76,37 @@ def test_windows_equal_brute_force(spark, seed, window, slide, least):
         for (m, s), inside in want.items()), key=repr)
     assert documents == expected
 
+    # Panes, as the stream counts them, stand in for events.
     timed = frame.withColumn("event_time", F.timestamp_millis("ts"))
-    panes = coupons.listed_events(coupons.pane_alerts(timed, window, slide, least))
-    assert rows(panes, "mid", "uids", "itemIds", "events", "ts") == expected
-
-
-def test_members_without_skew_splitting(spark):
-    """As in a stateful micro-batch, where events are dealt out by hand."""
-    frame = spark.createDataFrame(random_events(9, 240), SCHEMA)
-    alerts = coupons.alert_windows(frame, 60, 20, 2)
-    want = rows(coupons.alert_members(frame, alerts, 60))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        members = coupons.alert_members(frame, alerts, 60)
-        assert "part" in members._jdf.queryExecution().optimizedPlan().toString()
-        assert rows(members) == want and want
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    panes = coupons.counted_panes(timed, slide)
+    counted = coupons.listed_events(coupons.alert_documents(panes, alerts, window, slide))
+    assert rows(counted, "mid", "uids", "itemIds", "events", "ts") == expected
+
+
+def test_a_busy_device_is_counted_before_it_is_joined(spark):
+    """20,000 events of a device in sixty windows each: rows joined follow windows and findings."""
+    frame = spark.range(20_000).select(
+        F.lit("m").alias("mid"), (F.col("id") % 4).cast("string").alias("uid"), F.lit("coupon").alias("evid"),
+        F.lit("i").alias("itemid"), (F.col("id") * 30).alias("ts"))
+    alerts = coupons.alert_windows(frame)
+    members = coupons.alert_members(frame, alerts)
+    windows, found = alerts.count(), members.count()
+    assert windows > 100 and found == 6 * windows
+    joins = []
+
+    def walk(plan):
+        if "Join" in plan.nodeName() and plan.metrics().contains("numOutputRows"):
+            joins.append(plan.metrics().apply("numOutputRows").value())
+        for i in range(plan.children().size()):
+            walk(plan.children().apply(i))
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            walk(plan.executedPlan())
+        if plan.nodeName().endswith("QueryStage"):
+            walk(plan.plan())
+
+    members.collect()
+    walk(members._jdf.queryExecution().executedPlan())
+    assert joins and max(joins) <= 2 * found
 
 
 def test_window_edges(spark):
@@ -114,8 +128,6 @@ def test_last_alert_of_each_minute(spark):
 def test_length_must_fit_slide(spark):
     with pytest.raises(ValueError):
         coupons.alert_windows(spark.createDataFrame([], SCHEMA), 7, 2)
-    with pytest.raises(ValueError):
-        coupons.pane_alerts(spark.createDataFrame([], SCHEMA), 7, 2)
 
 
 def test_documents_are_named_by_device_and_minute(spark):

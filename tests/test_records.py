@@ -155,13 +155,15 @@ def test_clock(spark):
     assert value(spark, clock.hour_of(F.lit(1597645200000))) == "06"
     assert value(spark, clock.minute_of(F.lit(119999))) == 1
     assert value(spark, clock.previous_day("2024-03-01")) == "2024-02-29"
-    assert value(spark, clock.millis(F.timestamp_millis(F.lit(1234)))) == 1234
-    assert value(spark, clock.text_hour(F.lit("2024-03-01 :20"))) is None
+    hours = {"2024-03-01 :20": None, "2024-03-01 9:05:00": "09", "2024-03-01 23": "23", "2024-03-01 24:00": None,
+             "2024-03-01": None, "2024-03-01 099:1": None, "2024-03-01 07:00:00": "07"}
+    assert {t: value(spark, clock.text_hour(F.lit(t))) for t in hours} == hours
 
 
 @pytest.mark.parametrize("name,keyword,found", [
     ("Red gear", "GEAR", True), ("red gear", "gear red", True), ("red gears", "gear", False), ("red", "red gear", False),
     ("steel-gear 5", "gear,5", True), ("小米手机", "手机", True), ("小米手机", "手表", False),
+    ("red gear", "!!!", False),
 ])
 def test_keyword(spark, name, keyword, found):
     assert value(spark, text.has_all_words(F.lit(name), keyword)) is found

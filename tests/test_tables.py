@@ -64,15 +64,17 @@ def test_dealt_join_equals_plain_join(hot, how):
     many, unique = hot
     want = rows(many.join(unique, "key", how), "row", "key", "v")
     assert rows(skew.join_unique(many, unique, "key", "row", how), "row", "key", "v") == want
-    for least in (1, 100, 10**9):
-        got = skew.join_dealt(many, unique, "key", "row", how, parts=5, least_rows=least)
+    for parts in (1, 5, 500):
+        got = skew.join_dealt(many, unique, "key", "row", how, parts=parts)
         assert rows(got, "row", "key", "v") == want
 
 
 def test_hot_rows_are_spread(hot):
     many, unique = hot
-    assert rows(skew.hot_keys(many, "key", 100)) == [("hot",)]
-    joined = skew.join_dealt(many, unique.hint("shuffle_hash"), "key", "row", "left", parts=8, least_rows=100)
+    assert rows(skew.hot_keys(many, "key", 4)) == [("hot",)]
+    assert skew.hot_keys(many, "key", 100_000).count() == 52  # all are, yet no more than that
+    assert skew.hot_keys(many.limit(0), "key", 8).count() == 0
+    joined = skew.join_dealt(many, unique.hint("shuffle_hash"), "key", "row", "left", parts=8)
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "_part" in plan
 
