@@ -7,6 +7,8 @@ from .catalog import (
     KEYWORD,
     LOG_DAY,
     LOG_DAY_BEFORE,
+    NEW_DAY,
+    NEW_DAY_BEFORE,
     ORDER_DAY,
     ORDER_DAY_BEFORE,
 )
@@ -52,9 +54,9 @@ usr AS (
   SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS login_name, c_mktsegment AS user_level,
          CAST(DATE '1950-01-01' + CAST((c_custkey * 7919) % 22000 AS INTEGER) AS DATE) AS born,
          CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, c_custkey
-  FROM customer WHERE c_custkey % 10 <> 0),
+  FROM customer),
 aged AS (
-  SELECT *, CAST(date_diff('day', born, DATE '{AS_OF}') // 365 AS INTEGER) AS age FROM usr)"""
+  SELECT *, CAST(date_diff('day', born, DATE '{AS_OF}') // 365 AS INTEGER) AS age FROM usr WHERE c_custkey % 10 <> 0)"""
 
 _SALES = f"""{_ORDERS}, {_DETAILS}, {_USERS},
 sale AS (
@@ -123,14 +125,17 @@ alerting AS (
 
 
 _ALERT_DOCS = f"""
-WITH {_sliding(ALERT_WINDOW, ALERT_SLIDE, 3)}
+WITH {_sliding(ALERT_WINDOW, ALERT_SLIDE, 3)},
+inside AS (SELECT * FROM placed JOIN alerting USING (mid, window_start)),
+counted AS (
+  SELECT mid, window_end, string_agg(evid || ':' || n, ',' ORDER BY evid) AS events
+  FROM (SELECT mid, window_end, evid, count(*) AS n FROM inside WHERE evid IS NOT NULL GROUP BY ALL) GROUP BY ALL)
 SELECT mid || '-' || (window_end // 60000) AS alert_id, mid,
        string_agg(DISTINCT uid, ',' ORDER BY uid) FILTER (evid = 'coupon') AS uids,
-       string_agg(DISTINCT itemid, ',' ORDER BY itemid) FILTER (evid = 'coupon') AS item_ids,
-       string_agg(evid, ',' ORDER BY evid) AS events,
+       string_agg(DISTINCT itemid, ',' ORDER BY itemid) FILTER (evid = 'coupon') AS item_ids, events,
        window_end AS ts, strftime(make_timestamp(window_end * 1000), '%Y-%m-%d') AS dt
-FROM placed JOIN alerting USING (mid, window_start)
-GROUP BY mid, window_end"""
+FROM inside JOIN counted USING (mid, window_end)
+GROUP BY mid, window_end, events"""
 
 _LOG_COLUMNS = """mid, uid, 'app' AS appid, 'beijing' AS area, 'ios' AS os"""
 _LOG_TIME = """day AS "logDate", hour AS "logHour", ts"""
@@ -158,19 +163,26 @@ def _json(image):
 
 
 _ORDER_IMAGE = {
-    "id": "id", "province_id": "''", "consignee": "''", "order_comment": "''", "consignee_tel": "tel",
+    "id": "id", "province_id": "province_id", "consignee": "''", "order_comment": "''", "consignee_tel": "tel",
     "order_status": "order_status", "payment_way": "''", "user_id": "user_id", "img_url": "''",
     "total_amount": "CAST(CAST(total_amount AS DECIMAL(18, 2)) AS VARCHAR)", "expire_time": "''",
     "delivery_address": "''", "create_time": "create_date || ' ' || create_hour || ':00:00'",
     "operate_time": "''", "tracking_no": "''", "parent_order_id": "''", "out_trade_no": "''", "trade_body": "''",
 }
 _DETAIL_IMAGE = {
-    "id": "id", "order_id": "order_id", "sku_name": "''", "sku_id": "sku_id",
+    "id": "id", "order_id": "order_id", "sku_name": "sku_name", "sku_id": "sku_id",
     "order_price": "CAST(CAST(price AS DECIMAL(18, 2)) AS VARCHAR)", "img_url": "''",
     "sku_num": "CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)",
 }
 _USER_IMAGE = {c: c for c in ("id", "login_name", "user_level", "birthday", "gender")}
 
+_REALTIME_TOTAL = f"""
+    WITH {_STARTUP}, {_ORDERS}
+    SELECT 'dau' AS id, '新增日活' AS name, CAST(count(*) AS DOUBLE) AS value FROM dau WHERE day = '{NEW_DAY}'
+    UNION ALL SELECT 'new_mid', '新增设备', CAST(count(*) AS DOUBLE) FROM newcomers WHERE day = '{NEW_DAY}'
+    UNION ALL SELECT 'order_amount', '新增交易额', round(sum(total_amount), 2)
+    FROM ord WHERE create_date = '{ORDER_DAY}'"""
+
 ORACLE_SQL: dict[str, str] = {
     "decode_startup": f"WITH {_LOGS} SELECT {_STARTUP_COLUMNS} FROM logs WHERE type = 'startup'",
     "decode_event": f"""
@@ -178,7 +190,8 @@ ORACLE_SQL: dict[str, str] = {
         FROM logs WHERE type = 'event'""",
     "decode_order": f"WITH {_ORDERS} SELECT {_ORDER_COLUMNS} FROM ord",
     "decode_detail": f"""
-        WITH {_DETAILS} SELECT id AS order_detail_id, order_id, sku_id, sku_name, price AS sku_price FROM det""",
+        WITH {_DETAILS} SELECT id, order_id, sku_name, sku_id, CAST(CAST(price AS DECIMAL(18, 2)) AS VARCHAR) AS order_price,
+               '' AS img_url, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS sku_num FROM det""",
     "decode_user": f"""
         WITH {_USERS} SELECT id, login_name, user_level, strftime(born, '%Y-%m-%d') AS birthday, gender FROM usr""",
     "route_logs": f"""
@@ -187,7 +200,10 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN type = 'event' THEN evid END AS evid,
                CASE WHEN type = 'event' THEN itemid END AS itemid, ts
         FROM logs""",
-    "raw_archive": f"WITH {_LOGS} SELECT day AS dt, count(*) AS records FROM logs GROUP BY day",
+    "raw_archive": f"""
+        WITH {_LOGS}
+        SELECT day AS dt, type, mid, uid, CASE WHEN type = 'event' THEN evid END AS evid,
+               CASE WHEN type = 'event' THEN itemid END AS itemid, ts FROM logs""",
     "route_cdc": f"""
         WITH {_CHANGES}
         SELECT 'order_info' AS table_name, 'INSERT' AS event_type, 'order_info' AS topic, count(*) AS entries
@@ -213,7 +229,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH {_STARTUP} SELECT hour, count(*) AS total FROM dau WHERE day = '{LOG_DAY}' GROUP BY hour""",
     "hours_dau": _hours(_STARTUP, "dau", "count(*)", "0").format(before=LOG_DAY_BEFORE, day=LOG_DAY),
     "hours_new_device": _hours(_STARTUP, "newcomers", "count(*)", "0").format(
-        before=LOG_DAY_BEFORE, day=LOG_DAY
+        before=NEW_DAY_BEFORE, day=NEW_DAY
     ),
     "new_devices_per_day": f"""
         WITH {_STARTUP} SELECT {_LOG_TIME.removesuffix(', ts')}, count(*) AS devices
@@ -237,15 +253,15 @@ ORACLE_SQL: dict[str, str] = {
         _ORDERS + ", amounts AS (SELECT create_date AS day, create_hour AS hour, total_amount FROM ord)",
         "amounts", "round(sum(total_amount), 2)", "0.0::DOUBLE",
     ).format(before=ORDER_DAY_BEFORE, day=ORDER_DAY),
+    "hours_gmv_unpadded": _hours(
+        _ORDERS + ", amounts AS (SELECT create_date AS day, create_hour AS hour, total_amount FROM ord)",
+        "amounts", "round(sum(total_amount), 2)", "0.0::DOUBLE",
+    ).format(before=ORDER_DAY_BEFORE, day=ORDER_DAY),
     "hours_previous_day": f"""
         WITH {_ORDERS} SELECT create_date, create_hour, round(sum(total_amount), 2) AS amount
         FROM ord WHERE create_date = '{ORDER_DAY_BEFORE}' GROUP BY create_date, create_hour""",
-    "realtime_total": f"""
-        WITH {_STARTUP}, {_ORDERS}
-        SELECT 'dau' AS id, '新增日活' AS name, CAST(count(*) AS DOUBLE) AS value FROM dau WHERE day = '{LOG_DAY}'
-        UNION ALL SELECT 'new_mid', '新增设备', CAST(count(*) AS DOUBLE) FROM newcomers WHERE day = '{LOG_DAY}'
-        UNION ALL SELECT 'order_amount', '新增交易额', round(sum(total_amount), 2)
-        FROM ord WHERE create_date = '{ORDER_DAY}'""",
+    "realtime_total": _REALTIME_TOTAL,
+    "realtime_total_json": _REALTIME_TOTAL,
     "gmv_by_province": f"""
         WITH {_ORDERS} SELECT province_id, count(*) AS orders, round(sum(total_amount), 2) AS amount,
                CAST(least(count(*) // 100, 5) AS INTEGER) AS bin
@@ -254,7 +270,7 @@ ORACLE_SQL: dict[str, str] = {
     "order_detail_audit": """
         SELECT CASE WHEN l_orderkey IS NULL THEN 'order' WHEN o_orderkey IS NULL THEN 'detail' ELSE 'both' END
                  AS side, count(*) AS n
-        FROM orders FULL JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""",
+        FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) FULL JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""",
     "order_detail_interval": f"""
         WITH {_DETAILS}
         SELECT order_id, id AS order_detail_id, CAST(l_linenumber * 25 AS BIGINT) AS waited
@@ -270,12 +286,8 @@ ORACLE_SQL: dict[str, str] = {
         ORDER BY order_detail_id LIMIT 10""",
     "sale_total": f"WITH {_HITS} SELECT count(*) AS total FROM hits",
     "sale_by_age": f"WITH {_SALES} SELECT user_age, count(*) AS hits FROM sale GROUP BY user_age",
-    "sale_by_age_top": f"""
-        WITH {_SALES} SELECT user_age, count(*) AS hits FROM sale GROUP BY user_age
-        ORDER BY hits DESC, user_age LIMIT 100""",
     "sale_by_gender": f"""
-        WITH {_SALES} SELECT user_gender, count(*) AS hits FROM sale
-        WHERE user_gender IS NOT NULL GROUP BY user_gender ORDER BY hits DESC, user_gender LIMIT 3""",
+        WITH {_SALES} SELECT coalesce(user_gender, 'unknown') AS user_gender, count(*) AS hits FROM sale GROUP BY 1""",
     "sale_by_band": f"""
         WITH {_SALES} SELECT CASE WHEN user_age < 20 THEN 'under20' WHEN user_age <= 30 THEN '20to30'
                ELSE 'over30' END AS band, count(*) AS hits FROM sale GROUP BY 1""",
@@ -301,15 +313,7 @@ ORACLE_SQL: dict[str, str] = {
                (SELECT order_detail_id FROM paged WHERE pos = 5) AS last_id,
                (SELECT sku_name FROM paged WHERE pos = 5) AS last_sku, {_NO} AS beyond
         FROM pct""",
-    "realtime_total_json": f"""
-        WITH {_STARTUP}
-        SELECT '[{{"id":"dau","name":"新增日活","value":'
-            || CAST((SELECT count(*) FROM dau WHERE day = '{LOG_DAY}') AS DOUBLE)
-            || '}},{{"id":"new_mid","name":"新增设备","value":'
-            || CAST((SELECT count(*) FROM newcomers WHERE day = '{LOG_DAY}') AS DOUBLE)
-            || '}},{{"id":"order_amount","name":"新增交易额"}}]' AS report""",
     "coupon_alert": _ALERT_DOCS,
-    "coupon_alert_panes": _ALERT_DOCS,
     "coupon_alert_members": f"""
         WITH {_sliding(ALERT_WINDOW, ALERT_SLIDE, 3)},
         inside AS (SELECT * FROM placed JOIN alerting USING (mid, window_start)),
@@ -335,16 +339,14 @@ ORACLE_SQL: dict[str, str] = {
         WITH {_CHANGES} SELECT * FROM changes
         QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1""",
     "order_latest": f"""
-        WITH {_ORDERS}
-        SELECT id, CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'R' ELSE order_status END AS order_status,
-               total_amount, create_date, create_hour, substr(tel, 1, 4) || '*******' AS consignee_tel,
-               CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 2 ELSE 1 END AS seq
-        FROM ord""",
+        WITH {_ORDERS}, latest AS (
+          SELECT * REPLACE (CAST(NULL AS VARCHAR) AS province_id,
+                            CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'R' ELSE order_status END AS order_status)
+          FROM ord)
+        SELECT {_ORDER_COLUMNS}, CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 2 ELSE 1 END AS seq FROM latest""",
     "sale_detail_latest": f"""
         WITH {_SALES}
-        SELECT order_detail_id, order_id,
-               CASE WHEN CAST(order_id AS BIGINT) % 5 = 0 THEN 'R' ELSE order_status END AS order_status,
-               user_id, dt, CASE WHEN CAST(order_id AS BIGINT) % 5 = 0 THEN 2 ELSE 1 END AS seq
+        SELECT * REPLACE (CASE WHEN CAST(order_id AS BIGINT) % 5 = 0 THEN 'R' ELSE order_status END AS order_status)
         FROM sale""",
 }
 

@@ -3,11 +3,11 @@
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+TIME_ZONE = "spark.sql.session.timeZone"
 
 # Settings that a job may change at run time. Skewed partitions are split even
 # where that costs one more exchange: an unsplit hot partition costs far more.
 RUNTIME_SETTINGS = {
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
@@ -40,6 +40,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
+    spark.conf.set(TIME_ZONE, "UTC")
     spark.sparkContext.setLogLevel("ERROR")
     return prepared(spark)
 
