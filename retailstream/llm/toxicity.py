@@ -31,7 +31,7 @@ SHORTEST, LONGEST = 3, 12  # letters of a term
 LEAST_DOCS = 4  # toxic documents that a term must stand in
 LEAST_NEW = 2.5  # of them, each halved with every term that it already holds
 LEAST_RATIO = 6.0  # how much more frequent a term is in toxic documents
-_FLUSH = 300_000  # counted beginnings that a task keeps
+_FLUSH = 100_000  # counted beginnings that a task keeps
 _SLICE = 1 << 20  # characters that are folded at once
 
 # Letters that look like Latin ones, by the Latin letter.
