@@ -77,9 +77,18 @@ def _sorting_out(write: Callable[[DataFrame, sinks.Turn], None], path: str) -> C
 
 
 def _keep_rejected(decoded: DataFrame, path: str, name: str, checkpoint: str | None, every: str | None) -> StreamingQuery:
-    """A query of its own for the rejected records of a job that keeps state."""
+    """A query of its own for the rejected records of a job that keeps state.
+
+    One that an earlier start of the job has left running gives way to it.
+    """
     beside = f"{checkpoint.rstrip('/')}_rejected" if checkpoint else None
-    return quarantine(decoded, f"{path.rstrip('/')}_rejected", f"{name}_rejected", beside, every)
+    for running in decoded.sparkSession.streams.active:
+        if running.name == f"{name}_rejected":
+            running.stop()
+    query = quarantine(decoded, f"{path.rstrip('/')}_rejected", f"{name}_rejected", beside, every)
+    if every is None:
+        query.awaitTermination()
+    return query
 
 
 def daily_active_devices(

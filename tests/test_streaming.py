@@ -427,3 +427,12 @@ def test_routing_takes_another_sink(spark, feed, tmp_path):
     finish(jobs.log_routing(source.stream(), None, str(tmp_path / "archive"), str(tmp_path / "mark"), every=None, sink=keep))
     assert [r.topic for r in sent] == [schemas.STARTUP_TOPIC]
     assert callable(sinks.kafka_topics("broker:9092"))
+
+
+def test_jobs_with_state_keep_rejected_records_too(spark, feed, tmp_path):
+    source, table = feed("in"), str(tmp_path / "alerts")
+    source.add(event("m1", "u1", "coupon", 0), "{bad", {"mid": "x"})
+    for turn in range(2):
+        finish(jobs.coupon_alerts(source.stream(), table, str(tmp_path / "panes"), str(tmp_path / "mark"), every=None))
+    assert len(rows(spark.read.text(table + "_rejected"))) == 2
+    assert not [q for q in spark.streams.active if q.name.endswith("_rejected")]
