@@ -7,7 +7,6 @@ likelihood less a penalty per language: the best single one, then others in the
 order of their proportions as long as they are worth their penalty.
 """
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,6 @@ ROUNDS = 12  # of expectation maximisation
 MAX_LANGUAGES = 400  # a documented bound of what is learned: the most frequent values
 _SLICE = 1 << 20  # characters that are hashed at once
 
-_LETTER = re.compile(r"[^\W\d_]")
 # ASCII letters stay (texts are in lower case by then), other ASCII becomes blank.
 _BLANKED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -92,7 +90,7 @@ def infer(text: str | None, logs: np.ndarray) -> tuple[list[int], np.ndarray, fl
     first: its proportion times its posterior among single languages. None if there
     is nothing to judge.
     """
-    if not text or logs.shape[1] == 0 or not _LETTER.search(text):
+    if not text or logs.shape[1] == 0 or not any(map(str.isalpha, text)):
         return None
     counts = trigram_counts(text)
     at = np.flatnonzero(counts)

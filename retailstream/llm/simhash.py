@@ -59,6 +59,14 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, bits long")
 
 
+def _bits(text: Column) -> Column:
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+
+    return run(text)
+
+
 def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
     """For each table the bits of its key, as a signed number."""
     edges = [i * _BITS // blocks for i in range(blocks + 1)]
@@ -107,6 +115,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     gives an empty result.
     """
     marked = checkpointed(fingerprints(docs, key, text))
+    return marked.join(_grouped(marked).drop("component"), "bits").select(
+        "doc_id", as_hex("bits").alias("fingerprint"), "component_id",
+    )
+
+
+def _grouped(marked: DataFrame) -> DataFrame:
+    """(doc_id, bits) -> one row per fingerprint: bits, component, component_id.
+
+    `component` is the smallest fingerprint of the group, `component_id` its smallest id.
+    """
     classes = checkpointed(marked.groupBy("bits").agg(F.min("doc_id").alias("first")))
     linked = components(close_links(classes.select("bits")))
     # A component is named by its smallest fingerprint; its smallest document is wanted.
@@ -114,10 +132,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         "component", F.coalesce("component", "bits")
     )
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    answer = named.join(smallest, "component").select("bits", "component_id")
-    return marked.join(answer, "bits").select(
-        "doc_id", as_hex("bits").alias("fingerprint"), "component_id",
-    )
+    return named.join(smallest, "component").select("bits", "component", "component_id")
 
 
 def as_hex(bits: str) -> Column:
@@ -127,8 +142,25 @@ def as_hex(bits: str) -> Column:
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, one of each component: that with the smallest id.
 
-    Rows that repeat the id that stays all stay.
+    Of rows that repeat this id in the component one stays, always the same. A
+    component without any id keeps one of its rows too.
     """
-    found = near_duplicates(docs, key, text)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.alias("d").join(stays, F.col(f"d.`{key}`").cast("long").eqNullSafe(stays["doc_id"]), "left_semi")
+    marked = checkpointed(fingerprints(docs, key, text))
+    groups = checkpointed(_grouped(marked))
+    is_first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = marked.join(groups, "bits").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(is_first).alias("stays"))
+    ids = checkpointed(ids.filter("stays").drop("stays"))
+
+    def rows_of(chosen: DataFrame) -> DataFrame:
+        chosen = chosen.select(F.col("doc_id").alias("_id"))
+        return docs.alias("d").join(chosen, F.col(f"d.`{key}`").cast("long").eqNullSafe(chosen["_id"]), "left_semi")
+
+    # An id tells its row unless it is repeated; only such rows are looked at again.
+    repeated = rows_of(ids.filter("n > 1")).select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).cast("long").alias("doc_id"),
+        _bits(F.col(text)).alias("bits"),
+    )
+    one = repeated.join(groups, "bits").filter(is_first).groupBy("component").agg(
+        F.min_by("doc", F.sha2(F.to_json("doc"), 256)).alias("doc")
+    )
+    return rows_of(ids.filter("n = 1")).unionByName(one.select("doc.*"))
