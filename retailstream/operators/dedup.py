@@ -8,6 +8,8 @@ third of all rows costs no more than any other.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.clock import day_of
+
 
 def _best(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     ranked = frame.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -32,6 +34,22 @@ def first_activity_time(logs: DataFrame) -> DataFrame:
     return logs.groupBy("logDate", "mid").agg(F.min("ts").alias("ts"))
 
 
+def first_ever(logs: DataFrame, known: DataFrame) -> DataFrame:
+    """``(mid, ts, gone, logDate)`` to add to ``known`` (rows alike) for new records.
+
+    A device that is not known gets a row in the day of its first record. If an
+    earlier record of a known one comes late, a row in the earlier day is added, and
+    one that takes the device out of the day it had. So each day's rows tell on
+    their own who was new, and adding the same records again changes nothing.
+    """
+    first = logs.groupBy("mid").agg(F.min("ts").alias("ts"))
+    # Only devices that occur go into the minimum. Rows of days given up are later ones.
+    had = known.join(first.select("mid"), "mid", "left_semi").groupBy("mid").agg(F.min("ts").alias("had"))
+    moved = first.join(had, "mid", "left").filter("had is null or ts < had")
+    left = moved.filter(day_of("ts") != day_of("had")).select("mid", F.col("had").alias("ts"), F.lit(True).alias("gone"))
+    return moved.select("mid", "ts", F.lit(False).alias("gone")).unionByName(left).withColumn("logDate", day_of("ts"))
+
+
 def unseen(logs: DataFrame, seen: DataFrame) -> DataFrame:
     """Records whose device is not yet in ``seen`` for the day of the record."""
     return logs.join(seen.select("logDate", "mid").distinct(), ["logDate", "mid"], "left_anti")

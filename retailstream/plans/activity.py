@@ -24,3 +24,10 @@ def new_devices(logs: DataFrame, upto: str | None = None) -> DataFrame:
     """
     first = (logs if upto is None else logs.filter(F.col("logDate") <= upto)).groupBy("mid").agg(F.min("ts").alias("ts"))
     return first.select("mid", day_of("ts").alias("logDate"), hour_of("ts").alias("logHour"))
+
+
+def first_seen(rows: DataFrame) -> DataFrame:
+    """``(mid, logDate, logHour)`` of new devices, from rows as ``dedup.first_ever`` makes
+    them. The days decide on their own, so a filter on ``logDate`` reaches the scan."""
+    found = rows.groupBy("logDate", "mid").agg(F.min("ts").alias("ts"), F.max("gone").alias("gone"))
+    return found.filter(~F.col("gone")).select("mid", "logDate", hour_of("ts").alias("logHour"))

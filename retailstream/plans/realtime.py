@@ -25,18 +25,19 @@ def _day_before(day: str) -> str:
     return (date.fromisoformat(day) - timedelta(days=1)).isoformat()
 
 
-def realtime_total(dau: DataFrame, orders: DataFrame, logs: DataFrame | None = None, day: str | None = None) -> DataFrame:
+def realtime_total(dau: DataFrame, orders: DataFrame, logs: DataFrame | None = None, day: str | None = None,
+                   new: DataFrame | None = None) -> DataFrame:
     """``(id, name, value)`` for active devices, new devices and order amount.
 
-    ``logs`` holds all activity up to the day, which is what makes a device new;
-    without it the DAU table serves, as it has a row for every device and day.
+    ``new`` has the new devices by day, as ``jobs.read_new_devices`` gives them; only
+    the day is read then. Otherwise they are looked for in ``logs``, all activity up
+    to the day, or else in the DAU table, which has a row for every device and day.
     """
     day = day or _today(dau)
+    new = new_devices(dau if logs is None else logs, day) if new is None else new
     figures = {
         "dau": dau_total(dau, day).select(F.col("total").cast("double").alias("value")),
-        "new_mid": dau_total(new_devices(dau if logs is None else logs, day), day).select(
-            F.col("total").cast("double").alias("value")
-        ),
+        "new_mid": dau_total(new, day).select(F.col("total").cast("double").alias("value")),
         "order_amount": gmv_total(orders, day).select(F.col("amount").alias("value")),
     }
     rows = [
@@ -69,7 +70,7 @@ def hours_dau(dau: DataFrame, day: str) -> DataFrame:
 
 
 def hours_new_devices(logs: DataFrame, day: str) -> DataFrame:
-    return _compare(new_devices(logs, day), "logDate", "logHour", F.lit(1), day)
+    return hours_dau(new_devices(logs, day), day)
 
 
 def hours_amount(orders: DataFrame, day: str) -> DataFrame:
@@ -77,13 +78,13 @@ def hours_amount(orders: DataFrame, day: str) -> DataFrame:
 
 
 def realtime_hours(metric: str, dau: DataFrame, orders: DataFrame, logs: DataFrame | None = None,
-                   day: str | None = None) -> DataFrame:
-    """The comparison for one metric id; an unknown id has no rows."""
+                   day: str | None = None, new: DataFrame | None = None) -> DataFrame:
+    """The comparison for one metric id; an unknown id has no rows. ``new`` as above."""
     day = day or _today(dau)
     if metric == "dau":
         return hours_dau(dau, day)
     if metric == "new_mid":
-        return hours_new_devices(dau if logs is None else logs, day)
+        return hours_new_devices(dau if logs is None else logs, day) if new is None else hours_dau(new, day)
     if metric == "order_amount":
         return hours_amount(orders, day)
     return hours_dau(dau, day).limit(0)

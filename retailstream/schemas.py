@@ -6,6 +6,7 @@ details and users is all strings; numbers are cast after decoding.
 
 from pyspark.sql.types import (
     ArrayType,
+    BooleanType,
     DoubleType,
     IntegerType,
     LongType,
@@ -78,6 +79,11 @@ COUPON_PANE = StructType(
     + _strings("hour")
 )
 
+# The first record ever of a device; `gone` takes it out of a day it had before.
+FIRST_SEEN = StructType(
+    _strings("mid") + [StructField("ts", LongType()), StructField("gone", BooleanType())] + _strings("logDate")
+)
+
 CDC_ENTRY = StructType(
     _strings("entry_type", "table_name", "event_type")
     + [

@@ -16,6 +16,7 @@ from .. import schemas
 from ..functions.clock import day_of, hour_of
 from ..operators import coupons, joins
 from ..operators.dedup import latest_per_key
+from ..plans import activity
 from ..schemas import SALE_DETAIL
 from ..session import shared_folder
 from ..sources import cdc, decode, logs
@@ -24,6 +25,7 @@ from . import sinks
 
 EVERY = "5 seconds"
 USER_EVERY = "3 seconds"
+NEW_EVERY = "1 minute"
 # How far behind the newest records others may be and still count: after an outage
 # the partitions of a topic catch up unevenly.
 LATE = "15 minutes"
@@ -125,6 +127,24 @@ def daily_active_devices(
     return start(fresh, write, "daily_active_devices", checkpoint, every)
 
 
+def new_devices(raw: DataFrame, path: str, checkpoint: str | None = None, every: str | None = NEW_EVERY):
+    """The first record ever of each device into a table by day.
+
+    A batch reads two columns of that table, one row per device, and the reports
+    just the days they show (``read_new_devices``), so neither goes back to the log.
+    """
+    sinks.create_table(raw.sparkSession, path, schemas.FIRST_SEEN, ("logDate",))
+    decoded = decode.counted(decode.startup_logs(raw), "startup_logs")
+    write = lambda batch, turn: sinks.add_first_seen(batch, turn, path)
+    return start(decoded, _sorting_out(write, path), "new_devices", checkpoint, every)
+
+
+def read_new_devices(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame:
+    """``(mid, logDate, logHour)`` of new devices, from the partitions of the ``days`` alone."""
+    kept = sinks.read_versions(spark, path, schemas.FIRST_SEEN, None if days is None else ("logDate", days))
+    return activity.first_seen(kept)
+
+
 def order_facts(raw: DataFrame, path: str, checkpoint: str | None = None, every: str | None = EVERY):
     """Orders with masked phones into the order table, the last version per id."""
     sinks.create_table(raw.sparkSession, path, schemas.ORDER_INFO, ("create_date",))

@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..operators.dedup import first_activity, latest_per_key, new_activity
+from ..operators.dedup import first_activity, first_ever, latest_per_key, new_activity
 from ..operators.skew import splits_skew
+from ..schemas import FIRST_SEEN
 
 RUN, BATCH = "run_id", "batch_id"
 VERSION = (RUN, BATCH)
@@ -165,6 +166,13 @@ def add_new_activity(batch: DataFrame, turn: Turn | int, path: str, schema: Stru
         first.unpersist()
 
 
+def add_first_seen(batch: DataFrame, turn: Turn | int, path: str) -> None:
+    """Add the devices of a batch that were never seen before, or not as early."""
+    turn = _turn(turn)
+    known = read_versions(batch.sparkSession, path, FIRST_SEEN).filter(before(turn))
+    write_batch(first_ever(batch, known.select("mid", "ts")), turn, path, ("logDate",))
+
+
 def compact(
     spark: SparkSession,
     source: str,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from retailstream import schemas
 from retailstream.operators import coupons, dedup
-from retailstream.plans import sales
+from retailstream.plans import activity, realtime, sales
 from retailstream.sources import decode, fixtures, logs, topics
 from retailstream.streaming import jobs, sinks
 
@@ -436,3 +436,30 @@ def test_jobs_with_state_keep_rejected_records_too(spark, feed, tmp_path):
         finish(jobs.coupon_alerts(source.stream(), table, str(tmp_path / "panes"), str(tmp_path / "mark"), every=None))
     assert len(rows(spark.read.text(table + "_rejected"))) == 2
     assert not [q for q in spark.streams.active if q.name.endswith("_rejected")]
+
+
+def test_new_devices_by_day(spark, feed, tmp_path):
+    """Records that come late move a device to the day where it belongs, and no other day changes."""
+    source, table, mark, day = feed("in"), str(tmp_path / "new"), str(tmp_path / "mark"), 86400
+    source.add(startup("a", "1", day + 7200), startup("b", "1", 5), startup("a", "2", 2 * day), "{bad")
+    source.add(startup("c", "1", day), startup("b", "2", day))
+    finish(jobs.new_devices(source.stream(), table, mark, every=None))
+    assert rows(jobs.read_new_devices(spark, table)) == [
+        ("a", "2024-01-16", "12"), ("b", "2024-01-15", "10"), ("c", "2024-01-16", "10")]
+    source.add(startup("a", "3", day + 3600), startup("c", "2", 30), startup("d", "1", 2 * day))
+    finish(jobs.new_devices(source.stream(), table, mark, every=None))
+    wanted = [("a", "2024-01-16", "11"), ("b", "2024-01-15", "10"), ("c", "2024-01-15", "10"), ("d", "2024-01-17", "10")]
+    assert rows(jobs.read_new_devices(spark, table)) == wanted
+    logs = decode.accepted(decode.startup_logs(source.batch()))
+    assert rows(activity.new_devices(logs)) == wanted
+    # A job with another checkpoint reads the same records once more.
+    finish(jobs.new_devices(source.stream(), table, str(tmp_path / "other"), every=None))
+    assert rows(jobs.read_new_devices(spark, table)) == wanted
+
+    days = ["2024-01-15", "2024-01-16"]
+    pruned = jobs.read_new_devices(spark, table, days)
+    assert rows(pruned) == wanted[:3]
+    assert all(any(f"logDate={d}" in f for d in days) for f in pruned.inputFiles())
+    dau = dedup.first_activity(logs)
+    for metric, asked in (("new_mid", realtime.realtime_hours), ("dau", realtime.realtime_hours)):
+        assert rows(asked(metric, dau, None, day=days[1], new=pruned)) == rows(asked(metric, dau, None, logs, days[1]))
