@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, stored
 from .components import components
 
 SHINGLE = 3  # words
@@ -28,6 +28,7 @@ SEED = 42
 DISTANCE = 2  # bits
 BLOCKS = 4  # two of four blocks agree: keys of 32 bits in six tables
 CROWDED = 64  # fingerprints of a key that still meet in pairs
+BROADCAST_IDS = 100_000  # repeated ids, numbers alone; with more of them Spark joins its own way
 _BITS = 64
 _CHUNK = 1 << 16  # shingles whose bits are summed at once
 
@@ -150,17 +151,23 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     is_first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = marked.join(groups, "bits").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(is_first).alias("stays"))
     ids = checkpointed(ids.filter("stays").drop("stays"))
+    repeated = ids.filter("n > 1")
+    many = repeated.limit(BROADCAST_IDS + 1).count()
 
-    def rows_of(chosen: DataFrame) -> DataFrame:
+    def rows_of(chosen: DataFrame, few: bool = False) -> DataFrame:
         chosen = chosen.select(F.col("doc_id").alias("_id"))
-        return docs.alias("d").join(chosen, F.col(f"d.`{key}`").cast("long").eqNullSafe(chosen["_id"]), "left_semi")
+        same = F.col(f"d.`{key}`").cast("long").eqNullSafe(chosen["_id"])
+        return docs.alias("d").join(F.broadcast(chosen) if few else chosen, same, "left_semi")
 
     # An id tells its row unless it is repeated; only such rows are looked at again.
-    repeated = rows_of(ids.filter("n > 1")).select(
+    once = rows_of(ids.filter("n = 1"))
+    if not many:
+        return once
+    again = stored(rows_of(repeated, many <= BROADCAST_IDS).select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).cast("long").alias("doc_id"),
-        _bits(F.col(text)).alias("bits"),
-    )
-    one = repeated.join(groups, "bits").filter(is_first).groupBy("component").agg(
+        F.col(text).alias("text"),
+    ))
+    one = again.withColumn("bits", _bits(F.col("text"))).join(groups, "bits").filter(is_first).groupBy("component").agg(
         F.min_by("doc", F.sha2(F.to_json("doc"), 256)).alias("doc")
     )
-    return rows_of(ids.filter("n = 1")).unionByName(one.select("doc.*"))
+    return once.unionByName(one.select("doc.*"))
