@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retailstream.llm import language, mixing, packing, simhash, toxicity
+from retailstream.llm import language, mixing, packing, similar, simhash, toxicity
 from retailstream.llm.common import stored, table
 from retailstream.llm.queries import VOCABULARY
 
@@ -29,8 +29,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies stays, that with the smallest id.
+
+    Near copies share at least 0.8 of their runs of five words.
+    """
+    return simhash.deduplicated(docs, shingle=similar.SHINGLE, similarity=similar.SIMILARITY)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import checkpointed, stored
 from .components import components
 
@@ -49,21 +50,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, bits): the fingerprint as a signed 64-bit number."""
 
     def run(batches):
         for batch in batches:
-            bits = np.array([fingerprint(t) for t in batch["t"]], dtype=np.uint64).view(np.int64)
+            bits = np.array([fingerprint(t, shingle) for t in batch["t"]], dtype=np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": batch["k"], "bits": bits})
 
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, bits long")
 
 
-def _bits(text: Column) -> Column:
+def _bits(text: Column, shingle: int = SHINGLE) -> Column:
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
+        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
     return run(text)
 
@@ -140,14 +141,22 @@ def as_hex(bits: str) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """The documents, one of each component: that with the smallest id.
 
-    Of rows that repeat this id in the component one stays, always the same. A
-    component without any id keeps one of its rows too.
+    Without `similarity` documents link by the distance of their fingerprints, as in
+    `near_duplicates`; with it, if the Jaccard similarity of their sets of shingles
+    is at least that (`similar.grouped`). Of rows that repeat this id in the
+    component one stays, always the same. A component without any id keeps one of
+    its rows too.
     """
-    marked = checkpointed(fingerprints(docs, key, text))
-    groups = checkpointed(_grouped(marked))
+    if similarity is None:
+        marked = checkpointed(fingerprints(docs, key, text, shingle))
+        groups = checkpointed(_grouped(marked))
+        classes = _bits(F.col("text"), shingle)
+    else:
+        marked, groups = similar.grouped(docs, key, text, shingle, similarity)
+        classes = similar.set_numbers(F.col("text"), shingle)
     is_first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     ids = marked.join(groups, "bits").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(is_first).alias("stays"))
     ids = checkpointed(ids.filter("stays").drop("stays"))
@@ -167,7 +176,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).cast("long").alias("doc_id"),
         F.col(text).alias("text"),
     ))
-    one = again.withColumn("bits", _bits(F.col("text"))).join(groups, "bits").filter(is_first).groupBy("component").agg(
+    one = again.withColumn("bits", classes).join(groups, "bits").filter(is_first).groupBy("component").agg(
         F.min_by("doc", F.sha2(F.to_json("doc"), 256)).alias("doc")
     )
     return once.unionByName(one.select("doc.*"))
