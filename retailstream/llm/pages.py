@@ -55,45 +55,72 @@ _NEVER_NAMED = frozenset(
     "masthead pagination pager widget toolbar skip copyright legal disclaimer".split()
 )
 _TEXT_NAMED = frozenset("article post entry content story main body title headline".split())
+# Before or after a name they say what the element has, is in or lacks, not what it is.
+_MODIFIERS = frozenset("with without no not non has have is hide hidden show".split())
+
+
+BY_NAME, CERTAIN = 1, 2
+
+
+def _is_named(value: str) -> bool:
+    """Whether a class or id names an element that is never text; "with-sidebar" does not."""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        for i, word in enumerate(words):
+            if word in _NEVER_NAMED and not _MODIFIERS & set(words[:i]):
+                return True
+    return False
 
 
 class _Block:
-    __slots__ = ("text", "linked", "never", "main")
+    __slots__ = ("text", "linked", "never", "main", "wrapped")
 
-    def __init__(self, text, linked, never, main):
-        self.text, self.linked, self.never, self.main = text, linked, never, main
+    def __init__(self, text, linked, never, main, wrapped=False):
+        self.text, self.linked, self.never, self.main, self.wrapped = text, linked, never, main, wrapped
 
 
-def _is_never(tag: str, attributes: str, inside_main: bool) -> bool:
+def _is_never(tag: str, attributes: str, inside_main: bool) -> int:
+    """0 if the element can be text, BY_NAME if just its class or id says it can't, else CERTAIN."""
     if tag in _NEVER or tag == "header" and not inside_main:
-        return True
+        return CERTAIN
     if tag in ("body", "html") or not attributes:
-        return False
+        return 0
+    never = 0
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             words = set(re.split(r"[^a-z]+", value))
-            if words & _NEVER_NAMED and tag not in _MAIN and not (words <= {"header", *_TEXT_NAMED, ""} and words & _TEXT_NAMED):
-                return True
+            if _is_named(value) and tag not in _MAIN and not (words <= {"header", *_TEXT_NAMED, ""} and words & _TEXT_NAMED):
+                never = BY_NAME
         elif name == "role" and value in _ROLES or name == "aria-hidden" and value == "true":
-            return True
+            return CERTAIN
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return CERTAIN
         elif name == "hidden" and value != "until-found":
-            return True
-    return False
+            return CERTAIN
+    return never
+
+
+def _named_around(stack: list[tuple[str, int, bool]]) -> bool:
+    """Whether nothing but names around the article or main say that it is never text."""
+    inside = False
+    for _, never, main in reversed(stack):
+        if never == CERTAIN or never == BY_NAME and not inside:
+            return False
+        inside |= main
+    return inside
 
 
 def blocks(page: str) -> Iterator[_Block]:
     """Blocks of text in page order, with characters inside links and what they stand in."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, never text, article or main
+    stack: list[tuple[str, int, bool]] = []  # tag, never text, article or main
     parts, linked, in_link = [], 0, False
     at, size = 0, len(page)
 
     def ended():
         nonlocal parts, linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
-        found = _Block(text, linked, any(x[1] for x in stack), any(x[2] for x in stack)) if text else None
+        found = _Block(text, linked, any(x[1] for x in stack), any(x[2] for x in stack), _named_around(stack)) if text else None
         parts, linked = [], 0
         return found
 
@@ -191,6 +218,10 @@ def second_pass(found: list[_Block], labels: list[int]) -> list[int]:
 
 def main_text(page: str | None, stop_words: frozenset) -> str:
     found = list(blocks(page or ""))
+    # Where every article stands in a wrapper with such a name, the name is one of the layout.
+    if not any(b.main and not b.never for b in found):
+        for b in found:
+            b.never = b.never and not b.wrapped
     labels = second_pass(found, [first_pass(b, stop_words) for b in found])
     return "\n".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)
 

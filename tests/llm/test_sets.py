@@ -484,6 +484,19 @@ def test_kinds_of_blocks():
         pages.main_text(broken, stop)
 
 
+@pytest.mark.parametrize("wrapper", ["class='content-with-sidebar'", "class='site no-sidebar'", "class='post has-comments'", "class='sidebar'", "id=share-page"])
+def test_names_of_wrappers_do_not_drop_the_article(wrapper):
+    stop = frozenset("the of and to a in is that it".split())
+    text = "It is the way of the world that a word in the text is followed by a stop word and that is it."
+    inner = f"<article><p>{text}</p><div class=share><p>{text}</p></div></article>"
+    assert pages.main_text(f"<body><div {wrapper}>{inner}</div></body>", stop) == text
+    # Without an article a modifier still is no name, and a name still is one.
+    assert pages.main_text(f"<body><div {wrapper}><p>{text}</p></div></body>", stop) == (text if re.search("with|no-|has", wrapper) else "")
+    assert pages.main_text(f"<body><aside {wrapper}>{inner}</aside></body>", stop) == ""
+    # Comments and teasers can be articles of their own.
+    assert pages.main_text(f"<body><article><p>First. {text}</p></article><div class=comments>{inner}</div></body>", stop) == f"First. {text}"
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (3, "u", "<article><p>" + "word and the " * 50_000), (3, "u", "<article>a</article>")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("t")).withColumn("h", F.lit("t"))
