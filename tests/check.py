@@ -27,7 +27,7 @@ def canonical(frame: pd.DataFrame) -> list:
     frame = frame[sorted(frame.columns)]
     rows = []
     for row in frame.itertuples(index=False):
-        rows.append(tuple("∅" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)
+        rows.append(tuple("∅" if v is None or v is pd.NA or v != v else repr(float(v)) if isinstance(v, float) else str(v)
                           for v in row))
     return sorted(rows)
 
@@ -37,6 +37,8 @@ def differences(spark_frame, con, sql) -> str | None:
     if sorted(mine.columns) != sorted(theirs.columns):
         return f"columns {sorted(mine.columns)} vs {sorted(theirs.columns)}"
     for column in mine.columns:
+        if mine[column].isna().any() and mine[column].dtype.kind == "f" and theirs[column].dtype.kind in "iu":
+            mine[column] = mine[column].astype("Int64")  # pandas has no NULL among whole numbers otherwise
         a, b = mine[column].dtype.kind, theirs[column].dtype.kind
         if len(mine) and a != b and not {a, b} <= {"O", "U"}:
             return f"type of {column}: {mine[column].dtype} vs {theirs[column].dtype}"
