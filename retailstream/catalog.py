@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.clock import previous_day
 from .functions.values import age_band
-from .operators import coupons, dedup, joins
+from .operators import changes, coupons, dedup, joins, postings
 from .plans import activity, realtime, revenue, sales
 from .session import TIME_ZONE, prepared
 from .sources import cdc, decode, fixtures, logs
@@ -133,6 +133,28 @@ def new_devices_per_day(spark, folder):
     return first.groupBy("logDate", "logHour").agg(F.count("*").alias("devices"))
 
 
+def hours_new_device_late(spark, folder):
+    """New devices of two late days from the table by day that the stream job keeps: what
+    each half of the log adds to it, the second half in the light of the first."""
+    history = fixtures.startup_log(spark, folder)
+    until = F.col("logDate") < LOG_DAY
+    nothing = history.select("mid", "ts").limit(0)
+    before = dedup.first_ever(history.filter(until), nothing)
+    table = before.unionByName(dedup.first_ever(history.filter(~until), before.select("mid", "ts")))
+    return realtime.every_hour(realtime.hours_dau(activity.first_seen(table), LOG_DAY))
+
+
+def new_devices_table(spark, folder):
+    """The same table with the halves of the log the wrong way round: devices that turn
+    out to be older leave the day that they had."""
+    history = fixtures.startup_log(spark, folder)
+    late = F.col("logDate") >= LOG_DAY
+    nothing = history.select("mid", "ts").limit(0)
+    first = dedup.first_ever(history.filter(late), nothing)
+    table = first.unionByName(dedup.first_ever(history.filter(~late), first.select("mid", "ts")))
+    return activity.first_seen(table).groupBy("logDate", "logHour").agg(F.count("*").alias("devices"))
+
+
 def report_json(spark, folder):
     dau = _dau(spark, folder, LOG_DAY_BEFORE, LOG_DAY)
     return realtime.hours_json(realtime.realtime_hours("dau", dau, dau, day=LOG_DAY))
@@ -171,6 +193,19 @@ def hours_gmv_unpadded(spark, folder):
     return _cents(realtime.every_hour(realtime.hours_amount(orders, ORDER_DAY)), "yesterday", "today")
 
 
+def gmv_hours_by_change(spark, folder):
+    """Order amounts per day and hour, kept up to date by what each change adds and takes back."""
+    signed = changes.signed_versions(fixtures.order_moves(spark, folder), "id", ["seq"])
+    return _cents(changes.totals(changes.hourly(signed)), "total_amount")
+
+
+def hours_gmv_by_change(spark, folder):
+    """The hour by hour comparison, from those sums in place of orders."""
+    signed = changes.signed_versions(fixtures.order_moves(spark, folder), "id", ["seq"])
+    hours = changes.totals(changes.hourly(signed))
+    return _cents(realtime.every_hour(realtime.hours_amount(hours, ORDER_DAY)), "yesterday", "today")
+
+
 def hours_previous_day(spark, folder):
     """Order amount of the day before, the date worked out from the argument."""
     orders = fixtures.order_info(spark, folder)
@@ -241,6 +276,13 @@ def sale_keyword(spark, folder):
     return _hits(spark, folder, "Red GEAR")
 
 
+def sale_keyword_postings(spark, folder):
+    """The same search by the inverted index of the product names: ids of its hits on all days."""
+    index = postings.postings(_sales(spark, folder), "order_detail_id", "sku_name", ("dt",))
+    wanted = postings.wanted_words(index, "Red GEAR")
+    return postings.having_all(index, wanted, "order_detail_id")
+
+
 def sale_day(spark, folder):
     return _hits(spark, folder, "")
 
@@ -372,11 +414,12 @@ _QUERIES: list[Query] = [
     decode_startup, decode_event, decode_order, decode_detail, decode_user,
     route_logs, raw_archive, route_cdc, flatten_cdc,
     dau_first_activity, dau_new_vs_seen, dau_total, dau_by_hour,
-    hours_dau, hours_new_device, new_devices_per_day, report_json,
+    hours_dau, hours_new_device, hours_new_device_late, new_devices_per_day, new_devices_table, report_json,
     gmv_facts, gmv_total, gmv_by_hour, hours_gmv, hours_gmv_unpadded, hours_previous_day, realtime_total,
+    gmv_hours_by_change, hours_gmv_by_change,
     gmv_by_province, sales_by_sku,
     order_detail_audit, order_detail_interval,
-    sale_detail, sale_keyword, sale_day, sale_page, sale_page_after, sale_total,
+    sale_detail, sale_keyword, sale_keyword_postings, sale_day, sale_page, sale_page_after, sale_total,
     sale_by_age, sale_by_gender, sale_by_band,
     age_share, gender_share, sale_stats, share_counts, share_unknown,
     sale_report_json, realtime_total_json,

@@ -176,6 +176,14 @@ _DETAIL_IMAGE = {
 }
 _USER_IMAGE = {c: c for c in ("id", "login_name", "user_level", "birthday", "gender")}
 
+# Where orders are after all their moves.
+_MOVED = f"""{_ORDERS},
+moved AS (
+  SELECT id, CASE WHEN id::BIGINT % 5 = 0 AND id::BIGINT % 15 <> 0 THEN strftime(create_date::DATE + 1, '%Y-%m-%d') ELSE create_date END AS create_date,
+         CASE WHEN id::BIGINT % 15 = 0 THEN '23' ELSE create_hour END AS create_hour,
+         CASE WHEN id::BIGINT % 5 = 0 AND id::BIGINT % 15 <> 0 THEN total_amount * 2 ELSE total_amount END AS total_amount
+  FROM ord)"""
+
 _REALTIME_TOTAL = f"""
     WITH {_STARTUP}, {_ORDERS}
     SELECT 'dau' AS id, '新增日活' AS name, CAST(count(*) AS DOUBLE) AS value FROM dau WHERE day = '{NEW_DAY}'
@@ -234,6 +242,10 @@ ORACLE_SQL: dict[str, str] = {
     "new_devices_per_day": f"""
         WITH {_STARTUP} SELECT {_LOG_TIME.removesuffix(', ts')}, count(*) AS devices
         FROM newcomers GROUP BY day, hour""",
+    "hours_new_device_late": _hours(_STARTUP, "newcomers", "count(*)", "0").format(before=LOG_DAY_BEFORE, day=LOG_DAY),
+    "new_devices_table": f"""
+        WITH {_STARTUP} SELECT {_LOG_TIME.removesuffix(', ts')}, count(*) AS devices
+        FROM newcomers GROUP BY day, hour""",
     "report_json": f"""
         WITH {_STARTUP},
         f AS (SELECT day, hour, count(*) AS v FROM dau GROUP BY day, hour),
@@ -257,6 +269,13 @@ ORACLE_SQL: dict[str, str] = {
         _ORDERS + ", amounts AS (SELECT create_date AS day, create_hour AS hour, total_amount FROM ord)",
         "amounts", "round(sum(total_amount), 2)", "0.0::DOUBLE",
     ).format(before=ORDER_DAY_BEFORE, day=ORDER_DAY),
+    "gmv_hours_by_change": f"""
+        WITH {_MOVED} SELECT create_date, create_hour, count(*) AS orders, round(sum(total_amount), 2) AS total_amount
+        FROM moved GROUP BY create_date, create_hour""",
+    "hours_gmv_by_change": _hours(
+        _MOVED + ", amounts AS (SELECT create_date AS day, create_hour AS hour, total_amount FROM moved)",
+        "amounts", "round(sum(total_amount), 2)", "0.0::DOUBLE",
+    ).format(before=ORDER_DAY_BEFORE, day=ORDER_DAY),
     "hours_previous_day": f"""
         WITH {_ORDERS} SELECT create_date, create_hour, round(sum(total_amount), 2) AS amount
         FROM ord WHERE create_date = '{ORDER_DAY_BEFORE}' GROUP BY create_date, create_hour""",
@@ -279,6 +298,9 @@ ORACLE_SQL: dict[str, str] = {
     "sale_keyword": f"""
         WITH {_SALES} SELECT * FROM sale
         WHERE dt = '{ORDER_DAY}' AND {_WORD.format('red')} AND {_WORD.format('gear')}""",
+    "sale_keyword_postings": f"""
+        WITH {_DETAILS} SELECT id AS order_detail_id FROM det JOIN orders ON CAST(o_orderkey AS VARCHAR) = order_id
+        WHERE {_WORD.format('red')} AND {_WORD.format('gear')}""",
     "sale_day": f"WITH {_SALES} SELECT * FROM sale WHERE dt = '{ORDER_DAY}'",
     "sale_page": f"WITH {_HITS} SELECT * FROM hits ORDER BY order_detail_id LIMIT 5 OFFSET 5",
     "sale_page_after": f"""

@@ -7,6 +7,7 @@ details and users is all strings; numbers are cast after decoding.
 from pyspark.sql.types import (
     ArrayType,
     BooleanType,
+    DecimalType,
     DoubleType,
     IntegerType,
     LongType,
@@ -54,6 +55,16 @@ ORDER_INFO = StructType(
     ]
     + _strings("create_date", "create_hour")
 )
+# `gone` takes an order out of a day it had before.
+ORDER_VERSION = StructType(ORDER_INFO.fields + [StructField("gone", BooleanType())])
+# What later versions of an order have to take back.
+ORDER_PLACE = StructType(
+    _strings("id", "create_date", "create_hour") + [StructField("total_amount", DoubleType())]
+)
+ORDER_HOUR = StructType(
+    _strings("create_date", "create_hour")
+    + [StructField("orders", LongType()), StructField("total_amount", DecimalType(38, 6))]
+)
 SALE_DETAIL = StructType(
     _strings("order_detail_id", "order_id", "order_status", "create_time", "user_id", "sku_id", "user_gender")
     + [StructField("user_age", IntegerType())]
@@ -84,6 +95,8 @@ FIRST_SEEN = StructType(
     _strings("mid") + [StructField("ts", LongType()), StructField("gone", BooleanType())] + _strings("logDate")
 )
 
+FIRST_TIME = StructType(_strings("mid") + [StructField("ts", LongType())])
+
 CDC_ENTRY = StructType(
     _strings("entry_type", "table_name", "event_type")
     + [

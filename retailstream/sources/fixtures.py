@@ -136,6 +136,19 @@ def order_changes(spark: SparkSession, folder: str) -> DataFrame:
     return first.unionByName(again.withColumns({"seq": F.lit(2), "order_status": F.lit("R")}))
 
 
+def order_moves(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of which every fifth comes again (``seq`` 2) a day later, for twice as
+    much, and every fifteenth once more (``seq`` 3) in the last hour of its first day."""
+    first = order_info(spark, folder).withColumn("seq", F.lit(1))
+    key = F.col("id").cast("bigint")
+    next_day = F.date_add(F.col("create_date").cast("date"), 1).cast("string")
+    moved = first.filter(key % 5 == 0).withColumns(
+        {"seq": F.lit(2), "create_date": next_day, "total_amount": F.col("total_amount") * 2}
+    )
+    back = first.filter(key % 15 == 0).withColumns({"seq": F.lit(3), "create_hour": F.lit("23")})
+    return first.unionByName(moved).unionByName(back)
+
+
 def _detail_columns() -> dict[str, Column]:
     ship = F.replace(F.col("l_shipdate").cast("date").cast("string"), F.lit("-"), F.lit(""))
     return {

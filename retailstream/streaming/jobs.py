@@ -14,14 +14,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..functions.clock import day_of, hour_of
-from ..operators import coupons, joins
-from ..operators.dedup import latest_per_key
+from ..operators import changes, coupons, joins
+from ..operators.dedup import first_ever, latest_per_key
 from ..plans import activity
 from ..schemas import SALE_DETAIL
 from ..session import shared_folder
 from ..sources import cdc, decode, logs
 from ..sources.topics import ARRIVAL
-from . import sinks
+from . import keyed, search, sinks
 
 EVERY = "5 seconds"
 USER_EVERY = "3 seconds"
@@ -100,6 +100,7 @@ def daily_active_devices(
     every: str | None = EVERY,
     remember: str = "table",
     late: str = "2 days",
+    salts: int = 16,
 ):
     """First activity per device and day into the DAU table.
 
@@ -109,7 +110,10 @@ def daily_active_devices(
     a day comes that begins ``late`` after its end, for days with so many of them
     that reading the table in every batch takes too long. Which of several records
     of one batch stays is then up to Spark; the records of a forgotten day are
-    dropped (``dropped_late`` counts them), never repeated.
+    dropped (``dropped_late`` counts them), never repeated. The state forgets repeats in
+    two steps: by device, day and one of ``salts`` parts by the hash of the record,
+    then by device and day, where a device has a row per part at most, however busy
+    it is.
     """
     if remember not in ("table", "state"):
         raise ValueError("remember devices in the 'table' or in the 'state'")
@@ -121,21 +125,40 @@ def daily_active_devices(
         return start(decoded, _sorting_out(write, path), "daily_active_devices", checkpoint, every)
     day_end = F.date_add(F.to_date("logDate"), 1).cast("timestamp")
     timed = decode.accepted(decoded).withColumn("day_end", day_end).withWatermark("day_end", late)
-    fresh = timed.dropDuplicates(["mid", "logDate", "day_end"]).drop("day_end")
+    salted = timed.withColumn("_salt", F.pmod(F.xxhash64("ts", "uid"), F.lit(salts)))
+    thinned = salted.dropDuplicates(["mid", "logDate", "day_end", "_salt"]).drop("_salt")
+    fresh = thinned.dropDuplicates(["mid", "logDate", "day_end"]).drop("day_end")
     write = lambda batch, turn: sinks.write_batch(batch, turn, path, ("logDate",))
     _keep_rejected(decode.startup_logs(raw), path, "daily_active_devices", checkpoint, every)
     return start(fresh, write, "daily_active_devices", checkpoint, every)
 
 
+def _first_seen(path: str) -> keyed.Keyed:
+    return keyed.Keyed(f"{path.rstrip('/')}_first", schemas.FIRST_TIME, ("mid",))
+
+
 def new_devices(raw: DataFrame, path: str, checkpoint: str | None = None, every: str | None = NEW_EVERY):
     """The first record ever of each device into a table by day.
 
-    A batch reads two columns of that table, one row per device, and the reports
-    just the days they show (``read_new_devices``), so neither goes back to the log.
+    When a device was first seen is looked up by buckets of its id, and the reports
+    read just the days they show (``read_new_devices``), so neither goes back to the log.
     """
     sinks.create_table(raw.sparkSession, path, schemas.FIRST_SEEN, ("logDate",))
     decoded = decode.counted(decode.startup_logs(raw), "startup_logs")
-    write = lambda batch, turn: sinks.add_first_seen(batch, turn, path)
+
+    def write(batch, turn):
+        first = batch.groupBy("mid").agg(F.min("ts").alias("ts")).persist()
+        try:
+            known = keyed.lookup(first, _first_seen(path), turn)
+            rows = first_ever(first, known).persist()
+            try:
+                sinks.write_batch(rows, turn, path, ("logDate",))
+                keyed.upsert(rows.filter(~F.col("gone")), turn, _first_seen(path))
+            finally:
+                rows.unpersist()
+        finally:
+            first.unpersist()
+
     return start(decoded, _sorting_out(write, path), "new_devices", checkpoint, every)
 
 
@@ -145,26 +168,64 @@ def read_new_devices(spark: SparkSession, path: str, days: list[str] | None = No
     return activity.first_seen(kept)
 
 
+def _order_places(path: str) -> keyed.Keyed:
+    return keyed.Keyed(f"{path.rstrip('/')}_places", schemas.ORDER_PLACE, ("id",))
+
+
+def _order_hours(path: str) -> str:
+    return f"{path.rstrip('/')}_hours"
+
+
 def order_facts(raw: DataFrame, path: str, checkpoint: str | None = None, every: str | None = EVERY):
-    """Orders with masked phones into the order table, the last version per id."""
-    sinks.create_table(raw.sparkSession, path, schemas.ORDER_INFO, ("create_date",))
+    """Orders with masked phones into the order table, the last version per id.
+
+    Beside it, ``<path>_places`` keeps the day, hour and amount of each order, looked up
+    by buckets of the id. From there a batch knows what its orders were before: an order
+    that moves to another day leaves a row in the old one that takes it out, and
+    ``<path>_hours`` gets what the batch adds to each hour, or takes from it. So
+    readers of either open the days they ask for and no others.
+    """
+    spark, places, hours = raw.sparkSession, _order_places(path), _order_hours(path)
+    sinks.create_table(spark, path, schemas.ORDER_VERSION, ("create_date",))
+    sinks.create_table(spark, hours, schemas.ORDER_HOUR, ("create_date",))
     arrival = _arrival(raw)
     decoded = decode.counted(decode.order_infos(raw, arrival), "order_infos")
+    columns = schemas.ORDER_VERSION.fieldNames()
 
     def write(batch, turn):
-        sinks.upsert_batch(batch, turn, path, ["id"], ("create_date",), arrival)
+        latest = latest_per_key(batch, ["id"], list(arrival)).drop(*arrival).persist()
+        try:
+            had = keyed.lookup(latest, places, turn).persist()
+            try:
+                days = latest.select("id", F.col("create_date").alias("_day"))
+                left = had.join(days, "id").filter(~F.col("create_date").eqNullSafe(F.col("_day"))).select("id", "create_date")
+                stays = latest.withColumn("gone", F.lit(False))
+                rows = stays.unionByName(left.withColumn("gone", F.lit(True)), allowMissingColumns=True).select(*columns)
+                sinks.write_batch(rows, turn, path, ("create_date",))
+                sums = changes.hourly(changes.signed(latest, had.select(*schemas.ORDER_PLACE.fieldNames())))
+                sinks.write_batch(sums, turn, hours, ("create_date",))
+                # Last, though the look-up leaves this batch out anyway: what is above can be done again.
+                keyed.upsert(latest, turn, places)
+            finally:
+                had.unpersist()
+        finally:
+            latest.unpersist()
 
     return start(decoded, _sorting_out(write, path), "order_facts", checkpoint, every)
 
 
-def read_orders(spark: SparkSession, path: str, days: list[str] | None = None, fixed_days: bool = False) -> DataFrame:
-    """The last version of each order. An order that comes again with another day
-    counts there alone, so versions of all days are compared; where orders never
-    change their day, ``fixed_days`` reads the ``days`` asked for and no others."""
-    if fixed_days:
-        return sinks.read_latest(spark, path, schemas.ORDER_INFO, ["id"], ("create_date",), days=days)
-    orders = sinks.read_latest(spark, path, schemas.ORDER_INFO, ["id"])
-    return orders if days is None else orders.filter(F.col("create_date").isin(days))
+def read_orders(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame:
+    """The last version of each order, from the partitions of the ``days`` alone: a day
+    tells on its own which orders have left it."""
+    found = sinks.read_latest(spark, path, schemas.ORDER_VERSION, ["id"], ("create_date",), days=days)
+    return found.filter(~F.col("gone")).drop("gone")
+
+
+def read_order_hours(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame:
+    """``(create_date, create_hour, orders, total_amount)`` of the orders of ``path``: a few rows
+    per batch and day, for reports of order amounts, which take them in place of orders."""
+    only = None if days is None else ("create_date", days)
+    return changes.totals(sinks.read_versions(spark, _order_hours(path), schemas.ORDER_HOUR, only))
 
 
 def _hour(ms) -> Column:
@@ -255,20 +316,23 @@ def read_alerts(spark: SparkSession, path: str, days: list[str] | None = None) -
     return sinks.read_latest(spark, path, schemas.COUPON_ALERT, ["alert_id"], ("dt",), ("ts",), days)
 
 
+def _users(path: str) -> keyed.Keyed:
+    return keyed.Keyed(path, schemas.USER_WIRE, ("id",))
+
+
 def user_dimension(raw: DataFrame, path: str, checkpoint: str | None = None, every: str | None = USER_EVERY):
-    """New and changed users into the user table, the last version per id."""
-    sinks.create_table(raw.sparkSession, path, schemas.USER_WIRE)
+    """New and changed users into the user table, the last version per id, by buckets of the id."""
     arrival = _arrival(raw)
     decoded = decode.counted(decode.user_infos(raw, arrival), "user_infos")
 
     def write(batch, turn):
-        sinks.upsert_batch(batch, turn, path, ["id"], newest=arrival)
+        keyed.upsert(batch, turn, _users(path), arrival)
 
     return start(decoded, _sorting_out(write, path), "user_dimension", checkpoint, every)
 
 
 def read_users(spark: SparkSession, path: str) -> DataFrame:
-    return sinks.read_latest(spark, path, schemas.USER_WIRE, ["id"])
+    return keyed.read(spark, _users(path))
 
 
 def sale_details(
@@ -284,13 +348,15 @@ def sale_details(
 ):
     """Orders joined to their details and buyers into the sale detail table.
 
-    Either side waits ``wait_seconds`` of arrival time for the other. Records more
+    Buyers come from the table of ``user_dimension``, of which a batch opens the buckets
+    of its buyers. Either side waits ``wait_seconds`` of arrival time for the other. Records more
     than ``late`` behind the newest of their topic are dropped; ``dropped_late``
-    counts them.
+    counts them. The words of the product names go to postings beside the table
+    (``search``).
     """
     spark = raw_orders.sparkSession
     sinks.create_table(spark, path, SALE_DETAIL, ("dt",))
-    sinks.create_table(spark, users_path, schemas.USER_WIRE)
+    search.create(spark, path)
     orders = decode.order_infos(raw_orders, ("received_at",))
     details = decode.order_details(raw_details, ("received_at",))
     bad = decode.rejected(orders).unionByName(decode.rejected(details)).withColumnRenamed("value", decode.REJECTED)
@@ -316,15 +382,12 @@ def sale_details(
     )
 
     def write(batch, turn):
-        session = batch.sparkSession
         latest = latest_per_key(batch, ["order_detail_id"], ["create_time"]).persist()
         try:
-            # Only versions of users that occur in the batch go into the ranking.
-            buyers = latest.select(F.col("user_id").alias("id")).distinct()
-            versions = sinks.read_versions(session, users_path, schemas.USER_WIRE)
-            users = latest_per_key(versions.join(buyers, "id", "left_semi"), ["id"], [*sinks.VERSION])
+            users = keyed.lookup(latest.select(F.col("user_id").alias("id")), _users(users_path))
             wide = joins.with_user(latest, users, F.current_timestamp(), "order_detail_id")
             sinks.write_batch(wide.select(*SALE_DETAIL.fieldNames()), turn, path, ("dt",))
+            search.add_postings(latest, turn, path)
         finally:
             latest.unpersist()
 

@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..operators.dedup import first_activity, first_ever, latest_per_key, new_activity
+from ..operators.dedup import first_activity, latest_per_key, new_activity
 from ..operators.skew import splits_skew
-from ..schemas import FIRST_SEEN
 
 RUN, BATCH = "run_id", "batch_id"
 VERSION = (RUN, BATCH)
@@ -59,13 +58,14 @@ def table_columns(frame: DataFrame) -> DataFrame:
     return frame.toDF(*[c.upper() for c in frame.columns])
 
 
-def _layout(schema: StructType) -> StructType:
+def layout(schema: StructType) -> StructType:
+    """The columns of a table as they lie in its files and folders."""
     return StructType(list(schema.fields) + [StructField(RUN, StringType()), StructField(BATCH, LongType())])
 
 
 def create_table(spark: SparkSession, path: str, schema: StructType, partitions: tuple[str, ...] = ()) -> None:
     """Make sure the folder exists, so that it can be read before the first batch."""
-    empty = spark.createDataFrame([], _layout(schema))
+    empty = spark.createDataFrame([], layout(schema))
     empty.write.mode("append").partitionBy(*partitions, *VERSION).parquet(path)
 
 
@@ -78,17 +78,17 @@ def read_versions(
     wanted. Folders of other days are then not even listed, which counts once a
     table has many batches.
     """
-    layout = _layout(schema)
+    full = layout(schema)
     if only is None:
-        return spark.read.schema(layout).parquet(path)
+        return spark.read.schema(full).parquet(path)
     column, values = only
     folders = f"{path.rstrip('/')}/{column}={{{','.join(values)}}}"
     try:
-        return spark.read.schema(layout).option("basePath", path).parquet(folders)
+        return spark.read.schema(full).option("basePath", path).parquet(folders)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], layout)  # nothing written for these days yet
+        return spark.createDataFrame([], full)  # nothing written for these days yet
 
 
 def read_latest(
@@ -166,13 +166,6 @@ def add_new_activity(batch: DataFrame, turn: Turn | int, path: str, schema: Stru
         first.unpersist()
 
 
-def add_first_seen(batch: DataFrame, turn: Turn | int, path: str) -> None:
-    """Add the devices of a batch that were never seen before, or not as early."""
-    turn = _turn(turn)
-    known = read_versions(batch.sparkSession, path, FIRST_SEEN).filter(before(turn))
-    write_batch(first_ever(batch, known.select("mid", "ts")), turn, path, ("logDate",))
-
-
 def compact(
     spark: SparkSession,
     source: str,

@@ -1,0 +1,109 @@
+"""Postings and sorted days answer as the details themselves do."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from retailstream.catalog import QUERIES
+from retailstream.operators import postings
+from retailstream.plans import sales
+from retailstream.schemas import SALE_DETAIL
+from retailstream.streaming import jobs, search, sinks
+
+from .conftest import FOLDER, rows
+from .test_changes import folders_read
+from .test_streaming import Feed, finish, order
+
+DAY = "2000-02-02"
+KEYWORDS = ["gear", "Red GEAR", "gear red gear", "nosuchword", "red nosuchword", "...", "steel"]
+
+
+@pytest.fixture(scope="module")
+def day(spark):
+    """Details of one day under many ids: the sample's whole table, filed under it."""
+    return QUERIES["sale_detail"](spark, FOLDER).withColumn("dt", F.lit(DAY)).persist()
+
+
+@pytest.fixture(scope="module")
+def tables(spark, day, tmp_path_factory):
+    """(details with postings, sorted day), the details written in two batches."""
+    path, ordered = (str(tmp_path_factory.mktemp("search") / name) for name in ("sales", "sorted"))
+    sinks.create_table(spark, path, SALE_DETAIL, ("dt",))
+    search.create(spark, path)
+    half = F.pmod(F.xxhash64("order_detail_id"), F.lit(2)) == 0
+    # The first batch has names that the second takes back, and is written twice.
+    wrong = day.filter(half).withColumn("sku_name", F.concat(F.lit("red nosuchword "), "sku_name"))
+    for turn, part in ((sinks.Turn("1", 0), wrong), (sinks.Turn("1", 0), wrong), (sinks.Turn("1", 1), day)):
+        sinks.write_batch(part, turn, path, ("dt",))
+        search.add_postings(part, turn, path)
+    search.sort_day(wrong, ordered, DAY, part_rows=500)
+    search.sort_day(day, ordered, DAY, part_rows=500)
+    return path, ordered
+
+
+@pytest.mark.parametrize("keyword", KEYWORDS)
+def test_postings_find_what_reading_names_finds(spark, day, tables, keyword):
+    expected = rows(sales.search(day, DAY, keyword), "order_detail_id")
+    assert rows(search.hit_ids(spark, tables[0], DAY, keyword)) == expected
+    found = search.search(spark, *tables, DAY, keyword, 2, 3)
+    assert found["total"] == len(expected)
+    assert rows(found["detail"]) == rows(sales.page(sales.search(day, DAY, keyword), 2, 3))
+
+
+def test_a_search_opens_the_buckets_of_its_words(spark, tables):
+    opened = {name.split("/bucket=")[1].split("/")[0] for name in folders_read(search._opened(spark, tables[0], DAY, ["gear"]))}
+    assert len(opened) == 1
+    assert search._opened(spark, tables[0], "1999-01-01", ["gear"]).count() == 0
+
+
+def test_all_pages_of_a_sorted_day(spark, day, tables):
+    """Every page is that of sorting all details, and opens two parts at most."""
+    ids = [r[0] for r in day.select("order_detail_id").orderBy("order_detail_id").collect()]
+    entries = search.directory(spark, tables[1], DAY)
+    assert sum(e.n for e in entries) == len(ids) and len(entries) == -(-len(ids) // 500)
+    assert all(a.last < b.first for a, b in zip(entries, entries[1:]))
+    size = 211
+    pages = range(1, -(-len(ids) // size) + 2)
+    for number in pages:
+        page = search.sorted_page(spark, tables[1], DAY, number, size)
+        assert [r.order_detail_id for r in page.collect()] == ids[(number - 1) * size : number * size]
+        assert len(folders_read(page)) <= 2
+    assert rows(search.sorted_page(spark, tables[1], DAY, 3, 7)) == rows(sales.page(day, 3, 7))
+    assert search.search(spark, *tables, DAY, "", 1, 5)["total"] == len(ids)
+    assert rows(search.sorted_page(spark, tables[1], "1999-01-01", 1, 5)) == []
+
+
+def test_ids_are_looked_up_in_their_parts(spark, day, tables):
+    ids = sorted(r[0] for r in day.select("order_detail_id").limit(3).collect())
+    found = search.fetch(spark, tables[1], DAY, [*ids, "~none"])
+    assert [r.order_detail_id for r in found.orderBy("order_detail_id").collect()] == ids
+    assert len(folders_read(found)) <= 3
+
+
+def test_postings_of_random_changes(spark):
+    """Signs of old and new words add up to the words that a row has last."""
+    draw, last = random.Random(8), {}
+    index = spark.createDataFrame([], "id string, word string, sign bigint")
+    for _ in range(5):
+        batch = {str(draw.randrange(12)): " ".join(draw.choice("abcd") for _ in range(draw.randrange(4))) for _ in range(6)}
+        frame = lambda pairs: spark.createDataFrame(list(pairs), "id string, t string")
+        old = frame((k, last[k]) for k in batch if k in last)
+        of = lambda f: postings.postings(f, "id", "t")
+        index = index.unionByName(postings.changed(of(frame(batch.items())), of(old)))
+        last |= batch
+    index = index.persist()
+    for wanted in (["a"], ["a", "b"], ["a", "b", "c"], []):
+        expected = [(k,) for k, text in last.items() if wanted and set(wanted) <= set(text.split())]
+        assert rows(postings.having_all(index, wanted, "id")) == sorted(expected)
+
+
+def test_the_sale_detail_job_keeps_postings(spark, tmp_path):
+    orders, details = Feed(spark, tmp_path / "o"), Feed(spark, tmp_path / "d")
+    line = {"id": "1", "order_id": "7", "sku_name": "Red Gear", "sku_id": "s", "order_price": "2.5", "img_url": "", "sku_num": "1"}
+    orders.add((order("7"), 0))
+    details.add((line, 1), (line | {"id": "2", "sku_name": "Blue gear"}, 1))
+    path = str(tmp_path / "sales")
+    finish(jobs.sale_details(orders.stream(), details.stream(), str(tmp_path / "users"), path, str(tmp_path / "mark"), every=None))
+    assert rows(search.hit_ids(spark, path, "2024-01-15", "gear")) == [("1",), ("2",)]
+    assert rows(search.hit_ids(spark, path, "2024-01-15", "gear red")) == [("1",)]

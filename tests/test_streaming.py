@@ -158,7 +158,7 @@ def test_order_facts_last_version_wins(spark, feed, tmp_path):
         ("2", "Q", 10.5, "2024-01-15", "10", "1381*******"),
     ]
     assert rows(jobs.read_orders(spark, table, ["2024-01-15", "2024-01-16"])) == rows(got)
-    assert rows(jobs.read_orders(spark, table, ["2024-01-15"], fixed_days=True)) == rows(got)
+    assert rows(jobs.read_orders(spark, table, ["2024-01-15"])) == rows(got)
     assert len(rows(spark.read.text(table + "_rejected"))) == 2
     assert jobs.read_orders(spark, table, ["2024-01-16"]).count() == 0
     sinks.compact(spark, table, str(tmp_path / "compacted"), schemas.ORDER_INFO, ["id"], ("create_date",))
