@@ -3,17 +3,19 @@
 Documents with the same set of shingles are one class from the start. Of every set
 a SimHash of 1024 bits is taken: two sets of similarity s differ in a share
 acos(2s / (1 + s)) / pi of them, about 0.15 at 0.8. Some of the bits are kept for a
-test of distance; keys are drawn from the others. The keys get longer with the
+first test of distance; keys are drawn from the others. The keys get longer with the
 number of classes, so that a key holds few unrelated ones, and as many are taken as
 find all but LOSS of the pairs at the bound; closer pairs are missed far more rarely.
 
-What is retrieved is verified on the sets themselves. In crowded keys every class
-first meets one other, so that families of near copies grow together in linear
-space. Then only classes that are not together yet meet, in each key all of them;
-crowded keys are dealt out as tiles.
+First every class meets one other in each of its keys made longer, where those that
+meet are related. So families of near copies grow together in linear space. Then
+classes that are not together yet meet in the keys. What meets is measured by all
+bits; pairs far closer than the bound are links, and those around it are verified on
+the sets themselves, few pairs of a class at a time.
 """
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -28,11 +30,12 @@ SHINGLE = 5  # words
 SIMILARITY = 0.8
 LOSS = 0.002  # of pairs at the bound that no key finds
 SEED = 42
-MEMBERS = 32  # unrelated classes in a key at most, on average
+MEMBERS = 256  # unrelated classes in a key at most, on average
 LEAST_BITS = 10  # of a key
-CROWDED = 128  # classes of a key that meet without a look at what is together
-BLOCK = 1024  # classes of a tile's side
+EXTRA = 14  # further bits of a key of stars
+CROWDED = 1024  # classes of a key that meet without a look at what is together
 FEW = 2  # pairs per class that are verified at once at first; then eight times as many, and so on
+MANY = 64  # shingles, from which on very close pairs need no look at the sets
 _WORDS = 16  # of 64 bits each; the first two are for the test of distance
 _TEST = 2
 _MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, _WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,19 +88,35 @@ def key_shape(classes: int, similarity: float, loss: float = LOSS) -> tuple[int,
     return bits, max(1, math.ceil(math.log(loss) / math.log1p(-agree))) if agree < 1 else 1
 
 
+def _beyond(similarity: float, words: int, deviations: float) -> float:
+    """The bits of so many words in which sets of a similarity differ, and deviations from that."""
+    n, p = 64 * words, _share(similarity)
+    return n * p + deviations * math.sqrt(n * p * (1 - p))
+
+
 def radius(similarity: float) -> int:
     """Test bits that may differ: five standard deviations beyond the mean at the bound."""
-    n, p = 64 * _TEST, _share(similarity)
-    return math.ceil(n * p + 5 * math.sqrt(n * p * (1 - p)))
+    return math.ceil(_beyond(similarity, _TEST, 5))
+
+
+def reach(similarity: float) -> int:
+    """Of all bits, likewise: three and a half, which lose one pair at the bound of 4,000."""
+    return math.ceil(_beyond(similarity, _WORDS, 3.5))
+
+
+def surely(similarity: float) -> int:
+    """Five below the mean: of 3 million pairs at the bound one is as close, and of less similar ones fewer."""
+    return math.floor(_beyond(similarity, _WORDS, -5))
 
 
-def _members(classes: DataFrame, similarity: float) -> DataFrame:
-    """(bits, x, y, key): each class in each of its keys, with its test bits x and y."""
+def _keyed(classes: DataFrame, similarity: float, extra: int) -> DataFrame:
+    """(bits, x, y, keys), written once: the test bits of each class and its keys, each with
+    `extra` further bits behind it that make it the key of a star."""
     bits, tables = key_shape(classes.count(), similarity)
     draw = np.random.default_rng(SEED)
-    chosen = np.array([draw.choice(np.arange(64 * _TEST, 64 * _WORDS), bits, replace=False) for _ in range(tables)])
-    powers = np.int64(1) << np.arange(bits, dtype=np.int64)
-    tags = np.arange(tables, dtype=np.int64) << bits
+    chosen = np.array([draw.choice(np.arange(64 * _TEST, 64 * _WORDS), bits + extra, replace=False) for _ in range(tables)])
+    powers = np.int64(1) << np.arange(bits + extra, dtype=np.int64)[::-1]
+    tags = np.arange(tables, dtype=np.int64) << (bits + extra)
 
     def run(batches):
         for batch in batches:
@@ -109,45 +128,75 @@ def _members(classes: DataFrame, similarity: float) -> DataFrame:
             tests = np.ascontiguousarray(raw[:, : 8 * _TEST]).view("<i8")
             yield pd.DataFrame({"bits": batch["bits"], "x": tests[:, 0], "y": tests[:, 1], "keys": list(keys)})
 
-    coded = classes.select("bits", "code").mapInPandas(run, "bits long, x long, y long, keys array<long>")
-    return coded.select("bits", "x", "y", F.explode("keys").alias("key"))
+    return stored(classes.select("bits", "code").mapInPandas(run, "bits long, x long, y long, keys array<long>"))
 
 
 def _near(a: str, b: str, most: int) -> Column:
     return sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("x", "y")) <= most
 
 
-def _stars(members: DataFrame, most: int) -> DataFrame:
-    """(a, b): pairs of a class and one class of its key within a distance."""
-    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("bits", "key").alias("h"), "bits", "x", "y")).alias("hub")).select("key", "hub.*")
-    near = members.alias("l").join(hubs.alias("r"), "key").filter((F.col("l.bits") != F.col("r.bits")) & _near("l", "r", most))
-    return near.select(F.least("l.bits", "r.bits").alias("a"), F.greatest("l.bits", "r.bits").alias("b")).distinct()
+def _pair(l: Column, r: Column) -> list[Column]:
+    return [F.least(l, r).alias("a"), F.greatest(l, r).alias("b")]
 
 
-def _tiled(members: DataFrame, most: int, block: int) -> DataFrame:
-    """(a, b): pairs in crowded keys within a distance that are not together yet."""
-    # Keys whose classes are all together have no pairs left.
-    left = members.groupBy("key").agg(F.min("group").alias("m"), F.max("group").alias("z")).filter("m < z").select("key")
-    named = members.join(left, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    named = named.withColumn("at", F.pmod(F.xxhash64("bits"), F.col("blocks")).cast("int"))
-    sides = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = named.withColumn("row", F.col("at")).withColumn("column", sides)
-    columns = named.withColumn("column", F.col("at")).withColumn("row", sides)
-    return rows.alias("l").join(columns.alias("r"), ["key", "row", "column"]).filter(
-        (F.col("l.bits") < F.col("r.bits")) & (F.col("l.group") != F.col("r.group")) & _near("l", "r", most)
-    ).select(F.col("l.bits").alias("a"), F.col("r.bits").alias("b"))
+def _stars(keyed: DataFrame) -> DataFrame:
+    """(a, b): each class and one class of each of its long keys, always the same one."""
+    members = keyed.select("bits", F.explode("keys").alias("star")).repartition("star")
+    # By a hash, so that a family has few of these, the same ones in many keys.
+    hubs = members.groupBy("star").agg(F.min_by("bits", F.xxhash64("bits")).alias("hub"), F.count(F.lit(1)).alias("n"))
+    near = members.join(hubs.filter("n > 1"), "star").filter("bits <> hub")
+    return near.select(*_pair(F.col("bits"), F.col("hub"))).distinct()
+
+
+def _apart(keyed: DataFrame, edges: DataFrame, most: int, extra: int, crowded: int) -> DataFrame:
+    """(a, b): pairs of a key within a distance that are not together yet.
+
+    In a crowded key most classes are together, a family: each pair that is not together
+    has a class outside the largest such group of the key, so only the others meet all.
+    """
+    named = components(edges).select(F.col("node").alias("bits"), F.col("component").alias("group"))
+    members = keyed.join(checkpointed(named), "bits", "left").withColumn("group", F.coalesce("group", "bits")).select(
+        "bits", "x", "y", "group", F.explode("keys").alias("key"),
+    ).withColumn("key", F.shiftright("key", extra))
+    full = checkpointed(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded))
+    differ = (F.col("l.group") != F.col("r.group")) & _near("l", "r", most)
+    few = members.join(full, "key", "left_anti")
+    pairs = few.alias("l").join(few.alias("r"), "key").filter((F.col("l.bits") < F.col("r.bits")) & differ).select(*_pair(F.col("l.bits"), F.col("r.bits")))
+    if full.isEmpty():
+        return pairs.distinct()
+    many = members.join(full.select("key"), "key")
+    sizes = many.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "group")).alias("m")).select("key", F.col("m.group").alias("own"))
+    others = many.join(checkpointed(largest), "key").filter("group <> own").drop("own")
+    met = others.alias("l").join(many.alias("r"), "key").filter(differ)
+    return pairs.unionByName(met.select(*_pair(F.col("l.bits"), F.col("r.bits")))).distinct()
+
+
+def _measured(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, d, n): pairs that can have the similarity, by all bits and by their sizes.
+
+    d is the number of bits that differ and n the size of the smaller set.
+    """
+    most = reach(similarity)
 
+    def run(batches):
+        for batch in batches:
+            if batch.empty:
+                continue
+            p, q = (np.frombuffer(b"".join(batch[c]), dtype=np.uint64).reshape(len(batch), -1) for c in ("p", "q"))
+            batch["d"] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int32)
+            yield batch.loc[batch["d"] <= most, ["a", "b", "d", "n"]]
 
-def _together(edges: DataFrame, members: DataFrame) -> DataFrame:
-    """The members with their `group`, the same for classes that are together."""
-    named = checkpointed(components(edges)).withColumnRenamed("node", "bits")
-    return members.join(named, "bits", "left").withColumn("group", F.coalesce("component", "bits")).drop("component")
+    side = lambda name, code, size: classes.select(F.col("bits").alias(name), F.col("code").alias(code), F.col("n").alias(size))
+    full = pairs.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b")
+    sized = full.withColumns({"n": F.least("m", "n"), "m": F.greatest("m", "n")}).filter(F.col("n") >= similarity * F.col("m"))
+    return checkpointed(sized.select("a", "b", "n", "p", "q").mapInPandas(run, "a long, b long, d int, n long"))
 
 
-def _sets(docs: DataFrame, marked: DataFrame, pairs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """(bits, items): the sets of the classes in pairs, read from one row per class or few."""
     wanted = checkpointed(pairs.select(F.col("a").alias("bits")).unionByName(pairs.select(F.col("b").alias("bits"))).distinct())
-    ids = marked.join(wanted, "bits").groupBy("bits").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
+    ids = classes.join(wanted, "bits").select(F.col("first").alias("_id")).distinct()
 
     def run(batches):
         for batch in batches:
@@ -175,52 +224,50 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, edges: DataFrame | None, sets: DataFrame, similarity: float) -> DataFrame:
-    """Verified links, those given included: what all pairs of them connect is connected.
+def _not_together(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    named = checkpointed(components(edges))
+    return checkpointed(
+        pairs.join(named.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+        .join(named.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+    )
 
-    Few pairs of each class are verified at a time; those that are together by then need not be.
+
+def _linked(pairs: DataFrame, edges: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """`edges` and verified links of the pairs: what all pairs of them connect is connected.
+
+    Few pairs of each class are verified at a time, the closest first; those that are
+    together by then need not be.
     """
-    most, again = FEW, pairs
-    while True:
-        degrees = again.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
-        unit = F.shiftrightunsigned(F.xxhash64("a", "b"), 11) / float(1 << 53)
-        ranked = checkpointed(again.join(degrees, "b").select("a", "b", (unit * F.col("degree")).alias("i")))
-        new = checkpointed(_verified(ranked.filter(F.col("i") < most), sets, similarity))
-        edges = new if edges is None else checkpointed(edges.unionByName(new))
-        again = ranked.filter(F.col("i") >= most).select("a", "b")
-        if again.isEmpty():
-            return edges
-        named = checkpointed(components(edges))
-        again = checkpointed(
-            again.join(named.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-            .join(named.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-            .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        )
+    again, most, items = _not_together(pairs, edges), FEW, None
+    while not again.isEmpty():
+        if items is None:
+            items = sets(again)
+        degrees = again.groupBy("b").agg(F.count(F.lit(1)).alias("degree"), F.min("d").alias("low"), F.max("d").alias("high"))
+        # About how many of the class's pairs are closer, if their distances are spread evenly.
+        unit = (F.col("d") - F.col("low") + F.shiftrightunsigned(F.xxhash64("a", "b"), 11) / float(1 << 53)) / (F.col("high") - F.col("low") + 1)
+        ranked = checkpointed(again.join(degrees, "b").select("a", "b", "d", (unit * F.col("degree")).alias("i")))
+        edges = checkpointed(edges.unionByName(_verified(ranked.filter(F.col("i") < most), items, similarity)))
+        again = ranked.filter(F.col("i") >= most).select("a", "b", "d")
         if again.isEmpty():
-            return edges
-        most *= 8
+            break
+        again, most = _not_together(again, edges), 8 * most
+    return edges
 
 
-def similar_links(docs: DataFrame, marked: DataFrame, classes: DataFrame, key: str, text: str, shingle: int, similarity: float, crowded: int = CROWDED, block: int = BLOCK) -> DataFrame:
+def similar_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shingle: int, similarity: float, crowded: int = CROWDED, extra: int = EXTRA) -> DataFrame:
     """(a, b): links between classes that connect those of the similarity."""
-    members, most = _members(classes, similarity), radius(similarity)
+    keyed = _keyed(classes, similarity, extra)
+    sure, edges = surely(similarity), classes.select(F.col("bits").alias("a"), F.col("bits").alias("b")).limit(0)
 
-    def verified(pairs: DataFrame, edges: DataFrame | None) -> DataFrame:
-        return _linked(pairs, edges, _sets(docs, marked, pairs, key, text, shingle), similarity)
+    def joined(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+        found = _measured(pairs, classes, similarity)
+        certain = (F.col("d") <= sure) & (F.col("n") >= MANY)
+        edges = checkpointed(edges.unionByName(found.filter(certain).select("a", "b")))
+        return _linked(found.filter(~certain).select("a", "b", "d"), edges, lambda p: _sets(docs, classes, p, key, text, shingle), similarity)
 
-    full = checkpointed(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded))
-    edges, few = None, members
-    if not full.isEmpty():
-        many = members.join(full, "key")
-        edges = verified(checkpointed(_stars(many, most)), None)
-        few = _together(edges, members.join(full, "key", "left_anti"))
-    apart = F.lit(True) if edges is None else F.col("l.group") != F.col("r.group")
-    pairs = few.alias("l").join(few.alias("r"), "key").filter((F.col("l.bits") < F.col("r.bits")) & apart & _near("l", "r", most)).select(
-        F.col("l.bits").alias("a"), F.col("r.bits").alias("b"),
-    )
-    if edges is not None:
-        pairs = pairs.unionByName(_tiled(_together(edges, many), most, block))
-    return verified(checkpointed(pairs.distinct()), edges)
+    edges = joined(_stars(keyed), edges)
+    return joined(_apart(keyed, edges, radius(similarity), extra, crowded), edges)
 
 
 def grouped(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -235,14 +282,15 @@ def grouped(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, simila
         for batch in batches:
             found = [shingles(t, shingle) for t in batch["t"]]
             yield pd.DataFrame({
-                "doc_id": batch["k"], "bits": np.array([set_number(x) for x in found], dtype=np.int64), "code": [wide_fingerprint(x) for x in found],
+                "doc_id": batch["k"], "bits": np.array([set_number(x) for x in found], dtype=np.int64),
+                "n": np.array([len(x) for x in found], dtype=np.int64), "code": [wide_fingerprint(x) for x in found],
             })
 
-    coded = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, bits long, code binary")
+    coded = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, bits long, n long, code binary")
     coded = stored(coded)
     marked = coded.select("doc_id", "bits")
-    classes = stored(coded.groupBy("bits").agg(F.min("doc_id").alias("first"), F.min("code").alias("code")))
-    linked = components(similar_links(docs, marked, classes, key, text, shingle, similarity))
+    classes = stored(coded.groupBy("bits").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("code").alias("code")))
+    linked = components(similar_links(docs, classes, key, text, shingle, similarity))
     named = classes.select("bits", "first").join(linked.withColumnRenamed("node", "bits"), "bits", "left").withColumn(
         "component", F.coalesce("component", "bits")
     )
