@@ -59,3 +59,19 @@ def topic_table_stream(spark: SparkSession, path: str, topic: str, max_files: in
 def topic_table(spark: SparkSession, path: str, topic: str) -> DataFrame:
     rows = spark.read.schema(TOPIC_TABLE).parquet(path)
     return rows.filter(F.col("topic") == topic).select("value", *ARRIVAL)
+
+
+# As `streaming.jobs.log_topics` and `cdc_topics` write them.
+COMMITTED = "value STRING, received_at TIMESTAMP, changed_at BIGINT, offset BIGINT, position INT, topic STRING"
+
+
+def committed_stream(spark: SparkSession, path: str, topic: str, max_files: int | None = None) -> DataFrame:
+    """One topic of committed topics as a stream: each record once, whatever the writer went through."""
+    reader = spark.readStream.schema(COMMITTED)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", str(max_files))
+    return reader.parquet(path).filter(F.col("topic") == topic).select("value", *ARRIVAL)
+
+
+def committed(spark: SparkSession, path: str, topic: str) -> DataFrame:
+    return spark.read.schema(COMMITTED).parquet(path).filter(F.col("topic") == topic).select("value", *ARRIVAL)

@@ -21,7 +21,7 @@ from ..schemas import SALE_DETAIL
 from ..session import shared_folder
 from ..sources import cdc, decode, logs
 from ..sources.topics import ARRIVAL
-from . import keyed, search, sinks
+from . import keyed, search, sinks, waiting
 
 EVERY = "5 seconds"
 USER_EVERY = "3 seconds"
@@ -369,7 +369,17 @@ def sale_details(
         wait_seconds,
         parts=parts,
     )
-    bought = pairs.select(
+    bought = _bought(pairs)
+
+    def write(batch, turn):
+        _write_sales(batch, turn, users_path, path)
+
+    return start(bought, write, "sale_details", checkpoint, every)
+
+
+def _bought(pairs: DataFrame) -> DataFrame:
+    """What a sale detail takes from its order (``o``) and its detail (``d``)."""
+    return pairs.select(
         F.col("d.id").alias("order_detail_id"),
         F.col("o.id").alias("order_id"),
         "o.order_status",
@@ -381,17 +391,59 @@ def sale_details(
         F.col("o.create_date").alias("dt"),
     )
 
+
+def _write_sales(bought: DataFrame, turn: sinks.Turn, users_path: str, path: str) -> None:
+    latest = latest_per_key(bought, ["order_detail_id"], ["create_time"]).persist()
+    try:
+        users = keyed.lookup(latest.select(F.col("user_id").alias("id")), _users(users_path))
+        wide = joins.with_user(latest, users, F.current_timestamp(), "order_detail_id")
+        sinks.write_batch(wide.select(*SALE_DETAIL.fieldNames()), turn, path, ("dt",))
+        search.add_postings(latest, turn, path)
+    finally:
+        latest.unpersist()
+
+
+def sale_details_from_rooms(
+    raw_orders: DataFrame,
+    raw_details: DataFrame,
+    users_path: str,
+    path: str,
+    checkpoint: str | None = None,
+    every: str | None = EVERY,
+    wait_seconds: int = 100,
+    late_seconds: int = 900,
+):
+    """The same table without state in the stream: what has no partner yet waits in tables.
+
+    Spark splits orders with very many details by itself here. Rows that found no partner
+    go to ``<path>_alone`` when their wait is over, and so do those that came more
+    than ``late_seconds`` behind the slower topic; so what went in is either sold or
+    told (``waiting.admit``).
+    """
+    spark = raw_orders.sparkSession
+    room = waiting.Room(f"{path.rstrip('/')}_room", wait_seconds, late_seconds)
+    sinks.create_table(spark, path, SALE_DETAIL, ("dt",))
+    search.create(spark, path)
+    waiting.create(spark, room)
+    kind = lambda raw, name: raw.select("value", "received_at", F.lit(name).alias("kind"))
+    both = kind(raw_orders, "order").unionByName(kind(raw_details, "detail"))
+
     def write(batch, turn):
-        latest = latest_per_key(batch, ["order_detail_id"], ["create_time"]).persist()
+        kept = batch.persist()
+        of = lambda name: kept.filter(F.col("kind") == name).select("value", "received_at")
+        orders = decode.order_infos(of("order"), ("received_at",)).persist()
+        details = decode.order_details(of("detail"), ("received_at",)).persist()
         try:
-            users = keyed.lookup(latest.select(F.col("user_id").alias("id")), _users(users_path))
-            wide = joins.with_user(latest, users, F.current_timestamp(), "order_detail_id")
-            sinks.write_batch(wide.select(*SALE_DETAIL.fieldNames()), turn, path, ("dt",))
-            search.add_postings(latest, turn, path)
+            bad = decode.rejected(orders).unionByName(decode.rejected(details))
+            sinks.write_batch(bad, turn, f"{path.rstrip('/')}_rejected", file_format="text")
+            pairs, alone = waiting.admit(decode.accepted(orders), decode.accepted(details), turn, room)
+            _write_sales(_bought(pairs), turn, users_path, path)
+            sinks.write_batch(alone, turn, f"{path.rstrip('/')}_alone")
         finally:
-            latest.unpersist()
+            for frame in (details, orders, kept):
+                frame.unpersist()
 
-    return start(bought, write, "sale_details", checkpoint, every)
+    return start(both, write, "sale_details_from_rooms", checkpoint, every)
 
 
 def read_sales(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame:
@@ -461,3 +513,37 @@ def quarantine(decoded: DataFrame, path: str, name: str, checkpoint: str | None
         sinks.write_batch(batch, turn, path, file_format="text")
 
     return start(decode.rejected(decoded), write, name, checkpoint, every)
+
+
+def _committed(routed: DataFrame, path: str, name: str, checkpoint: str | None, every: str | None) -> StreamingQuery:
+    """Routed records into topic tables by Spark's own file sink, which commits a batch as a whole."""
+    where = checkpoint or f"{shared_folder(routed.sparkSession)}/streams/{name}"
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    none = {"changed_at": "bigint", "offset": "bigint", "position": "int"}
+    full = routed.withColumns({c: F.lit(None).cast(t) for c, t in none.items() if c not in routed.columns})
+    writer = full.select("value", "received_at", *none, "topic").writeStream.format("parquet").partitionBy("topic")
+    return writer.queryName(name).option("path", path).option("checkpointLocation", where).trigger(**trigger).start()
+
+
+def log_topics(raw: DataFrame, path: str, checkpoint: str | None = None, every: str | None = EVERY):
+    """Logs, stamped with their arrival, into topics that hand each record on once.
+
+    The sink keeps a log of the files of each batch. Files of a try that failed are
+    not in it, and readers (``topics.committed_stream``) go by the log, so they see
+    no record twice, nor half a batch. ``log_routing`` also archives, or takes other sinks.
+    """
+    carried = ("received_at", *[c for c in ("offset",) if c in raw.columns])
+    stamped = logs.stamp_receive_time(raw.select("value", *carried), F.col("received_at"))
+    _keep_rejected(stamped, path, "log_topics", checkpoint, every)
+    return _committed(logs.route_logs(stamped, carried), path, "log_topics", checkpoint, every)
+
+
+def cdc_topics(raw: DataFrame, path: str, checkpoint: str | None = None, every: str | None = EVERY):
+    """Database changes into topics that hand each record on once; needs the ``offset`` of the entries
+    to tell the order of changes within a moment."""
+    carried = ("received_at", "offset")
+    placed = raw if "offset" in raw.columns else raw.withColumn("offset", F.lit(None).cast("bigint"))
+    decoded = decode.cdc_entries(placed, carried)
+    _keep_rejected(decoded, path, "cdc_topics", checkpoint, every)
+    entries = cdc.route_cdc(decode.accepted(decoded)).withColumnRenamed("ts", "changed_at")
+    return _committed(cdc.flatten_cdc(entries, ("received_at", "changed_at", "offset")), path, "cdc_topics", checkpoint, every)
