@@ -80,6 +80,16 @@ def check_packed(docs, rows, size=packing.WINDOW):
     return sequences
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \n", "\t \r\n"])
+def test_very_long_white_space_has_the_ids_of_the_vocabulary(run):
+    """The faster library gives up on such runs; the ids must be those of the other."""
+    text = "word" + run * (2_000_000 // len(run)) + "and more"
+    known = Tokenizer.from_file(JSON)
+    got = packing.ids_of(text, packing.tokenizer(RANKS))
+    assert got.tolist() == [*known.encode(text, add_special_tokens=False).ids, packing.SEPARATOR]
+
+
+
 def test_packing_is_a_round_trip(documents):
     rows = packing.pack(documents, RANKS, with_ids=True).collect()
     sequences = check_packed(documents, rows)
