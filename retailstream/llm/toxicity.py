@@ -12,8 +12,9 @@ hold a term and yet stand in clean documents.
 """
 
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -96,7 +97,35 @@ class Matcher:
                 excused.append((start, end))
             elif start not in found or len(term) > len(found[start][0]):
                 found[start] = (term, weight)
-        return [(at, *hit) for at, hit in found.items() if not any(low <= at < high for low, high in excused)]
+        free = _outside(excused)
+        return [(at, *hit) for at, hit in found.items() if free(at)]
+
+
+def _outside(spans: list[tuple[int, int]]) -> Callable[[int], bool]:
+    """Whether a place lies in none of the spans (low, high), which may overlap."""
+    lows, highs = [], []
+    for low, high in sorted(spans):
+        if highs and low <= highs[-1]:
+            highs[-1] = max(highs[-1], high)
+        else:
+            lows.append(low)
+            highs.append(high)
+
+    def free(at: int) -> bool:
+        i = bisect_right(lows, at)
+        return i == 0 or at >= highs[i - 1]
+
+    return free
+
+
+def _word_before(text: str, at: int) -> list[str]:
+    """The last word before a place, looked for no further back than needed."""
+    reach = 64
+    while True:
+        words = text[max(0, at - reach) : at].rsplit(None, 1)
+        if len(words) > 1 or reach >= at:
+            return words[-1:]
+        reach *= 2
 
 
 def features(text: str | None, matcher: Matcher) -> tuple[float, float]:
@@ -191,7 +220,7 @@ def _exceptions(sample: DataFrame, weights: dict[str, float], n_toxic: int, n_cl
                     padded = f" {part} "
                     for at, _, _ in matcher.hits(part):
                         word = padded[at : padded.index(" ", at)]
-                        before = padded[:at].rsplit(None, 1)[-1:] if at > 1 and padded[at - 2] != " " else []
+                        before = _word_before(padded, at) if at > 1 and padded[at - 2] != " " else []
                         found.update([word, *[f"{b} {word}" for b in before]])
                 counts[toxic].update(found)
             yield _table(counts)

@@ -1,5 +1,8 @@
 """Language identification, toxicity and language-model scoring."""
 
+import random
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +187,17 @@ def test_scores_of_odd_documents(spark, odd_documents, no_documents):
     assert len({r.log_likelihood for r in rows if r.doc_id in (5, 6)}) == 1
     assert all(r.log_likelihood < 0 for r in rows if r.n_words)
     assert scoring.score(no_documents).count() == 0
+
+
+def test_many_excused_hits():
+    """Twenty thousand excused hits in one text take a moment, and every place is looked at."""
+    draw = random.Random(5)
+    spans = [(s, s + draw.randrange(1, 30)) for s in (draw.randrange(3000) for _ in range(200))]
+    free = toxicity._outside(spans)
+    assert all(free(at) == (not any(low <= at < high for low, high in spans)) for at in range(3100))
+    matcher = toxicity.Matcher({"grim": 1.0, "vile": 2.0}, ["grim tale", "vile"])
+    started = time.perf_counter()
+    assert matcher.hits("grim tale vile " * 20_000 + "grim words") == [(300_001, "grim", 1.0)]
+    assert time.perf_counter() - started < 1
+    assert toxicity._word_before("x" * 300 + " y", 301) == ["x" * 300]
+    assert toxicity._word_before("one two  three", 9) == ["two"]
