@@ -6,13 +6,13 @@ elements that it stands in: menus, footers, sidebars, forms, adverts, notices an
 comments are never text. Short blocks and others that say little stay open; in
 the second pass they take the label of the nearest decided neighbour, inside the
 article if the page marks one. Stop words are those that stand in many pages of
-the table, so that no list per language is needed.
+the table, so that no list per language is needed. On a page that has hardly any of
+them, in a language that few pages or no blanks are written in, length and links decide.
 """
 
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,39 +59,65 @@ _TEXT_NAMED = frozenset("article post entry content story main body title headli
 _MODIFIERS = frozenset("with without no not non has have is hide hidden show".split())
 
 
-BY_NAME, CERTAIN = 1, 2
+_COMMENTS = frozenset("comment comments disqus reply replies".split())
+# After a name they say what the element is instead, if it holds most of the page's text.
+_LAYOUTS = frozenset("layout news story stories article content main wrapper container grid columns template view".split())
+# After the name of comments: of an element that can be commented on.
+_COMMENTED = frozenset("open opened closed enabled disabled on off count allowed".split())
+# Scripts that write a word with fewer signs, or without blanks between words.
+_DENSE = re.compile(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uAC00-\uD7AF\U00020000-\U0003FFFF]")
+DENSITY = 3  # letters that one such sign stands for
 
+FREE, LAYOUT, NAMED, CERTAIN = 0, 1, 2, 3
 
-def _is_named(value: str) -> bool:
-    """Whether a class or id names an element that is never text; "with-sidebar" does not."""
+
+def _named(value: str) -> int:
+    """What a class or id says of its element: NAMED if it is never text ("with-sidebar" does
+    not say so), LAYOUT if it might be a name of the layout, CERTAIN if it holds comments."""
+    found = FREE
     for name in value.split():
         words = [w for w in re.split(r"[^a-z]+", name) if w]
         for i, word in enumerate(words):
-            if word in _NEVER_NAMED and not _MODIFIERS & set(words[:i]):
-                return True
-    return False
+            if word not in _NEVER_NAMED or _MODIFIERS & set(words[:i]):
+                continue
+            if word in _COMMENTS:
+                if not _COMMENTED & set(words[i + 1 :]):
+                    return CERTAIN
+            else:
+                found = max(found, LAYOUT if i + 1 < len(words) and words[-1] in _LAYOUTS else NAMED)
+    return found
 
 
 class _Block:
-    __slots__ = ("text", "linked", "never", "main", "wrapped")
+    __slots__ = ("text", "linked", "never", "main", "named")
+
+    def __init__(self, text, linked, never, main, named):
+        self.text, self.linked, self.never, self.main, self.named = text, linked, never, main, named
+
 
-    def __init__(self, text, linked, never, main, wrapped=False):
-        self.text, self.linked, self.never, self.main, self.wrapped = text, linked, never, main, wrapped
+class _Named:
+    """An element that its class or id rules out; `outer` is the next such element around it."""
+
+    __slots__ = ("outer", "kind", "inside_main", "holds_main", "letters")
+
+    def __init__(self, outer, kind, inside_main):
+        self.outer, self.kind, self.inside_main, self.holds_main, self.letters = outer, kind, inside_main, False, 0
 
 
 def _is_never(tag: str, attributes: str, inside_main: bool) -> int:
-    """0 if the element can be text, BY_NAME if just its class or id says it can't, else CERTAIN."""
+    """FREE if the element can be text, LAYOUT or NAMED if just its class or id says it can't, else CERTAIN."""
     if tag in _NEVER or tag == "header" and not inside_main:
         return CERTAIN
     if tag in ("body", "html") or not attributes:
-        return 0
-    never = 0
+        return FREE
+    never = FREE
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             words = set(re.split(r"[^a-z]+", value))
-            if _is_named(value) and tag not in _MAIN and not (words <= {"header", *_TEXT_NAMED, ""} and words & _TEXT_NAMED):
-                never = BY_NAME
+            kind = _named(value)
+            if kind == CERTAIN or kind and tag not in _MAIN and not (words <= {"header", *_TEXT_NAMED, ""} and words & _TEXT_NAMED):
+                never = max(never, kind)
         elif name == "role" and value in _ROLES or name == "aria-hidden" and value == "true":
             return CERTAIN
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -101,28 +127,20 @@ def _is_never(tag: str, attributes: str, inside_main: bool) -> int:
     return never
 
 
-def _named_around(stack: list[tuple[str, int, bool]]) -> bool:
-    """Whether nothing but names around the article or main say that it is never text."""
-    inside = False
-    for _, never, main in reversed(stack):
-        if never == CERTAIN or never == BY_NAME and not inside:
-            return False
-        inside |= main
-    return inside
-
-
-def blocks(page: str) -> Iterator[_Block]:
+def _parsed(page: str) -> tuple[list[_Block], list[_Named]]:
     """Blocks of text in page order, with characters inside links and what they stand in."""
-    stack: list[tuple[str, int, bool]] = []  # tag, never text, article or main
+    # Tag, and whether it or what is around it is never text, is an article or main, and the innermost named element.
+    stack: list[tuple[str, bool, bool, int]] = [("", False, False, -1)]
+    open_tags, out, named = Counter(), [], []
     parts, linked, in_link = [], 0, False
     at, size = 0, len(page)
 
     def ended():
         nonlocal parts, linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
-        found = _Block(text, linked, any(x[1] for x in stack), any(x[2] for x in stack), _named_around(stack)) if text else None
+        if text:
+            out.append(_Block(text, linked, *stack[-1][1:]))
         parts, linked = [], 0
-        return found
 
     def add(raw):
         nonlocal linked
@@ -132,6 +150,11 @@ def blocks(page: str) -> Iterator[_Block]:
             if in_link:
                 linked += len(_SPACE.sub(" ", text).strip())
 
+    def close():
+        tag = stack.pop()[0]
+        open_tags[tag] -= 1
+        return tag
+
     while at < size:
         found = _TAG.search(page, at)
         add(page[at : found.start()] if found else page[at:])
@@ -143,8 +166,8 @@ def blocks(page: str) -> Iterator[_Block]:
             continue
         if tag in _RAW:
             if not found[1] and not found[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-                at = close.end() if close else size
+                end = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
+                at = end.end() if end else size
             continue
         if tag == "br":
             parts.append(" ")
@@ -154,36 +177,87 @@ def blocks(page: str) -> Iterator[_Block]:
             continue
         block = tag in _BLOCKS
         if block:
-            done = ended()
-            if done:
-                yield done
+            ended()
             in_link = False
         if found[1]:
-            if any(x[0] == tag for x in stack):
-                while stack.pop()[0] != tag:
+            if open_tags[tag]:
+                while close() != tag:
                     pass
         elif tag not in _VOID:
             # Starts that end an open paragraph or item of the same kind.
-            while stack and block and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                stack.pop()
-            never = _is_never(tag, found[3], any(x[2] for x in stack))
-            if block or never:
-                stack.append((tag, never, tag in _MAIN))
-    done = ended()
-    if done:
-        yield done
+            while len(stack) > 1 and block and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
+                close()
+            _, certain, main, inner = stack[-1]
+            never = _is_never(tag, found[3], main)
+            if not block and not never:
+                continue
+            if never in (LAYOUT, NAMED):
+                named.append(_Named(inner, never, main))
+                inner = len(named) - 1
+            elif tag in _MAIN and inner >= 0:
+                named[inner].holds_main = True
+            stack.append((tag, certain or never == CERTAIN, main or tag in _MAIN, inner))
+            open_tags[tag] += 1
+    ended()
+    return out, named
+
+
+def blocks(page: str) -> list[_Block]:
+    """Blocks of text; what `never` is text is so by elements, attributes or names around it.
+
+    A name of the layout rules nothing out if its element holds most of the text. Where
+    every article stands in an element with such a name, nor does that.
+    """
+    found, named = _parsed(page)
+    total = 0
+    for b in found:
+        if not b.never:
+            own = len(b.text) - b.linked
+            total += own
+            if b.named >= 0:
+                named[b.named].letters += own
+    for e in reversed(named):  # inner ones come after those around them
+        if e.outer >= 0:
+            named[e.outer].letters += e.letters
+            named[e.outer].holds_main |= e.holds_main
+    ruled, ruled_inside = [], []
+    for e in named:
+        own = not (e.kind == LAYOUT and 2 * e.letters > total)
+        ruled.append(own or e.outer >= 0 and ruled[e.outer])
+        ruled_inside.append(own and (e.inside_main or not e.holds_main) or e.outer >= 0 and ruled_inside[e.outer])
+    if not any(b.main and not b.never and not (b.named >= 0 and ruled[b.named]) for b in found):
+        ruled = [inside if e.inside_main or e.holds_main else own for e, own, inside in zip(named, ruled, ruled_inside, strict=True)]
+    for b in found:
+        b.never = b.never or b.named >= 0 and ruled[b.named]
+    return found
 
 
 GOOD, OPEN, BAD = 1, 0, -1
 
 
-def first_pass(block: _Block, stop_words: frozenset) -> int:
+def _length(text: str) -> int:
+    return len(text) + (DENSITY - 1) * len(_DENSE.findall(text))
+
+
+def stop_shares(found: list[_Block], stop_words: frozenset) -> tuple[list[float], bool]:
+    """The share of stop words in each block, and whether the list knows the page's language."""
+    counts = []
+    for block in found:
+        words = _WORDS.findall(block.text.lower())
+        counts.append((sum(w in stop_words for w in words), len(words)))
+    own = [(n, of) for (n, of), b in zip(counts, found, strict=True) if not b.never and b.linked <= LINKED * len(b.text)]
+    known = sum(n for n, _ in own) >= STOP_BAD * sum(of for _, of in own)
+    return [n / max(1, of) for n, of in counts], known
+
+
+def first_pass(block: _Block, share: float, known: bool) -> int:
+    """By stop words; in a language that the list does not know, by length and links alone."""
     if block.never or block.linked > LINKED * len(block.text):
         return BAD
-    if len(block.text) < SHORT:
+    if _length(block.text) < SHORT:
         return OPEN
-    words = _WORDS.findall(block.text.lower())
-    share = sum(w in stop_words for w in words) / max(1, len(words))
+    if not known:
+        return GOOD
     if share >= STOP_GOOD:
         return GOOD
     return BAD if share < STOP_BAD and not block.main else OPEN
@@ -217,12 +291,9 @@ def second_pass(found: list[_Block], labels: list[int]) -> list[int]:
 
 
 def main_text(page: str | None, stop_words: frozenset) -> str:
-    found = list(blocks(page or ""))
-    # Where every article stands in a wrapper with such a name, the name is one of the layout.
-    if not any(b.main and not b.never for b in found):
-        for b in found:
-            b.never = b.never and not b.wrapped
-    labels = second_pass(found, [first_pass(b, stop_words) for b in found])
+    found = blocks(page or "")
+    shares, known = stop_shares(found, stop_words)
+    labels = second_pass(found, [first_pass(b, share, known) for b, share in zip(found, shares, strict=True)])
     return "\n".join(b.text for b, label in zip(found, labels, strict=True) if label == GOOD)
 
 

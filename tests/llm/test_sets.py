@@ -1,6 +1,7 @@
 """Packing, near duplicates, mixing, top-k, licenses, pages, and the pipeline."""
 
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -507,6 +508,95 @@ def test_names_of_wrappers_do_not_drop_the_article(wrapper):
     assert pages.main_text(f"<body><article><p>First. {text}</p></article><div class=comments>{inner}</div></body>", stop) == f"First. {text}"
 
 
+STOP = frozenset("the of and to a in is that it".split())
+SPOKEN = "It is the way of the world that a word in the text is followed by a stop word and that is it."
+
+
+@pytest.mark.parametrize("sentence", [
+    "这个城市的历史可以追溯到两千多年前，当时人们沿着河流建立了第一批定居点，并且开始种植水稻和茶叶。",
+    "Helsingin kaupunki perustettiin vuonna 1550 Vantaanjoen suulle, josta keskusta siirrettiin myöhemmin etelämmäs niemelle.",
+    "Город был основан в двенадцатом веке на берегу реки, и с тех пор его население выросло более чем в сто раз.",
+    "この町の歴史は古く、川沿いに最初の集落ができたのは二千年以上も前のことだと言われている。",
+    "ประวัติศาสตร์ของเมืองนี้ย้อนกลับไปกว่าสองพันปี เมื่อผู้คนเริ่มตั้งถิ่นฐานตามแม่น้ำและปลูกข้าว",
+    "تأسست المدينة في القرن الثاني عشر على ضفاف النهر، ومنذ ذلك الحين تضاعف عدد سكانها أكثر من مئة مرة.",
+])
+def test_languages_that_no_stop_word_knows(sentence):
+    """On pages without an article, long paragraphs without links are text in any script."""
+    page = f"<body><div><a href=/>{sentence[:9]}</a> <a href=/>{sentence[9:30]}</a></div><p>{sentence}</p><p>{sentence[:12]}</p><p>{sentence}</p><div class=sidebar><p>{sentence}</p></div></body>"
+    assert pages.main_text(page, STOP) == f"{sentence}\n{sentence[:12]}\n{sentence}".replace("\n" + sentence[:12], "\n" + sentence[:12].strip())
+
+
+def test_names_of_layouts_and_comments():
+    p = f"<p>{SPOKEN}</p>"
+    for name in ("sidebar-layout", "legal-news", "site banner-wrapper"):
+        assert pages.main_text(f"<body><div class='{name}'>{p}{p}<div class=sidebar>{p}</div></div></body>", STOP) == f"{SPOKEN}\n{SPOKEN}"
+    assert pages.main_text(f"<body><main><div class='share-story'>{p}{p}</div></main></body>", STOP) == f"{SPOKEN}\n{SPOKEN}"
+    # The same name on a small part of the page is what it says.
+    assert pages.main_text(f"<body><div>{p}{p}</div><div class='legal-news'>{p}</div></body>", STOP) == f"{SPOKEN}\n{SPOKEN}"
+    # Comments are none of the article, whatever they are marked as and however many there are.
+    assert pages.main_text(f"<body><div>{p}</div><div id='comments'>{f'<article class=comment>{p}</article>' * 5}</div></body>", STOP) == SPOKEN
+    assert pages.main_text(f"<body><div>{p}</div>{f'<article class=comment>{p}</article>' * 5}</body>", STOP) == SPOKEN
+    assert pages.main_text(f"<body><div id='comments'><article>{p}</article></div></body>", STOP) == ""
+    assert pages.main_text(f"<body><article class='post comments-open'>{p}</article></body>", STOP) == SPOKEN
+
+
+def brute_labels(found, stop):
+    """Both passes written out: each open block looks at all others."""
+    def words(b):
+        w = re.findall(r"[^\W\d_]+", b.text.lower())
+        return sum(x in stop for x in w), len(w)
+
+    fair = [words(b) for b in found if not b.never and b.linked <= 0.5 * len(b.text)]
+    known = sum(n for n, _ in fair) >= 0.05 * sum(of for _, of in fair)
+    first = []
+    for b in found:
+        n, of = words(b)
+        if b.never or b.linked > 0.5 * len(b.text):
+            first.append("bad")
+        elif len(b.text) < 70:
+            first.append("open")
+        elif not known or n >= 0.2 * max(1, of):
+            first.append("good")
+        else:
+            first.append("bad" if n < 0.05 * max(1, of) and not b.main else "open")
+    out = []
+    for i, b in enumerate(found):
+        label = first[i]
+        if label == "open":
+            peers = [j for j, o in enumerate(found) if o.main == b.main and first[j] != "open" and not (b.main and first[j] == "bad")]
+            near = min((abs(i - j) for j in peers), default=None)
+            labels = {first[j] for j in peers if abs(i - j) == near}
+            label = labels.pop() if len(labels) == 1 else "good" if b.main else "bad"
+        out.append(label == "good")
+    return out
+
+
+def test_both_passes_against_brute_force():
+    """Random pages without and with an article."""
+    draw = np.random.default_rng(12)
+    for _ in range(300):
+        stop_share = draw.choice([0.0, 0.1, 0.3, 0.5])
+        parts = []
+        for _ in range(int(draw.integers(1, 14))):
+            n = int(draw.choice([1, 4, 15, 40]))
+            body = " ".join(draw.choice(["the", "of", "and"]) if draw.random() < stop_share * draw.choice([0, 1, 1]) else f"w{'xyz'[int(draw.integers(3))]}rd" for _ in range(n))
+            kind = draw.choice(["<p>{}</p>", "<div>{}</div>", "<p><a href=/>{}</a></p>", "<div class=share>{}</div>", "<li>{}</li>"], p=[0.5, 0.2, 0.1, 0.1, 0.1])
+            parts.append(kind.format(body))
+        cut = int(draw.integers(0, len(parts)))
+        page = "".join(parts) if draw.random() < 0.6 else "".join(parts[:cut]) + "<article>" + "".join(parts[cut:]) + "</article>"
+        found = pages.blocks(f"<body>{page}</body>")
+        expected = "\n".join(b.text for b, good in zip(found, brute_labels(found, STOP)) if good)
+        assert pages.main_text(f"<body>{page}</body>", STOP) == expected
+
+
+def test_deep_nesting_takes_linear_time():
+    for tag in ("div", "div class=sidebar"):
+        page = f"<{tag}>" * 60_000 + SPOKEN + "</div>" * 60_000
+        started = time.perf_counter()
+        pages.main_text(page, STOP)
+        assert time.perf_counter() - started < 3
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (3, "u", "<article><p>" + "word and the " * 50_000), (3, "u", "<article>a</article>")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("t")).withColumn("h", F.lit("t"))
