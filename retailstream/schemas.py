@@ -86,8 +86,7 @@ COUPON_ALERT = StructType(
 
 COUPON_PANE = StructType(
     _strings("mid", "evid", "uid", "itemid")
-    + [StructField("n", LongType()), StructField("ts", LongType())]
-    + _strings("hour")
+    + [StructField("n", LongType()), StructField("ts", LongType()), StructField("stretch", LongType())]
 )
 
 # The first record ever of a device; `gone` takes it out of a day it had before.

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import schemas
-from ..functions.clock import day_of, hour_of
 from ..operators import changes, coupons, joins
 from ..operators.dedup import first_ever, latest_per_key
 from ..plans import activity
@@ -228,20 +228,6 @@ def read_order_hours(spark: SparkSession, path: str, days: list[str] | None = No
     return changes.totals(sinks.read_versions(spark, _order_hours(path), schemas.ORDER_HOUR, only))
 
 
-def _hour(ms) -> Column:
-    return F.concat_ws("-", day_of(ms), hour_of(ms))
-
-
-def _hours_between(spark: SparkSession, first_ms: int, last_ms: int) -> list[str]:
-    """Names of the hours from one time to the other, as ``_hour`` writes them.
-
-    One hour more than needed, as local hours need not start on whole hours UTC.
-    """
-    step = 3_600_000
-    starts = spark.range(first_ms // step, last_ms // step + 2).select(_hour(F.col("id") * step).alias("hour"))
-    return [row.hour for row in starts.toLocalIterator()]
-
-
 def coupon_alerts(
     raw: DataFrame,
     path: str,
@@ -259,56 +245,51 @@ def coupon_alerts(
     The stream's state holds open panes only. Panes close once no event later
     than ``late`` can still fall into them, and go to the pane table; windows
     that end up to the last closed pane are then final, and are judged by the
-    batch functions on the last panes of that table.
+    batch functions on the panes of the batch and those of one window before. How
+    far windows are judged is kept by batch, beside the pane table, so neither a
+    restart nor a stream that was idle reads more than that.
     """
     coupons.check_window(window_seconds, slide_seconds)
     sinks.create_table(raw.sparkSession, path, schemas.COUPON_ALERT, ("dt",))
-    sinks.create_table(raw.sparkSession, panes_path, schemas.COUPON_PANE, ("hour",))
+    sinks.create_table(raw.sparkSession, panes_path, schemas.COUPON_PANE, ("stretch",))
     events = decode.accepted(decode.counted(decode.event_logs(raw), "event_logs"))
     _keep_rejected(decode.event_logs(raw), path, "coupon_alerts", checkpoint, every)
     timed = events.withColumn("event_time", F.timestamp_millis("ts")).withWatermark("event_time", late)
-    panes = coupons.counted_panes(timed, slide_seconds).withColumn("hour", _hour("ts"))
     slide_ms, window_ms = slide_seconds * 1000, window_seconds * 1000
-    judged: dict[str, int] = {}  # how far, and by which batch of this run
+    # Panes lie in stretches of window length, numbered, so those of a window are two or three.
+    stretch = F.call_function("div", F.col("ts") - F.pmod("ts", F.lit(window_ms)), F.lit(window_ms))
+    panes = coupons.counted_panes(timed, slide_seconds).withColumn("stretch", stretch)
+    judged = StructType([StructField("upto", LongType())])
+    judged_path = f"{panes_path.rstrip('/')}_judged"
 
     def write(batch, turn):
         session = batch.sparkSession
         closed = batch.persist()
-
-        def own_panes(hours=None):
-            # Another run may have counted the same events: its panes are its own.
-            panes = sinks.read_versions(session, panes_path, schemas.COUPON_PANE, hours and ("hour", hours))
-            return panes.filter(F.col(sinks.RUN) == turn.run)
-
         try:
             newest = closed.agg(F.max("ts").alias("ts")).first().ts
-            if newest is None:
-                return
-            sinks.write_batch(closed, turn, panes_path, ("hour",))
+            # How far windows have been judged by the batches before.
+            before = (sinks.recall(session, turn, judged_path, judged) or (None,))[0]
+            if newest is not None:
+                upto = newest + slide_ms
+                sinks.write_batch(closed, turn, panes_path, ("stretch",))
+                recent, ends = closed, F.col("window_end") <= upto
+                if before is not None:
+                    # Panes that close later begin later, so of earlier batches only the last window counts.
+                    since = before + slide_ms - window_ms
+                    names = [str(s) for s in range(since // window_ms, before // window_ms + 1)]
+                    old = sinks.read_versions(session, panes_path, schemas.COUPON_PANE, ("stretch", names))
+                    # Another run may have counted the same events: its panes are its own.
+                    old = old.filter((F.col(sinks.RUN) == turn.run) & (F.col(sinks.BATCH) < turn.number) & (F.col("ts") >= since))
+                    recent = closed.unionByName(old.drop(*sinks.VERSION))
+                    ends = ends & (F.col("window_end") > before)
+                alerts = coupons.alert_windows(recent, window_seconds, slide_seconds, min_accounts, click).filter(ends)
+                documents = coupons.alert_documents(recent, coupons.latest_per_minute(alerts), window_seconds, slide_seconds)
+                sinks.write_batch(documents, turn, path, ("dt",))
+                before = upto
+            sinks.remember(session, turn, judged_path, judged, (before,))
         finally:
             closed.unpersist()
 
-        if judged.get("batch", turn.number) < turn.number:
-            before = judged["upto"]
-        else:  # first batch of this run: the table knows
-            earlier = own_panes().filter(F.col(sinks.BATCH) < turn.number)
-            last = earlier.agg(F.max("ts").alias("ts")).first().ts
-            before = None if last is None else last + slide_ms
-        upto = newest + slide_ms
-        ends = F.col("window_end") <= upto
-        if before is None:
-            recent = own_panes()
-        else:
-            since = before + slide_ms - window_ms
-            hours = _hours_between(session, since, newest)
-            recent = own_panes(hours).filter(F.col("ts") >= since)
-            ends = ends & (F.col("window_end") > before)
-        recent = recent.filter(F.col(sinks.BATCH) <= turn.number)
-        alerts = coupons.alert_windows(recent, window_seconds, slide_seconds, min_accounts, click).filter(ends)
-        documents = coupons.alert_documents(recent, coupons.latest_per_minute(alerts), window_seconds, slide_seconds)
-        sinks.write_batch(documents, turn, path, ("dt",))
-        judged.update(batch=turn.number, upto=upto)
-
     return start(panes, write, "coupon_alerts", checkpoint, every)
 
 

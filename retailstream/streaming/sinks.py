@@ -6,8 +6,9 @@ kept with the checkpoint, so a restart goes on with it, and a job with a new
 checkpoint, or a second job on the same table, writes beside the others. A batch
 that is run again replaces exactly what it wrote before. An upsert adds the new
 version of a row; readers take the latest version per key, later runs first. A
-micro-batch therefore costs what it brings, not what the day already holds, and
-``compact`` folds old versions together offline.
+micro-batch therefore costs what it brings, not what the day already holds.
+``folding.fold_day`` folds the versions of a closed day together, and ``compact`` those
+of a whole table into another one.
 """
 
 import time
@@ -21,6 +22,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..operators.dedup import first_activity, latest_per_key, new_activity
 from ..operators.skew import splits_skew
+from . import folding
 
 RUN, BATCH = "run_id", "batch_id"
 VERSION = (RUN, BATCH)
@@ -104,21 +106,28 @@ def read_latest(
 
     A row keeps its day for good, so the partition columns count as part of
     the key, and a filter on the day prunes partitions through this view.
-    ``days`` restricts the reading itself to these days.
+    ``days`` restricts the reading itself to these days. Of a folded day (``folding``) the
+    folded rows stand for all versions up to then.
     """
     versions = read_versions(spark, path, schema, None if days is None else (partitions[0], days))
+    if partitions:
+        versions = folding.preferred(versions, path, partitions[0], days)
     return latest_per_key(versions, [*partitions, *keys], [*newest, *VERSION]).drop(*VERSION)
 
 
-def _clear(spark: SparkSession, turn: Turn, path: str, partitions: tuple[str, ...]) -> None:
-    """Remove what an earlier try of the batch has left, also in days it no longer has."""
-    pattern = "/".join([path.rstrip("/"), *["*"] * len(partitions), f"{RUN}={turn.run}", f"{BATCH}={turn.number}"])
+def remove(spark: SparkSession, pattern: str) -> None:
+    """Remove the folders that a path pattern names."""
     place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     files = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     for found in files.globStatus(place) or []:
         files.delete(found.getPath(), True)
 
 
+def _clear(spark: SparkSession, turn: Turn, path: str, partitions: tuple[str, ...]) -> None:
+    """Remove what an earlier try of the batch has left, also in days it no longer has."""
+    remove(spark, "/".join([path.rstrip("/"), *["*"] * len(partitions), f"{RUN}={turn.run}", f"{BATCH}={turn.number}"]))
+
+
 def write_batch(
     batch: DataFrame, turn: Turn | int, path: str, partitions: tuple[str, ...] = (), file_format: str = "parquet"
 ) -> None:
@@ -147,6 +156,22 @@ def upsert_batch(
     write_batch(latest_per_key(batch, keys, list(newest)).drop(*newest), turn, path, partitions)
 
 
+def remember(spark: SparkSession, turn: Turn, path: str, schema: StructType, values: tuple) -> None:
+    """Keep a few numbers of a batch for the next one."""
+    write_batch(spark.createDataFrame([values], schema).coalesce(1), turn, path)
+
+
+def recall(spark: SparkSession, turn: Turn, path: str, schema: StructType) -> tuple | None:
+    """What the batch before has remembered; opens its folder and no other."""
+    try:
+        row = spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{RUN}={turn.run}/{BATCH}={turn.number - 1}").first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return row and tuple(row)
+
+
 def before(turn: Turn | int):
     """Rows that were there when the batch came: all but its own, from an earlier try."""
     turn = _turn(turn)

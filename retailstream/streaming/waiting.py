@@ -9,7 +9,6 @@ without a partner come out.
 
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -59,20 +58,6 @@ def create(spark: SparkSession, room: Room) -> None:
     sinks.create_table(spark, room.place("details"), _DETAILS, (SLOT,))
 
 
-def _before(spark: SparkSession, room: Room, turn: sinks.Turn) -> Progress:
-    """What the batch before has left."""
-    if turn.number == 0:
-        return Progress()
-    folder = f"{room.place('progress')}/{sinks.RUN}={turn.run}/{sinks.BATCH}={turn.number - 1}"
-    try:
-        row = spark.read.schema(_PROGRESS).parquet(folder).first()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        row = None
-    return Progress(*row) if row else Progress()
-
-
 def _slots(spark: SparkSession, path: str, schema: StructType, first: int, last: int) -> DataFrame:
     """Rows of the slots from ``first`` to ``last``."""
     if last < first:
@@ -107,7 +92,8 @@ def admit(orders: DataFrame, details: DataFrame, turn: sinks.Turn, room: Room) -
     that came too late to be let in (``late``). Letting a batch in again gives the
     same. Records without a time of arrival are late.
     """
-    spark, seen = orders.sparkSession, _before(orders.sparkSession, room, turn)
+    spark = orders.sparkSession
+    seen = Progress(*(sinks.recall(spark, turn, room.place("progress"), _PROGRESS) or ()))
     bound = seen.bound(room)
     place = lambda rows: rows.withColumn(ARRIVAL, F.unix_millis("received_at")).withColumn(SLOT, F.call_function("div", ARRIVAL, F.lit(SLOT_MS))).drop("received_at")
     punctual = F.col(ARRIVAL).isNotNull() if bound is None else F.coalesce(F.col(ARRIVAL) >= bound, F.lit(False))
@@ -130,7 +116,7 @@ def admit(orders: DataFrame, details: DataFrame, turn: sinks.Turn, room: Room) -
 
     sinks.write_batch(o.select(*_ORDERS.fieldNames()), turn, room.place("orders"), (SLOT,))
     sinks.write_batch(d.select(*_DETAILS.fieldNames()), turn, room.place("details"), (SLOT,))
-    sinks.write_batch(spark.createDataFrame([tuple(now)], _PROGRESS), turn, room.place("progress"))
+    sinks.remember(spark, turn, room.place("progress"), _PROGRESS, tuple(now))
 
     first, last = seen.closed(room), now.closed(room)
     if last is None or last == first:
