@@ -455,6 +455,57 @@ def test_license_with_gaps_and_spans():
     assert licenses.scan("the license of the software is granted", index) == []
 
 
+def plain_align(template, ids, low, high):
+    """Cell by cell; the score of the best local alignment within the diagonals."""
+    width, best = high - low + 1, 0
+    score = np.zeros((len(template) + 1, width + 1), dtype=int)
+    for i in range(1, len(template) + 1):
+        for k in range(width):
+            j = i - 1 + low + k
+            options = [0, score[i - 1, k + 1] - 1 if k + 1 < width else 0]
+            if 0 <= j < len(ids):
+                options.append(score[i - 1, k] + (2 if template[i - 1] == ids[j] else -1))
+                options += [score[i, k - 1] - 1] if k else []
+            score[i, k] = max(options)
+            best = max(best, score[i, k])
+    return best
+
+
+def test_alignment_in_a_band_against_cells_and_in_full():
+    draw = np.random.default_rng(4)
+    for case in range(200):
+        template = draw.integers(1, 6, int(draw.integers(1, 25)))
+        ids = draw.integers(0, 6, int(draw.integers(1, 40)))
+        low = int(draw.integers(-20, 20))
+        # Every second time the band holds all diagonals.
+        low, high = (low, low + int(draw.integers(0, 20))) if case % 2 else (1 - len(template), len(ids) - 1)
+        hit = licenses.align(template, ids, low, high)
+        best = plain_align(template, ids, low, high)
+        if hit is None:
+            assert best == 0
+            continue
+        ours, theirs = hit
+        assert all(template[i] == ids[j] and low <= j - i <= high for i, j in zip(ours, theirs))
+        assert sorted(set(ours)) == ours and sorted(set(theirs)) == theirs
+        # What lies between matched words costs one a pair, and one for each word left over.
+        between = sum(max(b - a, d - c) - 1 for a, b, c, d in zip(ours, ours[1:], theirs, theirs[1:]))
+        assert 2 * len(ours) - between == best
+
+
+def test_relatives_of_a_license_are_told_apart():
+    index = licenses.Index(licenses.TEMPLATES)
+    named = lambda text: [hit[0] for hit in licenses.scan("Some words before. " + text + " And some after it.", index)]
+    for name, text in licenses.TEMPLATES.items():
+        assert named(text) == [name], name
+    gpl = licenses.TEMPLATES["GPL-3.0-header"]
+    assert named(gpl.replace("version 3", "version 1")) == []
+    assert named(gpl.replace("GNU General", "GNU Affero General")) == ["AGPL-3.0-header"]
+    assert named("This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 International License.") == []
+    assert named("Licensed under the Apache License, Version 1.1.") == []
+    assert named("Licensed under CC BY-NC-SA 4.0.") == ["CC-BY-NC-SA-4.0"]
+    assert named(licenses.TEMPLATES["Apache-2.0-header"].replace("except in compliance with the License", "")) == ["Apache-2.0-header"]
+
+
 def test_licenses_of_odd_documents(spark, odd_documents, no_documents):
     more = odd_documents.select("doc_id", "text").unionByName(spark.createDataFrame([(11, "İ " * 50 + "Released under the MIT License. " * 3)], "doc_id long, text string"))
     rows = licenses.scan_licenses(more).collect()
