@@ -8,21 +8,24 @@ from .common import checkpointed
 MAX_ROUNDS = 60  # far beyond what is needed: the rounds grow with the logarithm of a chain
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(a, b) -> (node, component): the smallest node that each linked node reaches.
 
     Alternates between two steps until nothing changes: every node tells its
     larger neighbours, then its smaller ones, of the smallest that it knows. All
     are joins with a minimum per node, so a node with very many links is summed
     before it is shuffled and its links are split by Spark. Links to itself and
-    repeated links do no harm; NULL nodes are left out; no links give no rows.
+    repeated links do no harm; NULL nodes are left out; no links give no rows. With
+    `rows` each task has about so many links, however many shuffle partitions there are.
     """
     edges = checkpointed(
         links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
+    tasks = None if rows is None else edges.count() // rows + 1
     state = None
     for _ in range(MAX_ROUNDS):
-        edges = checkpointed(_small_star(_large_star(edges)))
+        stars = _small_star(_large_star(edges if tasks is None else edges.coalesce(tasks)))
+        edges = checkpointed(stars if tasks is None else stars.coalesce(tasks))
         seen = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break

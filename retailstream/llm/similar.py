@@ -33,8 +33,11 @@ SEED = 42
 MEMBERS = 256  # unrelated classes in a key at most, on average
 LEAST_BITS = 10  # of a key
 EXTRA = 14  # further bits of a key of stars
+SMALL = 32  # classes of a long key that all meet
+HUBS = 4  # of a long key with more
 CROWDED = 1024  # classes of a key that meet without a look at what is together
-FEW = 2  # pairs per class that are verified at once at first; then eight times as many, and so on
+FEW = 4  # pairs per class that are verified at once at first; then 64 times as many, and so on
+LINKS = 200_000  # links in a task
 MANY = 64  # shingles, from which on very close pairs need no look at the sets
 _WORDS = 16  # of 64 bits each; the first two are for the test of distance
 _TEST = 2
@@ -140,12 +143,19 @@ def _pair(l: Column, r: Column) -> list[Column]:
 
 
 def _stars(keyed: DataFrame) -> DataFrame:
-    """(a, b): each class and one class of each of its long keys, always the same one."""
+    """(a, b): pairs of long keys, which are related: all pairs of a key of a few classes, and
+    each class with HUBS others, always the same ones, of a key of many."""
     members = keyed.select("bits", F.explode("keys").alias("star")).repartition("star")
-    # By a hash, so that a family has few of these, the same ones in many keys.
-    hubs = members.groupBy("star").agg(F.min_by("bits", F.xxhash64("bits")).alias("hub"), F.count(F.lit(1)).alias("n"))
-    near = members.join(hubs.filter("n > 1"), "star").filter("bits <> hub")
-    return near.select(*_pair(F.col("bits"), F.col("hub"))).distinct()
+    counts = members.groupBy("star").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    together = members.join(counts, "star")
+    few = together.filter(F.col("n") <= SMALL)
+    pairs = few.alias("l").join(few.alias("r"), "star").filter("l.bits < r.bits").select(F.col("l.bits").alias("a"), F.col("r.bits").alias("b"))
+    # By hashes, so that a family has few hubs, the same ones in many keys.
+    many = together.filter(F.col("n") > SMALL)
+    least = [F.min_by("bits", F.xxhash64("bits", F.lit(i))) for i in range(HUBS)]
+    hubs = many.groupBy("star").agg(F.array_distinct(F.array(*least)).alias("hubs")).select("star", F.explode("hubs").alias("hub"))
+    near = many.join(hubs, "star").filter("bits <> hub").select(*_pair(F.col("bits"), F.col("hub")))
+    return pairs.unionByName(near).distinct()
 
 
 def _apart(keyed: DataFrame, edges: DataFrame, most: int, extra: int, crowded: int) -> DataFrame:
@@ -154,7 +164,7 @@ def _apart(keyed: DataFrame, edges: DataFrame, most: int, extra: int, crowded: i
     In a crowded key most classes are together, a family: each pair that is not together
     has a class outside the largest such group of the key, so only the others meet all.
     """
-    named = components(edges).select(F.col("node").alias("bits"), F.col("component").alias("group"))
+    named = components(edges, LINKS).select(F.col("node").alias("bits"), F.col("component").alias("group"))
     members = keyed.join(checkpointed(named), "bits", "left").withColumn("group", F.coalesce("group", "bits")).select(
         "bits", "x", "y", "group", F.explode("keys").alias("key"),
     ).withColumn("key", F.shiftright("key", extra))
@@ -225,7 +235,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _not_together(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    named = checkpointed(components(edges))
+    named = checkpointed(components(edges, LINKS))
     return checkpointed(
         pairs.join(named.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
         .join(named.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -251,7 +261,7 @@ def _linked(pairs: DataFrame, edges: DataFrame, sets: Callable[[DataFrame], Data
         again = ranked.filter(F.col("i") >= most).select("a", "b", "d")
         if again.isEmpty():
             break
-        again, most = _not_together(again, edges), 8 * most
+        again, most = _not_together(again, edges), 64 * most
     return edges
 
 
@@ -290,7 +300,7 @@ def grouped(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, simila
     coded = stored(coded)
     marked = coded.select("doc_id", "bits")
     classes = stored(coded.groupBy("bits").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("code").alias("code")))
-    linked = components(similar_links(docs, classes, key, text, shingle, similarity))
+    linked = components(similar_links(docs, classes, key, text, shingle, similarity), LINKS)
     named = classes.select("bits", "first").join(linked.withColumnRenamed("node", "bits"), "bits", "left").withColumn(
         "component", F.coalesce("component", "bits")
     )
