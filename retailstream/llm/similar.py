@@ -12,6 +12,12 @@ meet are related. So families of near copies grow together in linear space. Then
 classes that are not together yet meet in the keys. What meets is measured by all
 bits; pairs far closer than the bound are links, and those around it are verified on
 the sets themselves, few pairs of a class at a time.
+
+The texts of a family that stay outside are near many and similar to none, so their
+pairs would grow with the square of the family. Beside the SimHash each set therefore
+has parities: bit i tells if the number of its hashes that end in i is odd. A hash that
+only one of two sets holds changes one bit, so parities never differ in more bits than
+sets in hashes, and a pair that differs in too many bits is left out without loss.
 """
 
 import math
@@ -41,6 +47,8 @@ LINKS = 200_000  # links in a task
 MANY = 64  # shingles, from which on very close pairs need no look at the sets
 _WORDS = 16  # of 64 bits each; the first two are for the test of distance
 _TEST = 2
+_ODD = 4  # words of folded parities
+_ODDS = [f"o{i}" for i in range(_ODD)]
 _MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, _WORDS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -71,6 +79,12 @@ def wide_fingerprint(found: np.ndarray) -> bytes:
     return np.packbits(2 * counts > len(found), bitorder="little").tobytes()
 
 
+def parities(found: np.ndarray) -> bytes:
+    """A bit is set if an odd number of the hashes ends in its number."""
+    counts = np.bincount((found & np.uint64(64 * _WORDS - 1)).astype(np.int64), minlength=64 * _WORDS)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
 def set_numbers(text: Column, shingle: int = SHINGLE) -> Column:
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
@@ -112,9 +126,14 @@ def surely(similarity: float) -> int:
     return math.floor(_beyond(similarity, _WORDS, -5))
 
 
+def unlike(similarity: float) -> float:
+    """Of the sizes of two sets together, the share that sets of a similarity hold alone."""
+    return (1 - similarity) / (1 + similarity) + 1e-9
+
+
 def _keyed(classes: DataFrame, similarity: float, extra: int) -> DataFrame:
-    """(bits, x, y, keys), written once: the test bits of each class and its keys, each with
-    `extra` further bits behind it that make it the key of a star."""
+    """(bits, size, x, y, o0, o1, ..., keys), written once: the size, test bits and folded parities
+    of each class and its keys, each with `extra` further bits behind it that make it the key of a star."""
     bits, tables = key_shape(classes.count(), similarity)
     draw = np.random.default_rng(SEED)
     chosen = np.array([draw.choice(np.arange(64 * _TEST, 64 * _WORDS), bits + extra, replace=False) for _ in range(tables)])
@@ -126,16 +145,29 @@ def _keyed(classes: DataFrame, similarity: float, extra: int) -> DataFrame:
             if batch.empty:
                 continue
             raw = np.frombuffer(b"".join(batch["code"]), dtype=np.uint8).reshape(len(batch), -1)
-            flat = np.unpackbits(raw, axis=1, bitorder="little")
+            flat = np.unpackbits(raw[:, : 8 * _WORDS], axis=1, bitorder="little")
             keys = np.stack([flat[:, c].astype(np.int64) @ powers for c in chosen], axis=1) + tags
             tests = np.ascontiguousarray(raw[:, : 8 * _TEST]).view("<i8")
-            yield pd.DataFrame({"bits": batch["bits"], "x": tests[:, 0], "y": tests[:, 1], "keys": list(keys)})
+            # Bits whose numbers agree in their ends fall together, and parities add up.
+            odd = np.bitwise_xor.reduce(np.ascontiguousarray(raw[:, 8 * _WORDS :]).view("<i8").reshape(len(batch), -1, _ODD), axis=1)
+            yield pd.DataFrame({
+                "bits": batch["bits"], "size": batch["n"], "x": tests[:, 0], "y": tests[:, 1],
+                **{c: odd[:, i] for i, c in enumerate(_ODDS)}, "keys": list(keys),
+            })
+
+    schema = f"bits long, size long, x long, y long, {', '.join(f'{c} long' for c in _ODDS)}, keys array<long>"
+    return stored(classes.select("bits", "n", "code").mapInPandas(run, schema))
+
 
-    return stored(classes.select("bits", "code").mapInPandas(run, "bits long, x long, y long, keys array<long>"))
+def _differing(a: str, b: str, columns: list[str]) -> Column:
+    return sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in columns)
 
 
-def _near(a: str, b: str, most: int) -> Column:
-    return sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in ("x", "y")) <= most
+def _near(a: str, b: str, most: int, similarity: float) -> Column:
+    """By the test bits, and by what sizes and parities leave possible."""
+    p, q = F.col(f"{a}.size"), F.col(f"{b}.size")
+    possible = (F.least(p, q) >= similarity * F.greatest(p, q)) & (_differing(a, b, _ODDS) <= unlike(similarity) * (p + q))
+    return (_differing(a, b, ["x", "y"]) <= most) & possible
 
 
 def _pair(l: Column, r: Column) -> list[Column]:
@@ -158,18 +190,18 @@ def _stars(keyed: DataFrame) -> DataFrame:
     return pairs.unionByName(near).distinct()
 
 
-def _apart(keyed: DataFrame, edges: DataFrame, most: int, extra: int, crowded: int) -> DataFrame:
-    """(a, b): pairs of a key within a distance that are not together yet.
+def _apart(keyed: DataFrame, edges: DataFrame, similarity: float, extra: int, crowded: int) -> DataFrame:
+    """(a, b): pairs of a key that can have the similarity and are not together yet.
 
     In a crowded key most classes are together, a family: each pair that is not together
     has a class outside the largest such group of the key, so only the others meet all.
     """
     named = components(edges, LINKS).select(F.col("node").alias("bits"), F.col("component").alias("group"))
     members = keyed.join(checkpointed(named), "bits", "left").withColumn("group", F.coalesce("group", "bits")).select(
-        "bits", "x", "y", "group", F.explode("keys").alias("key"),
+        "bits", "size", "x", "y", *_ODDS, "group", F.explode("keys").alias("key"),
     ).withColumn("key", F.shiftright("key", extra))
     full = checkpointed(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded))
-    differ = (F.col("l.group") != F.col("r.group")) & _near("l", "r", most)
+    differ = (F.col("l.group") != F.col("r.group")) & _near("l", "r", radius(similarity), similarity)
     few = members.join(full, "key", "left_anti")
     pairs = few.alias("l").join(few.alias("r"), "key").filter((F.col("l.bits") < F.col("r.bits")) & differ).select(*_pair(F.col("l.bits"), F.col("r.bits")))
     if full.isEmpty():
@@ -183,7 +215,7 @@ def _apart(keyed: DataFrame, edges: DataFrame, most: int, extra: int, crowded: i
 
 
 def _measured(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, d, n): pairs that can have the similarity, by all bits and by their sizes.
+    """(a, b, d, n): pairs that can have the similarity, by all bits, all parities and their sizes.
 
     d is the number of bits that differ and n the size of the smaller set.
     """
@@ -194,13 +226,15 @@ def _measured(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFr
             if batch.empty:
                 continue
             p, q = (np.frombuffer(b"".join(batch[c]), dtype=np.uint64).reshape(len(batch), -1) for c in ("p", "q"))
-            batch["d"] = np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int32)
-            yield batch.loc[batch["d"] <= most, ["a", "b", "d", "n"]]
+            differing = np.bitwise_count(p ^ q)
+            batch["d"] = differing[:, :_WORDS].sum(axis=1, dtype=np.int32)
+            possible = differing[:, _WORDS:].sum(axis=1, dtype=np.int64) <= unlike(similarity) * (batch["n"] + batch["m"])
+            yield batch.loc[(batch["d"] <= most) & possible, ["a", "b", "d", "n"]]
 
     side = lambda name, code, size: classes.select(F.col("bits").alias(name), F.col("code").alias(code), F.col("n").alias(size))
     full = pairs.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b")
     sized = full.withColumns({"n": F.least("m", "n"), "m": F.greatest("m", "n")}).filter(F.col("n") >= similarity * F.col("m"))
-    return checkpointed(sized.select("a", "b", "n", "p", "q").mapInPandas(run, "a long, b long, d int, n long"))
+    return checkpointed(sized.select("a", "b", "n", "m", "p", "q").mapInPandas(run, "a long, b long, d int, n long"))
 
 
 def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -277,7 +311,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shin
         return _linked(found.filter(~certain).select("a", "b", "d"), edges, lambda p: _sets(docs, classes, p, key, text, shingle), similarity)
 
     edges = joined(_stars(keyed), edges)
-    return joined(_apart(keyed, edges, radius(similarity), extra, crowded), edges)
+    return joined(_apart(keyed, edges, similarity, extra, crowded), edges)
 
 
 def grouped(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -293,7 +327,7 @@ def grouped(docs: DataFrame, key: str, text: str, shingle: int = SHINGLE, simila
             found = [shingles(t, shingle) for t in batch["t"]]
             yield pd.DataFrame({
                 "doc_id": batch["k"], "bits": np.array([set_number(x) for x in found], dtype=np.int64),
-                "n": np.array([len(x) for x in found], dtype=np.int64), "code": [wide_fingerprint(x) for x in found],
+                "n": np.array([len(x) for x in found], dtype=np.int64), "code": [wide_fingerprint(x) + parities(x) for x in found],
             })
 
     coded = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, "doc_id long, bits long, n long, code binary")

@@ -273,6 +273,38 @@ def test_retrieval_loss_by_similarity():
     assert lost <= 0.01 * pairs
 
 
+def test_parities_never_differ_more_than_sets():
+    draw = np.random.default_rng(9)
+    for n in (1, 5, 40, 150, 600, 3000):
+        for changed in range(0, n + 1, max(1, n // 7)):
+            hashes = draw.integers(0, 1 << 63, n + 2 * changed, dtype=np.uint64)
+            a, b = np.unique(hashes[: n + changed]), np.unique(np.concatenate([hashes[:n], hashes[n + changed :]]))
+            x, y = (np.frombuffer(similar.parities(s), np.uint8) for s in (a, b))
+            alone = len(np.setxor1d(a, b))
+            assert np.bitwise_count(x ^ y).sum() <= alone
+            if len(np.intersect1d(a, b)) >= similar.SIMILARITY * len(np.union1d(a, b)):
+                assert alone <= similar.unlike(similar.SIMILARITY) * (len(a) + len(b))
+
+
+def test_family_of_texts_that_are_not_similar_enough(spark, monkeypatch):
+    """Texts near many others and similar to few: what meets grows with the links, not with the pairs."""
+    draw = np.random.default_rng(10)
+    words, texts = [f"w{x}" for x in draw.integers(0, 3000, 150)], []
+    for i in range(300):
+        other = list(words)
+        for at in draw.choice(150, 1 if i % 10 == 0 else 4, replace=False):
+            other[at] = f"x{draw.integers(0, 1 << 40)}"
+        texts.append(" ".join(other))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, measured = [], similar._measured
+    monkeypatch.setattr(similar, "_measured", lambda pairs, *rest: met.append(pairs.count()) or measured(pairs, *rest))
+    marked, groups = similar.grouped(frame, "doc_id", "text")
+    found = {r.doc_id: r.component_id for r in marked.join(groups, "bits").collect()}
+    pairs = brute_similar(frame.collect())
+    assert found == union(pairs, range(len(texts))) and len(set(found.values())) > 200
+    assert met[-1] <= 0.05 * 300 * 299 / 2
+
+
 def test_near_copies_of_odd_documents(spark, odd_documents):
     columns = odd_documents.columns
     kept = corpus_pipeline.near_dedup_stage(spark, odd_documents, SF)
