@@ -7,9 +7,10 @@ Words are numbered by a hash, and numbers are gathered into classes: frequent
 ones alone, the others by frequency, classes about equally heavy. The network,
 written in numpy, predicts the class; inside a class a number has its share of
 the corpus. Counts cover all words of all documents. Training goes over all
-documents too: in each of them every eighth word is masked and predicted, each
-task trains a copy of the network on what it reads, and Spark averages the copies
-by the words they have seen before the next round.
+documents too: each round masks and predicts a part of the words of each, so that
+over the rounds every word is predicted once. Each task trains a copy of the network
+on what it reads, and Spark averages the copies by the words they have seen before
+the next round.
 """
 
 import zlib
@@ -25,7 +26,6 @@ NUMBERS = 1 << 16  # hashed words
 CLASSES, ALONE = 128, 96  # classes, and those of one number
 SIDE = 2  # words on either side
 WIDTH, HIDDEN = 16, 32
-MASKED = 8  # every so manieth word is predicted in training
 ROUNDS = 2
 BATCH = 4_096  # words of a training step or a scoring step
 RATE = 0.05
@@ -130,8 +130,10 @@ class Network:
     def train(self, around: np.ndarray, target: np.ndarray) -> None:
         """One step of adaptive gradient descent on the mean log-probability."""
         p, n = self.p, len(target)
-        x = p["E"][around].reshape(n, -1)
-        hidden = np.tanh(x @ p["W"] + p["b"])
+        hidden = np.tile(p["b"], (n, 1))
+        for i, t in enumerate(self.tables()):
+            hidden += t[around[:, i]]
+        np.tanh(hidden, out=hidden)
         out = hidden @ p["V"] + p["c"]
         out -= out.max(axis=1, keepdims=True)
         np.exp(out, out=out)
@@ -139,14 +141,31 @@ class Network:
         out[np.arange(n), target] -= 1
         out /= n
         back = (out @ p["V"].T) * (1 - hidden**2)
-        toward = (back @ p["W"].T).reshape(-1, WIDTH)
-        places = np.zeros_like(p["E"])
-        np.add.at(places, around.ravel(), toward)
-        for name, gradient in (("V", hidden.T @ out), ("c", out.sum(axis=0)), ("W", x.T @ back), ("b", back.sum(axis=0)), ("E", places)):
+        embedded, weights = np.zeros_like(p["E"]), np.zeros_like(p["W"])
+        for i in range(2 * SIDE):
+            place, due = slice(i * WIDTH, (i + 1) * WIDTH), summed(back, around[:, i])
+            embedded += due @ p["W"][place].T
+            weights[place] = p["E"].T @ due
+        for name, gradient in (("V", hidden.T @ out), ("c", out.sum(axis=0)), ("W", weights), ("b", back.sum(axis=0)), ("E", embedded)):
             self.squares[name] += gradient**2
             p[name] -= np.float32(RATE) * gradient / np.sqrt(self.squares[name])
 
 
+def summed(rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each class, and of those beyond the ends of texts."""
+    small = classes.astype(np.min_scalar_type(CLASSES))  # sorted by counting
+    order = np.argsort(small, kind="stable")
+    first = np.flatnonzero(np.diff(small[order], prepend=-1))
+    out = np.zeros((CLASSES + 1, rows.shape[1]), dtype=rows.dtype)
+    out[small[order[first]]] = np.add.reduceat(rows[order], first)
+    return out
+
+
+def targets(words: bytes, n: int, turn: int, rounds: int) -> np.ndarray:
+    """Places of the n words of a text that are predicted in a round; over all rounds each place once."""
+    return np.arange((zlib.crc32(words) + turn) % rounds, n, rounds)
+
+
 def surroundings(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Classes around the places given; a class of its own beyond the ends of a text."""
     padded = np.concatenate([np.full(SIDE, CLASSES), classes, np.full(SIDE, CLASSES)])
@@ -154,7 +173,7 @@ def surroundings(classes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def train(rows: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> Network:
-    """A network trained on all documents, averaged over tasks after each round."""
+    """A network trained on every word of all documents, averaged over tasks after each round."""
     shared = rows.sparkSession.sparkContext.broadcast(classes)  # NUMBERS numbers
     network = Network()
     for turn in range(rounds):
@@ -165,7 +184,7 @@ def train(rows: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> Network
             for batch in batches:
                 for words in batch["words"]:
                     ids = np.frombuffer(words, dtype="<u2")
-                    at = np.arange((zlib.crc32(words) + turn * MASKED // 2) % MASKED, len(ids), MASKED)
+                    at = targets(words, len(ids), turn, rounds)
                     for first in range(0, len(at), BATCH):
                         part = at[first : first + BATCH]
                         low, high = max(0, part[0] - SIDE), part[-1] + SIDE + 1

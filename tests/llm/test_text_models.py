@@ -179,6 +179,30 @@ def test_training_beats_word_frequencies(spark):
     assert scoring.log_likelihood(ids, classes, shares, net, net.tables()) > scoring.log_likelihood(mixed, classes, shares, net, net.tables())
 
 
+def test_every_word_is_predicted_in_training(spark):
+    for rounds in (1, 2, 3):
+        for words in (b"", b"ab", b"abcd" * 9):
+            n = len(words) // 2
+            assert sorted(np.concatenate([scoring.targets(words, n, turn, rounds) for turn in range(rounds)])) == list(range(n))
+    # All texts are the same, and short: no word of it may be left untrained.
+    docs = spark.range(0, 20_000, 1, 2).selectExpr("id as doc_id", "'ab cd ef gh ij kl' as text")
+    rows = scoring.tokens(docs)
+    classes, _ = scoring.classes_of(scoring.count_numbers(rows))
+    own = classes[scoring.numbers_of("ab cd ef gh ij kl", {})]
+    around = scoring.surroundings(own, np.arange(6))
+    net, new = scoring.train(rows, classes), scoring.Network()
+    assert (net.log_probabilities(around, own, net.tables()) > new.log_probabilities(around, own, new.tables()) + 1).all()
+
+
+def test_sums_of_classes():
+    draw = np.random.default_rng(8)
+    for n in (1, 7, 500):
+        rows, classes = draw.integers(0, 9, (n, 3)).astype(np.float32), draw.integers(0, scoring.CLASSES + 1, n)
+        expected = np.zeros((scoring.CLASSES + 1, 3), dtype=np.float32)
+        np.add.at(expected, classes, rows)
+        assert (scoring.summed(rows, classes) == expected).all()
+
+
 def test_scores_of_odd_documents(spark, odd_documents, no_documents):
     rows = scoring.score(odd_documents, rounds=1).collect()
     assert len(rows) == odd_documents.count()
