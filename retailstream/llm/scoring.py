@@ -134,12 +134,12 @@ class Network:
         for i, t in enumerate(self.tables()):
             hidden += t[around[:, i]]
         np.tanh(hidden, out=hidden)
-        out = hidden @ p["V"] + p["c"]
+        out = hidden @ p["V"]
+        out += p["c"]
         out -= out.max(axis=1, keepdims=True)
         np.exp(out, out=out)
-        out /= out.sum(axis=1, keepdims=True)
-        out[np.arange(n), target] -= 1
-        out /= n
+        out *= 1 / (n * out.sum(axis=1, keepdims=True))
+        out[np.arange(n), target] -= np.float32(1 / n)
         back = (out @ p["V"].T) * (1 - hidden**2)
         embedded, weights = np.zeros_like(p["E"]), np.zeros_like(p["W"])
         for i in range(2 * SIDE):
