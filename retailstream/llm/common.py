@@ -35,6 +35,17 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def gathered(frame: DataFrame, rows: int) -> DataFrame:
+    """`checkpointed`, and read in tasks of about so many rows, however many wrote it."""
+    kept = checkpointed(frame)
+    return in_tasks(kept, kept.count() // rows + 1)
+
+
+def in_tasks(frame: DataFrame, tasks: int) -> DataFrame:
+    """The frame, read in so many tasks at most; what fits in one goes to all tasks of a join."""
+    return F.broadcast(frame.coalesce(1)) if tasks == 1 else frame.coalesce(tasks)
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """The frame, written as Parquet to that folder and read again; for texts."""
     path = f"{_shared(frame.sparkSession)}/{uuid.uuid4().hex}.parquet"

@@ -11,7 +11,8 @@ First every class meets one other in each of its keys made longer, where those t
 meet are related. So families of near copies grow together in linear space. Then
 classes that are not together yet meet in the keys. What meets is measured by all
 bits; pairs far closer than the bound are links, and those around it are verified on
-the sets themselves, few pairs of a class at a time.
+the sets themselves, few pairs of a class at a time. What is narrow and small is read
+in few tasks: a shuffle leaves files per task, and there are many rounds.
 
 The texts of a family that stay outside are near many and similar to none, so their
 pairs would grow with the square of the family. Beside the SimHash each set therefore
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored
+from .common import checkpointed, gathered, stored
 from .components import components
 
 SHINGLE = 5  # words
@@ -197,10 +198,10 @@ def _apart(keyed: DataFrame, edges: DataFrame, similarity: float, extra: int, cr
     has a class outside the largest such group of the key, so only the others meet all.
     """
     named = components(edges, LINKS).select(F.col("node").alias("bits"), F.col("component").alias("group"))
-    members = keyed.join(checkpointed(named), "bits", "left").withColumn("group", F.coalesce("group", "bits")).select(
+    members = keyed.join(gathered(named, LINKS), "bits", "left").withColumn("group", F.coalesce("group", "bits")).select(
         "bits", "size", "x", "y", *_ODDS, "group", F.explode("keys").alias("key"),
     ).withColumn("key", F.shiftright("key", extra))
-    full = checkpointed(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded))
+    full = gathered(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded), LINKS)
     differ = (F.col("l.group") != F.col("r.group")) & _near("l", "r", radius(similarity), similarity)
     few = members.join(full, "key", "left_anti")
     pairs = few.alias("l").join(few.alias("r"), "key").filter((F.col("l.bits") < F.col("r.bits")) & differ).select(*_pair(F.col("l.bits"), F.col("r.bits")))
@@ -209,7 +210,7 @@ def _apart(keyed: DataFrame, edges: DataFrame, similarity: float, extra: int, cr
     many = members.join(full.select("key"), "key")
     sizes = many.groupBy("key", "group").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "group")).alias("m")).select("key", F.col("m.group").alias("own"))
-    others = many.join(checkpointed(largest), "key").filter("group <> own").drop("own")
+    others = many.join(gathered(largest, LINKS), "key").filter("group <> own").drop("own")
     met = others.alias("l").join(many.alias("r"), "key").filter(differ)
     return pairs.unionByName(met.select(*_pair(F.col("l.bits"), F.col("r.bits")))).distinct()
 
@@ -234,12 +235,12 @@ def _measured(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFr
     side = lambda name, code, size: classes.select(F.col("bits").alias(name), F.col("code").alias(code), F.col("n").alias(size))
     full = pairs.join(side("a", "p", "m"), "a").join(side("b", "q", "n"), "b")
     sized = full.withColumns({"n": F.least("m", "n"), "m": F.greatest("m", "n")}).filter(F.col("n") >= similarity * F.col("m"))
-    return checkpointed(sized.select("a", "b", "n", "m", "p", "q").mapInPandas(run, "a long, b long, d int, n long"))
+    return gathered(sized.select("a", "b", "n", "m", "p", "q").mapInPandas(run, "a long, b long, d int, n long"), LINKS)
 
 
 def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """(bits, items): the sets of the classes in pairs, read from one row per class or few."""
-    wanted = checkpointed(pairs.select(F.col("a").alias("bits")).unionByName(pairs.select(F.col("b").alias("bits"))).distinct())
+    wanted = gathered(pairs.select(F.col("a").alias("bits")).unionByName(pairs.select(F.col("b").alias("bits"))).distinct(), LINKS)
     ids = classes.join(wanted, "bits").select(F.col("first").alias("_id")).distinct()
 
     def run(batches):
@@ -269,11 +270,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _not_together(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    named = checkpointed(components(edges, LINKS))
-    return checkpointed(
+    named = gathered(components(edges, LINKS), LINKS)
+    return gathered(
         pairs.join(named.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
         .join(named.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns),
+        LINKS,
     )
 
 
@@ -290,8 +292,8 @@ def _linked(pairs: DataFrame, edges: DataFrame, sets: Callable[[DataFrame], Data
         degrees = again.groupBy("b").agg(F.count(F.lit(1)).alias("degree"), F.min("d").alias("low"), F.max("d").alias("high"))
         # About how many of the class's pairs are closer, if their distances are spread evenly.
         unit = (F.col("d") - F.col("low") + F.shiftrightunsigned(F.xxhash64("a", "b"), 11) / float(1 << 53)) / (F.col("high") - F.col("low") + 1)
-        ranked = checkpointed(again.join(degrees, "b").select("a", "b", "d", (unit * F.col("degree")).alias("i")))
-        edges = checkpointed(edges.unionByName(_verified(ranked.filter(F.col("i") < most), items, similarity)))
+        ranked = gathered(again.join(degrees, "b").select("a", "b", "d", (unit * F.col("degree")).alias("i")), LINKS)
+        edges = gathered(edges.unionByName(_verified(ranked.filter(F.col("i") < most), items, similarity)), LINKS)
         again = ranked.filter(F.col("i") >= most).select("a", "b", "d")
         if again.isEmpty():
             break
@@ -307,7 +309,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, key: str, text: str, shin
     def joined(pairs: DataFrame, edges: DataFrame) -> DataFrame:
         found = _measured(pairs, classes, similarity)
         certain = (F.col("d") <= sure) & (F.col("n") >= MANY)
-        edges = checkpointed(edges.unionByName(found.filter(certain).select("a", "b")))
+        edges = gathered(edges.unionByName(found.filter(certain).select("a", "b")), LINKS)
         return _linked(found.filter(~certain).select("a", "b", "d"), edges, lambda p: _sets(docs, classes, p, key, text, shingle), similarity)
 
     edges = joined(_stars(keyed), edges)

@@ -191,6 +191,53 @@ def test_components(spark):
     assert components.components(frame.limit(0)).count() == 0
 
 
+def tasks_of(spark, run):
+    """What a function returns, and the tasks of its jobs."""
+    context, group = spark.sparkContext, f"tasks {time.time()}"
+    context.setJobGroup(group, group)
+    try:
+        found = run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    time.sleep(1)  # the tracker hears of stages a little later
+    tracker = context.statusTracker()
+    stages = {k for job in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(job).stageIds}
+    return found, sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+
+
+@pytest.fixture
+def many_partitions(spark):
+    """Shuffles have 48 partitions, and nobody joins them to fewer."""
+    wanted = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield 48
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_few_links_take_few_tasks(spark, many_partitions):
+    """A task of a shuffle leaves files and events, so tasks follow the links rather than the partitions."""
+    draw = np.random.default_rng(11)
+    links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 80)] + [tuple(map(int, draw.integers(2000, 2300, 2))) for _ in range(200)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    expected = union(links, {n for link in links for n in link})
+    for rows in (1000, 100):  # in one task, and in some
+        found, tasks = tasks_of(spark, lambda n=rows: components.components(frame, n).collect())
+        assert {r.node: r.component for r in found} == {n: c for n, c in expected.items() if any(n in x and x[0] != x[1] for x in links)}
+        assert rows < 1000 or tasks < 4 * many_partitions
+
+
+def test_near_dedup_takes_few_tasks(spark, documents, many_partitions):
+    (marked, groups), tasks = tasks_of(spark, lambda: similar.grouped(documents, "doc_id", "text"))
+    rows = documents.collect()
+    expected = union(brute_similar(rows), range(len(rows)))
+    ids = {r.doc_id: r.component_id for r in marked.join(groups, "bits").collect()}
+    assert len(set(ids.values())) == len(set(expected.values()))
+    assert tasks < 60 * many_partitions
+
+
 def test_dedup_keeps_one_of_each_group(documents):
     groups = {r.component_id for r in simhash.near_duplicates(documents).collect()}
     kept = simhash.deduplicated(documents)
