@@ -241,7 +241,7 @@ def _measured(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFr
 def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """(bits, items): the sets of the classes in pairs, read from one row per class or few."""
     wanted = gathered(pairs.select(F.col("a").alias("bits")).unionByName(pairs.select(F.col("b").alias("bits"))).distinct(), LINKS)
-    ids = classes.join(wanted, "bits").select(F.col("first").alias("_id")).distinct()
+    ids = gathered(classes.join(wanted, "bits").select(F.col("first").alias("_id")).distinct(), LINKS)
 
     def run(batches):
         for batch in batches:

@@ -229,13 +229,16 @@ def test_few_links_take_few_tasks(spark, many_partitions):
         assert rows < 1000 or tasks < 4 * many_partitions
 
 
-def test_near_dedup_takes_few_tasks(spark, documents, many_partitions):
+def test_near_dedup_takes_few_tasks(spark, documents, many_partitions, monkeypatch):
     (marked, groups), tasks = tasks_of(spark, lambda: similar.grouped(documents, "doc_id", "text"))
     rows = documents.collect()
     expected = union(brute_similar(rows), range(len(rows)))
     ids = {r.doc_id: r.component_id for r in marked.join(groups, "bits").collect()}
     assert len(set(ids.values())) == len(set(expected.values()))
     assert tasks < 60 * many_partitions
+    monkeypatch.setattr(similar, "LINKS", 20)  # as with many links: in several tasks, without broadcasts
+    marked, groups = similar.grouped(documents, "doc_id", "text")
+    assert {r.doc_id: r.component_id for r in marked.join(groups, "bits").collect()} == ids
 
 
 def test_dedup_keeps_one_of_each_group(documents):
